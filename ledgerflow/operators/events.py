@@ -19,7 +19,7 @@ from ledgerflow.constants import (
 )
 from ledgerflow.functions.scalars import MONEY, coins
 from ledgerflow.operators.labels import classify_addresses
-from ledgerflow.schemas import Ledger, details_struct
+from ledgerflow.schemas import Ledger
 
 # Outputs of one transaction are numbered below this; block size keeps them far lower.
 VOUT_RANGE = 1 << 20
@@ -53,25 +53,23 @@ def cap_per_block(led: Ledger, n: int | None = None) -> Ledger:
     )
 
 
-def flow_type(from_type: Column, to_type: Column) -> Column:
+def flow_type(from_type: str = "from_type", to_type: str = "to_type") -> Column:
     """Selling goes to an exchange, buying comes from one, all else is p2p."""
-    out_of, into = from_type == EXCHANGE, to_type == EXCHANGE
-    return F.when(into & ~out_of, SELLING).when(out_of & ~into, BUYING).otherwise(P2P)
+    return F.expr(
+        f"""CASE WHEN {to_type} = '{EXCHANGE}' AND {from_type} <> '{EXCHANGE}' THEN '{SELLING}'
+                 WHEN {from_type} = '{EXCHANGE}' AND {to_type} <> '{EXCHANGE}' THEN '{BUYING}'
+                 ELSE '{P2P}' END"""
+    )
 
 
-def event_seq(tx_index: Column, vout: Column) -> Column:
+def event_seq() -> Column:
     """Order of events inside a block."""
-    return tx_index.cast("bigint") * F.lit(VOUT_RANGE).cast("bigint") + vout
+    return F.expr(f"CAST(tx_index AS BIGINT) * {VOUT_RANGE}L + vout")
 
 
-def _input_rank(party_type: Column) -> Column:
-    # Among inputs an operator beats the foundation, unlike in the label lookup.
-    return (
-        F.when(party_type == EXCHANGE, 0)
-        .when(party_type == NODE_OPERATOR, 1)
-        .when(party_type == FOUNDATION, 2)
-        .otherwise(3)
-    )
+# Among inputs an operator beats the foundation, unlike in the label lookup.
+_INPUT_RANK = f"""CASE type WHEN '{EXCHANGE}' THEN 0 WHEN '{NODE_OPERATOR}' THEN 1
+                            WHEN '{FOUNDATION}' THEN 2 ELSE 3 END"""
 
 
 def senders(led: Ledger, labels: DataFrame) -> DataFrame:
@@ -85,30 +83,26 @@ def senders(led: Ledger, labels: DataFrame) -> DataFrame:
     labelled_inputs = classify_addresses(
         led.inputs.select("txid", "pos", "addr_pos", "address"), "address", labels
     )
-    labelled = F.col("type") != UNKNOWN
-    evidence = labelled_inputs.select(
+    evidence = labelled_inputs.selectExpr(
         "txid",
-        (labelled & (F.col("addr_pos") == 0)).alias("relevant"),
-        F.when(
-            F.col("address").isNotNull(),
-            F.struct(_input_rank(F.col("type")).alias("rank"), "pos", "addr_pos"),
-        ).alias("at"),
-        F.struct("address", "type", "details").alias("party"),
+        f"type <> '{UNKNOWN}' AND addr_pos = 0 AS relevant",
+        f"if(address IS NULL, NULL, struct({_INPUT_RANK} AS rank, pos, addr_pos)) AS at",
+        "struct(address, type, details) AS party",
     ).unionByName(
-        led.outputs.filter(F.col("addr_pos") == 0)
+        led.outputs.filter("addr_pos = 0")
         .join(labels.select("address"), "address", "left_semi")
-        .select("txid", F.lit(True).alias("relevant")),
+        .selectExpr("txid", "true AS relevant"),
         allowMissingColumns=True,
     )
     return (
         evidence.groupBy("txid")
-        .agg(F.bool_or("relevant").alias("relevant"), F.min_by("party", "at").alias("party"))
+        .agg(F.expr("bool_or(relevant) AS relevant"), F.expr("min_by(party, at) AS party"))
         .filter("relevant")
-        .select(
+        .selectExpr(
             "txid",
-            F.coalesce("party.address", F.lit(UNKNOWN)).alias("from_address"),
-            F.coalesce("party.type", F.lit(UNKNOWN)).alias("from_type"),
-            F.col("party.details").alias("from_details"),
+            f"coalesce(party.address, '{UNKNOWN}') AS from_address",
+            f"coalesce(party.type, '{UNKNOWN}') AS from_type",
+            "party.details AS from_details",
         )
     )
 
@@ -151,58 +145,42 @@ def build_flow_events(led: Ledger, labels: DataFrame) -> DataFrame:
         "vout",
         F.col("height").alias("block_height"),
         "block_time",
-        event_seq(F.col("tx_index"), F.col("vout")).alias("event_seq"),
-        "from_address",
-        "from_type",
-        "from_details",
-        "to_address",
-        "to_type",
-        "to_details",
-        flow_type(F.col("from_type"), F.col("to_type")).alias("flow_type"),
+        event_seq().alias("event_seq"),
+        *["from_address", "from_type", "from_details", "to_address", "to_type", "to_details"],
+        flow_type().alias("flow_type"),
         F.col("satoshi").cast(MONEY).alias("satoshi"),
         coins(F.col("satoshi")).alias("amount"),
-        *unattributed(),
+        *[F.expr(default) for default in UNATTRIBUTED],
     )
 
 
-def unattributed() -> list[Column]:
-    """The attribution columns at their defaults."""
-    return [
-        F.lit(0).alias("classification_level"),
-        F.lit(None).cast("string").alias("intermediary_wallet"),
-        F.lit(None).cast("array<string>").alias("hop_chain"),
-        F.lit(None).cast("bigint").alias("analysis_timestamp"),
-        F.lit(SYNC).alias("data_source"),
-    ]
+# The attribution columns at their defaults.
+UNATTRIBUTED = (
+    "0 AS classification_level",
+    "CAST(NULL AS STRING) AS intermediary_wallet",
+    "CAST(NULL AS ARRAY<STRING>) AS hop_chain",
+    "CAST(NULL AS BIGINT) AS analysis_timestamp",
+    f"'{SYNC}' AS data_source",
+)
 
 
 def tx_totals(led: Ledger) -> DataFrame:
     """Per transaction: number and total of its inputs and outputs, zero if none."""
 
-    def side(frame: DataFrame, sign: str) -> DataFrame:
-        return frame.filter(F.col("addr_pos") == 0).select(
-            "txid",
-            F.lit(1 if sign == "input" else 0).alias("i"),
-            F.lit(0 if sign == "input" else 1).alias("o"),
-            F.coalesce("satoshi", F.lit(0).cast(MONEY)).alias("satoshi"),
+    def side(frame: DataFrame, i: int, o: int) -> DataFrame:
+        return frame.filter("addr_pos = 0").selectExpr(
+            "txid", f"{i} AS i", f"{o} AS o", f"coalesce(satoshi, CAST(0 AS {MONEY})) AS satoshi"
         )
 
-    header = led.txs.select(
-        "txid",
-        F.lit(0).alias("i"),
-        F.lit(0).alias("o"),
-        F.lit(0).cast(MONEY).alias("satoshi"),
-        "height",
-        "block_time",
-    )
-    rows = header.unionByName(side(led.inputs, "input"), True).unionByName(side(led.outputs, "output"), True)
+    header = led.txs.selectExpr("txid", "height", "block_time", "0 AS i", "0 AS o", f"CAST(0 AS {MONEY}) AS satoshi")
+    rows = header.unionByName(side(led.inputs, 1, 0), True).unionByName(side(led.outputs, 0, 1), True)
     return rows.groupBy("txid").agg(
-        F.max("height").alias("block_height"),
-        F.max("block_time").alias("block_time"),
-        F.sum("i").alias("input_count"),
-        F.sum("o").alias("output_count"),
-        coins(F.sum(F.col("satoshi") * F.col("i"))).alias("total_input_value"),
-        coins(F.sum(F.col("satoshi") * F.col("o"))).alias("total_output_value"),
+        F.expr("max(height) AS block_height"),
+        F.expr("max(block_time) AS block_time"),
+        F.expr("sum(i) AS input_count"),
+        F.expr("sum(o) AS output_count"),
+        coins(F.expr("coalesce(sum(if(i = 1, satoshi, NULL)), 0)")).alias("total_input_value"),
+        coins(F.expr("coalesce(sum(if(o = 1, satoshi, NULL)), 0)")).alias("total_output_value"),
     )
 
 

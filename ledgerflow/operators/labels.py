@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.constants import DEFAULT_TIER, EXCHANGE, FOUNDATION, NODE_OPERATOR, TIERS, UNKNOWN
 from ledgerflow.functions.scalars import leading_number
-from ledgerflow.schemas import details_struct
+from ledgerflow.schemas import details_sql
 
 
 def node_operators(nodes: DataFrame) -> DataFrame:
@@ -17,33 +17,31 @@ def node_operators(nodes: DataFrame) -> DataFrame:
     all nodes from meeting in one task.
     """
     per_tier = (
-        nodes.filter(F.length("payment_address") > 0)
-        .withColumn("tier", F.coalesce(F.nullif("tier", F.lit("")), F.lit(DEFAULT_TIER)))
-        .groupBy(F.col("payment_address").alias("address"), "tier")
-        .agg(
-            F.count("*").alias("nodes"),
-            F.sum(F.coalesce(leading_number(F.col("collateral")), F.lit(0.0))).alias("collateral"),
+        nodes.filter("length(payment_address) > 0")
+        .select(
+            F.col("payment_address").alias("address"),
+            F.expr(f"coalesce(nullif(tier, ''), '{DEFAULT_TIER}')").alias("tier"),
+            F.coalesce(leading_number(F.col("collateral")), F.lit(0.0)).alias("collateral"),
         )
+        .groupBy("address", "tier")
+        .agg(F.expr("count(*) AS nodes"), F.expr("sum(collateral) AS collateral"))
     )
-    standard = [
-        F.sum(F.when(F.col("tier") == t, F.col("nodes")).otherwise(F.lit(0))).alias(t) for t in TIERS
-    ]
-    other = F.collect_list(
-        F.when(~F.col("tier").isin(*TIERS), F.struct("tier", "nodes"))
-    ).alias("other")
-    pairs = [item for t in TIERS for item in (F.lit(t), F.col(t))]
+    known = ", ".join(f"'{t}'" for t in TIERS)
+    standard = ", ".join(f"'{t}', {t}" for t in TIERS)
     return (
         per_tier.groupBy("address")
         .agg(
-            F.sum("nodes").alias("node_count"),
-            F.sum("collateral").alias("total_collateral"),
-            *standard,
-            other,
+            F.expr("sum(nodes) AS node_count"),
+            F.expr("sum(collateral) AS total_collateral"),
+            F.expr(
+                f"collect_list(named_struct('tier', tier, 'nodes', nodes)) FILTER (WHERE tier NOT IN ({known})) AS other"
+            ),
+            *[F.expr(f"sum(if(tier = '{t}', nodes, 0)) AS {t}") for t in TIERS],
         )
-        .select(
+        .selectExpr(
             "address",
             "node_count",
-            F.map_concat(F.create_map(*pairs), F.map_from_entries("other")).alias("tiers"),
+            f"map_concat(map({standard}), map_from_entries(other)) AS tiers",
             "total_collateral",
         )
     )
@@ -54,44 +52,37 @@ def label_dimension(listed: DataFrame, operators: DataFrame) -> DataFrame:
 
     ``listed`` has address, type, name, logo and position, as ``read_labels`` gives
     it. Exchange beats foundation beats node operator; of two exchanges that list
-    the same address the later one wins.
+    the same address the later one wins. The details have only the fields their
+    type has.
     """
-    nothing = F.lit(None)
-    rows = listed.select(
+    rows = listed.selectExpr(
         "address",
         "type",
+        f"named_struct('rank', if(type = '{EXCHANGE}', 1, 2), 'at', -position) AS precedence",
         "name",
-        F.when(F.col("type") == EXCHANGE, F.col("logo")).alias("logo"),
-        nothing.cast("bigint").alias("node_count"),
-        nothing.cast("map<string,bigint>").alias("tiers"),
-        F.when(F.col("type") == EXCHANGE, F.struct(F.lit(1).alias("rank"), (-F.col("position")).alias("at")))
-        .otherwise(F.struct(F.lit(2).alias("rank"), (-F.col("position")).alias("at")))
-        .alias("precedence"),
-    ).unionByName(
-        operators.select(
+        f"if(type = '{EXCHANGE}', logo, NULL) AS logo",
+        "CAST(NULL AS BIGINT) AS node_count",
+        "CAST(NULL AS MAP<STRING, BIGINT>) AS tiers",
+    ).union(
+        operators.selectExpr(
             "address",
-            F.lit(NODE_OPERATOR).alias("type"),
-            nothing.cast("string").alias("name"),
-            nothing.cast("string").alias("logo"),
+            f"'{NODE_OPERATOR}'",
+            "named_struct('rank', 3, 'at', 0L)",
+            "CAST(NULL AS STRING)",
+            "CAST(NULL AS STRING)",
             "node_count",
             "tiers",
-            F.struct(F.lit(3).alias("rank"), F.lit(0).cast("bigint").alias("at")).alias("precedence"),
         )
     )
-    best = F.min_by(F.struct("type", "name", "logo", "node_count", "tiers"), "precedence")
-    return rows.groupBy("address").agg(best.alias("l")).select(
-        "address",
-        F.col("l.type").alias("type"),
-        party_details(F.col("l")).alias("details"),
+    best = "min_by(struct(type, name, logo, node_count, tiers), precedence) AS l"
+    fields = {f: f"l.{f}" for f in ("name", "logo", "node_count", "tiers")}
+    return (
+        rows.groupBy("address")
+        .agg(F.expr(best))
+        .selectExpr("address", "l.type AS type", f"{details_sql(**fields)} AS details")
     )
 
 
-def party_details(label: Column) -> Column:
-    """The details struct of a label: only the fields its type has."""
-    given = {f: label.getField(f) for f in ("name", "logo", "node_count", "tiers")}
-    return details_struct(**given)
-
-
 def classify_addresses(df: DataFrame, address_col: str, labels: DataFrame, prefix: str = "") -> DataFrame:
     """Add ``{prefix}type`` and ``{prefix}details`` by looking an address up.
 
@@ -99,15 +90,11 @@ def classify_addresses(df: DataFrame, address_col: str, labels: DataFrame, prefi
     allows it and otherwise shuffles, where AQE splits the partition of a busy
     address.
     """
-    looked_up = labels.select(
-        F.col("address").alias("_label_address"),
-        F.col("type").alias("_label_type"),
-        F.col("details").alias(f"{prefix}details"),
+    looked_up = labels.selectExpr(
+        "address AS _label_address", "type AS _label_type", f"details AS {prefix}details"
     )
-    return (
-        df.join(looked_up, F.col(address_col) == F.col("_label_address"), "left")
-        .withColumn(f"{prefix}type", F.coalesce("_label_type", F.lit(UNKNOWN)))
-        .drop("_label_address", "_label_type")
+    return df.join(looked_up, F.col(address_col) == F.col("_label_address"), "left").selectExpr(
+        *df.columns, f"coalesce(_label_type, '{UNKNOWN}') AS {prefix}type", f"{prefix}details"
     )
 
 

@@ -28,7 +28,7 @@ from ledgerflow.operators import (
     views,
 )
 from ledgerflow.schemas import EVENT_KEY
-from ledgerflow.session import shared_dir
+from ledgerflow.session import materialise, shared_dir
 from ledgerflow.sources import chain
 from ledgerflow.sources.testdata import LINE_ORDER, TestLedger
 from ledgerflow.streaming import ingest, totals
@@ -268,10 +268,11 @@ def block_times(t: TestLedger) -> DataFrame:
 # ------------------------------------------------------------------ attribution
 
 
-def probes(t: TestLedger, side: str) -> DataFrame:
-    """Wallet, height and time of all open events of a side."""
+def probes(t: TestLedger, *sides: str, store: bool = False) -> DataFrame:
+    """Side, wallet, height and time of all open events of the sides."""
     open_events = attribution.attribution_candidates(all_events(t), NOW, cap=None)
-    return open_events.filter(F.col("side") == side).select("wallet", "height", "block_time").distinct()
+    found = open_events.filter(F.col("side").isin(*sides)).select("side", "wallet", "height", "block_time").distinct()
+    return materialise(found, "probes") if store else found
 
 
 def evidence(t: TestLedger, store: bool = False) -> attribution.Evidence:
@@ -293,22 +294,15 @@ def unknown_stats(t: TestLedger) -> DataFrame:
     return attribution.unknown_stats(all_events(t), NOW)
 
 
-def _both_sides(t: TestLedger, lookup: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    return lookup(probes(t, BUYING), BUYING).withColumn("side", F.lit(BUYING)).unionByName(
-        lookup(probes(t, SELLING), SELLING).withColumn("side", F.lit(SELLING))
-    )
-
-
 @query
 def coinbase_evidence(t: TestLedger) -> DataFrame:
-    e = evidence(t)
-    return history.coinbase_evidence(probes(t, BUYING).unionByName(probes(t, SELLING)), e.receipts)
+    return history.coinbase_evidence(probes(t, BUYING, SELLING), evidence(t).receipts)
 
 
 @query
 def historical_connection(t: TestLedger) -> DataFrame:
-    e = evidence(t, store=True)
-    return _both_sides(t, lambda p, side: attribution.historical_connection(p, e, side))
+    t = t.stored()
+    return attribution.historical_connection(probes(t, BUYING, SELLING, store=True), evidence(t, store=True))
 
 
 @query
@@ -328,13 +322,13 @@ def prev_hop(t: TestLedger) -> DataFrame:
 
 @query
 def multi_hop_2(t: TestLedger) -> DataFrame:
-    e = evidence(t, store=True)
-    return _both_sides(t, lambda p, side: attribution.multi_hop(p, e, side)).withColumns(
-        {"chain": joined("chain"), "txids": joined("txids")}
-    )
+    t = t.stored()
+    found = attribution.multi_hop(probes(t, BUYING, SELLING, store=True), evidence(t, store=True))
+    return found.withColumns({"chain": joined("chain"), "txids": joined("txids")})
 
 
 def overlay(t: TestLedger) -> DataFrame:
+    """The overlay of one run over a stored ledger."""
     return attribution.attribute_unknowns(all_events(t), evidence(t, store=True), NOW)
 
 
@@ -352,6 +346,7 @@ def flat_attribution(ev: DataFrame, side: str) -> list[Column]:
 
 @query
 def attributed_events(t: TestLedger) -> DataFrame:
+    t = t.stored()
     ev = attribution.apply_overlay(all_events(t), overlay(t))
     return ev.select(
         *EVENT_KEY, "block_height", "from_address", "from_type", "to_address", "to_type", "flow_type",
@@ -362,12 +357,13 @@ def attributed_events(t: TestLedger) -> DataFrame:
 
 @query
 def attribution_stats(t: TestLedger) -> DataFrame:
+    t = t.stored()
     return attribution.attribution_stats(attribution.apply_overlay(all_events(t), overlay(t)))
 
 
 @query
 def attribution_report(t: TestLedger) -> DataFrame:
-    return attribution.attribution_report(overlay(t))
+    return attribution.attribution_report(overlay(t.stored()))
 
 
 # ------------------------------------------------------------------ tables
@@ -416,6 +412,7 @@ def _view(ev: DataFrame, view: Callable[[DataFrame, str], DataFrame]) -> DataFra
 
 @query
 def attribution_view(t: TestLedger) -> DataFrame:
+    t = t.stored()
     ev = attribution.apply_overlay(all_events(t), overlay(t))
     return _view(ev, views.attribution_view).withColumn("hop_chain", joined("hop_chain"))
 

@@ -109,14 +109,13 @@ class Ledger:
         )
 
 
-def details_struct(**given: Column) -> Column:
-    """A details struct with the given fields set and all others null."""
+def details_sql(**given: str) -> str:
+    """SQL for a details struct with the given fields set and all others null."""
     unknown = set(given) - set(DETAIL_FIELDS)
     if unknown:
         raise ValueError(f"not a details field: {sorted(unknown)}")
-    return F.struct(
-        *[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in DETAIL_FIELDS.items()]
-    )
+    parts = [f"'{n}', CAST({given.get(n, 'NULL')} AS {t})" for n, t in DETAIL_FIELDS.items()]
+    return f"named_struct({', '.join(parts)})"
 
 
 def details_to_json(details: Column) -> Column:

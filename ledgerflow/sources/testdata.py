@@ -10,12 +10,12 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerflow.constants import BLOCK_SECONDS, COINBASE, EXCHANGE, FOUNDATION, TRANSFER
 from ledgerflow.functions.scalars import MONEY
 from ledgerflow.operators.labels import label_dimension, node_operators
 from ledgerflow.schemas import Ledger
+from ledgerflow.session import materialise
 
 # Columns that number the lines of an order; ties are equal rows.
 LINE_ORDER = [
@@ -30,20 +30,20 @@ LINE_ORDER = [
 ]
 
 
-def epoch(ts: str) -> Column:
-    return F.unix_timestamp(F.col(ts).cast("timestamp"))
+def height_sql(seconds: str) -> str:
+    return f"CAST(floor({seconds} / {BLOCK_SECONDS}) AS BIGINT)"
 
 
-def height_of(seconds: Column) -> Column:
-    return F.floor(seconds / F.lit(BLOCK_SECONDS)).cast("bigint")
+def epoch_sql(ts: str) -> str:
+    return f"unix_timestamp(CAST({ts} AS TIMESTAMP))"
 
 
-def wallet(key: Column) -> Column:
-    return F.concat(F.lit("W"), key.cast("string"))
+def satoshi_sql(amount: str) -> str:
+    return f"CAST(round({amount} * 1e8D) AS {MONEY})"
 
 
-def to_satoshi(amount: Column) -> Column:
-    return F.round(amount * F.lit(1e8)).cast(MONEY)
+# Columns that all three frames of a ledger share.
+HEADER = ["txid", "kind", "height", "block_time", "tx_index"]
 
 
 @dataclass(frozen=True)
@@ -62,94 +62,87 @@ class TestLedger:
     def customers(self) -> DataFrame:
         return self.table("customer")
 
+    @cached_property
     def wallet_count(self) -> Column:
         """Number of wallets, as an uncorrelated scalar subquery."""
-        return self.customers.agg(F.count("*")).scalar()
+        return self.customers.selectExpr("count(*)").scalar()
 
     @cached_property
     def _orders(self) -> DataFrame:
-        low, digit = F.col("o_orderpriority") == "5-LOW", F.col("o_orderkey") % 10
-        seconds = epoch("o_orderdate")
-        return self.table("orders").select(
-            F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("txid"),
-            F.when(low & (digit < 5), COINBASE)
-            .when(low & (digit == 5), "confirm")
-            .otherwise(TRANSFER)
-            .alias("kind"),
-            height_of(seconds).alias("height"),
-            seconds.alias("block_time"),
-            F.col("o_orderkey").alias("tx_index"),
+        seconds = epoch_sql("o_orderdate")
+        return self.table("orders").selectExpr(
+            "concat('T', o_orderkey) AS txid",
+            f"""CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 10 < 5 THEN '{COINBASE}'
+                     WHEN o_orderpriority = '5-LOW' AND o_orderkey % 10 = 5 THEN 'confirm'
+                     ELSE '{TRANSFER}' END AS kind""",
+            f"{height_sql(seconds)} AS height",
+            f"{seconds} AS block_time",
+            "o_orderkey AS tx_index",
             "o_custkey",
             "o_totalprice",
         )
 
     @cached_property
     def ledger(self) -> Ledger:
-        common = ["txid", "kind", "height", "block_time", "tx_index"]
-        txs = self._orders.select(*common)
-        senders = F.array(
-            F.struct(
-                F.lit(0).alias("pos"),
-                wallet(F.col("o_custkey")).alias("address"),
-                to_satoshi(F.col("o_totalprice")).alias("satoshi"),
-            ),
-            F.when(
-                F.col("tx_index") % 7 == 0,
-                F.struct(
-                    F.lit(1).alias("pos"),
-                    wallet((F.col("o_custkey") + 1) % self.wallet_count()).alias("address"),
-                    F.lit(0).cast(MONEY).alias("satoshi"),
-                ),
-            ),
-        )
+        txs = self._orders.select(*HEADER)
+        first = f"named_struct('pos', 0, 'key', o_custkey, 'satoshi', {satoshi_sql('o_totalprice')})"
+        second = f"named_struct('pos', 1, 'key', (o_custkey + 1) % wallets, 'satoshi', CAST(0 AS {MONEY}))"
         inputs = (
-            self._orders.filter(F.col("kind") != COINBASE)
-            .select(*common, F.explode(senders).alias("s"))
-            .filter("s is not null")
-            .select(*common, "s.pos", F.lit(0).alias("addr_pos"), "s.address", "s.satoshi")
-        )
-        numbering = Window.partitionBy("txid").orderBy(*LINE_ORDER)
-        lines = self.table("lineitem").select(
-            F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("txid"),
-            *LINE_ORDER,
+            self._orders.filter(f"kind <> '{COINBASE}'")
+            .withColumn("wallets", self.wallet_count)
+            .selectExpr(*HEADER, f"explode(if(tx_index % 7 = 0, array({first}, {second}), array({first}))) AS s")
+            .selectExpr(*HEADER, "s.pos", "0 AS addr_pos", "concat('W', s.key) AS address", "s.satoshi")
         )
-        outputs = lines.select(
-            "txid",
-            (F.row_number().over(numbering) - 1).alias("vout"),
-            F.lit(0).alias("addr_pos"),
-            wallet((F.col("l_partkey") * 7 + F.col("l_suppkey")) % self.wallet_count()).alias("address"),
-            to_satoshi(F.col("l_extendedprice")).alias("satoshi"),
+        lines = self.table("lineitem").selectExpr("concat('T', l_orderkey) AS txid", *LINE_ORDER)
+        outputs = (
+            lines.withColumn("wallets", self.wallet_count)
+            .selectExpr(
+                "txid",
+                f"row_number() OVER (PARTITION BY txid ORDER BY {', '.join(LINE_ORDER)}) - 1 AS vout",
+                "0 AS addr_pos",
+                "concat('W', (l_partkey * 7 + l_suppkey) % wallets) AS address",
+                f"{satoshi_sql('l_extendedprice')} AS satoshi",
+            )
+            .join(txs, "txid")
+            .select(*HEADER, "vout", "addr_pos", "address", "satoshi")
         )
-        outputs = outputs.join(txs, "txid").select(*common, "vout", "addr_pos", "address", "satoshi")
         return Ledger(txs, inputs, outputs)
 
+    def stored(self) -> "TestLedger":
+        """The same tables with the ledger written out, for jobs that read it often."""
+        led = self.ledger
+        copy = TestLedger(self.spark, self.sf_dir)
+        copy.__dict__["ledger"] = Ledger(
+            led.txs, materialise(led.inputs, "inputs"), materialise(led.outputs, "outputs")
+        )
+        return copy
+
     @cached_property
     def listed(self) -> DataFrame:
         """Exchange and foundation addresses, as ``read_labels`` would give them."""
-        slot = F.col("c_custkey") % 25
-        return self.customers.filter(slot < 6).select(
-            wallet(F.col("c_custkey")).alias("address"),
-            F.when(slot < 4, EXCHANGE).otherwise(FOUNDATION).alias("type"),
-            F.when(slot == 0, "EX_A")
-            .when(slot == 1, "EX_B")
-            .when(slot < 4, "EX_C")
-            .otherwise("Foundation")
-            .alias("name"),
-            F.lit(None).cast("string").alias("logo"),
-            F.lit(0).cast("bigint").alias("position"),
+        return self.customers.filter("c_custkey % 25 < 6").selectExpr(
+            "concat('W', c_custkey) AS address",
+            f"if(c_custkey % 25 < 4, '{EXCHANGE}', '{FOUNDATION}') AS type",
+            """CASE WHEN c_custkey % 25 = 0 THEN 'EX_A' WHEN c_custkey % 25 = 1 THEN 'EX_B'
+                    WHEN c_custkey % 25 < 4 THEN 'EX_C' ELSE 'Foundation' END AS name""",
+            "CAST(NULL AS STRING) AS logo",
+            "0L AS position",
         )
 
     @cached_property
     def nodes(self) -> DataFrame:
         """The node registry, one row per node."""
-        digit = F.col("c_custkey") % 10
-        copies = F.sequence(F.lit(0).cast("bigint"), F.col("c_custkey") % 3)
-        return self.customers.filter(F.col("c_mktsegment") == "MACHINERY").select(
-            wallet(F.col("c_custkey")).alias("payment_address"),
-            F.when(digit < 6, "CUMULUS").when(digit < 9, "NIMBUS").otherwise("STRATUS").alias("tier"),
-            F.when(digit < 6, "1000").when(digit < 9, "12500").otherwise("40000").alias("collateral"),
-            F.explode(copies).alias("copy"),
-        ).drop("copy")
+        return (
+            self.customers.filter("c_mktsegment = 'MACHINERY'")
+            .selectExpr("c_custkey", "explode(sequence(0L, c_custkey % 3)) AS copy")
+            .selectExpr(
+                "concat('W', c_custkey) AS payment_address",
+                """CASE WHEN c_custkey % 10 < 6 THEN 'CUMULUS' WHEN c_custkey % 10 < 9 THEN 'NIMBUS'
+                        ELSE 'STRATUS' END AS tier""",
+                """CASE WHEN c_custkey % 10 < 6 THEN '1000' WHEN c_custkey % 10 < 9 THEN '12500'
+                        ELSE '40000' END AS collateral""",
+            )
+        )
 
     @cached_property
     def operators(self) -> DataFrame:
@@ -163,14 +156,15 @@ class TestLedger:
     def blocks(self) -> DataFrame:
         """One block per height that has an order."""
         return self._orders.groupBy("height").agg(
-            F.min("block_time").alias("time"), F.count("*").cast("int").alias("tx_count")
-        ).withColumn("time", F.col("height") * BLOCK_SECONDS)
+            F.expr("min(block_time) AS time"), F.expr("CAST(count(*) AS INT) AS tx_count")
+        )
 
     @cached_property
     def event_blocks(self) -> DataFrame:
         """A second chain, dense in height, from the event stream."""
         return (
-            self.table("events").select(height_of(epoch("ts")).alias("height")).groupBy("height").agg(
-                F.count("*").cast("int").alias("tx_count")
-            )
+            self.table("events")
+            .selectExpr(f"{height_sql(epoch_sql('ts'))} AS height")
+            .groupBy("height")
+            .agg(F.expr("CAST(count(*) AS INT) AS tx_count"))
         )
