@@ -57,11 +57,13 @@ def age_band(height: Column, blocks: DataFrame) -> Column:
 def all_periods(banded: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Add up band aggregates into one row per period and key.
 
-    ``banded`` holds few rows: one per band and key.
+    ``banded`` holds few rows, one per band and key; each counts for its own period
+    and all longer ones.
     """
-    frame = period_frame(banded)
+    longest = len(PERIODS) - 1
     return (
-        banded.join(F.broadcast(frame), F.col("band") <= F.col("position"))
-        .groupBy("period", *keys)
+        banded.withColumn("position", F.explode(F.sequence("band", F.lit(longest))))
+        .groupBy("position", *keys)
         .agg(*[F.sum(c).alias(c) for c in sums])
+        .join(period_frame(banded).select("position", "period"), "position")
     )

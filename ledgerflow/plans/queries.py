@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.constants import BUYING, SELLING, SIX_MONTHS, TIERS
+from ledgerflow.constants import BUYING, RECEIVED, SELLING, SENT, SIX_MONTHS, TIERS
 from ledgerflow.functions import scalars
 from ledgerflow.operators import (
     attribution,
@@ -275,8 +275,12 @@ def probes(t: TestLedger, *sides: str, store: bool = False) -> DataFrame:
     return materialise(found, "probes") if store else found
 
 
-def evidence(t: TestLedger, store: bool = False) -> attribution.Evidence:
-    return attribution.Evidence.of(t.ledger, t.operators, store)
+def evidence(t: TestLedger) -> attribution.Evidence:
+    return attribution.Evidence.of(t.ledger, t.operators)
+
+
+def edges(t: TestLedger, direction: str) -> DataFrame:
+    return history.hop_edges(history.wallet_history(t.ledger), t.ledger, direction)
 
 
 @query
@@ -296,40 +300,41 @@ def unknown_stats(t: TestLedger) -> DataFrame:
 
 @query
 def coinbase_evidence(t: TestLedger) -> DataFrame:
-    return history.coinbase_evidence(probes(t, BUYING, SELLING), evidence(t).receipts)
+    receipts = history.coinbase_receipts(history.wallet_history(t.ledger))
+    return history.coinbase_evidence(probes(t, BUYING, SELLING), receipts)
 
 
 @query
 def historical_connection(t: TestLedger) -> DataFrame:
     t = t.stored()
-    return attribution.historical_connection(probes(t, BUYING, SELLING, store=True), evidence(t, store=True))
+    return attribution.historical_connection(probes(t, BUYING, SELLING, store=True), evidence(t))
 
 
 @query
 def next_hop(t: TestLedger) -> DataFrame:
-    return history.next_hop(probes(t, BUYING), evidence(t).edges(BUYING))
+    return history.next_hop(probes(t, BUYING), edges(t, SENT))
 
 
 @query
 def next_hop_oldest(t: TestLedger) -> DataFrame:
-    return history.next_hop(probes(t, BUYING), evidence(t).edges(BUYING), order="oldest")
+    return history.next_hop(probes(t, BUYING), edges(t, SENT), order="oldest")
 
 
 @query
 def prev_hop(t: TestLedger) -> DataFrame:
-    return history.prev_hop(probes(t, SELLING), evidence(t).edges(SELLING))
+    return history.prev_hop(probes(t, SELLING), edges(t, RECEIVED))
 
 
 @query
 def multi_hop_2(t: TestLedger) -> DataFrame:
     t = t.stored()
-    found = attribution.multi_hop(probes(t, BUYING, SELLING, store=True), evidence(t, store=True))
+    found = attribution.multi_hop(probes(t, BUYING, SELLING, store=True), evidence(t))
     return found.withColumns({"chain": joined("chain"), "txids": joined("txids")})
 
 
 def overlay(t: TestLedger) -> DataFrame:
     """The overlay of one run over a stored ledger."""
-    return attribution.attribute_unknowns(all_events(t), evidence(t, store=True), NOW)
+    return attribution.attribute_unknowns(all_events(t), evidence(t), NOW)
 
 
 def flat_attribution(ev: DataFrame, side: str) -> list[Column]:
