@@ -30,6 +30,7 @@ from ledgerflow.operators import (
 from ledgerflow.schemas import EVENT_KEY
 from ledgerflow.session import materialise, shared_dir
 from ledgerflow.sources import chain
+from ledgerflow.sources.labels import read_labels, read_node_registry
 from ledgerflow.sources.testdata import LINE_ORDER, TestLedger
 from ledgerflow.streaming import ingest, totals
 
@@ -66,9 +67,15 @@ def all_events(t: TestLedger) -> DataFrame:
     return events.build_flow_events(t.ledger, t.labels)
 
 
-def period_events(t: TestLedger, period: str) -> DataFrame:
+def plain_events(t: TestLedger) -> DataFrame:
+    """All events, for answers that do not need to tell outputs apart."""
+    return events.build_flow_events(t.unnumbered, t.labels)
+
+
+def period_events(t: TestLedger, period: str, numbered: bool = False) -> DataFrame:
     """The events of a period, built from that part of the ledger only."""
-    return events.build_flow_events(periods.ledger_slice(t.ledger, t.blocks, period), t.labels)
+    led = t.ledger if numbered else t.unnumbered
+    return events.build_flow_events(periods.ledger_slice(led, t.blocks, period), t.labels)
 
 
 def flat_events(ev: DataFrame) -> DataFrame:
@@ -109,7 +116,7 @@ def classify_addresses(t: TestLedger) -> DataFrame:
 
 @query
 def primary_input(t: TestLedger) -> DataFrame:
-    led = events.transfers_only(t.ledger)
+    led = events.transfers_only(t.unnumbered)
     return events.primary_input(led, t.labels).select(
         "txid", "from_address", "from_type", F.col("from_details.name").alias("from_name")
     )
@@ -117,7 +124,7 @@ def primary_input(t: TestLedger) -> DataFrame:
 
 @query
 def relevant_transactions(t: TestLedger) -> DataFrame:
-    return events.relevant_only(events.transfers_only(t.ledger), t.labels).txs
+    return events.relevant_only(events.transfers_only(t.unnumbered), t.labels).txs
 
 
 @query
@@ -128,12 +135,12 @@ def cap_per_block(t: TestLedger) -> DataFrame:
 
 @query
 def relevance_rate(t: TestLedger) -> DataFrame:
-    return events.relevance_rate(t.ledger, t.labels)
+    return events.relevance_rate(t.unnumbered, t.labels)
 
 
 @query
 def tx_totals(t: TestLedger) -> DataFrame:
-    return events.tx_totals(t.ledger)
+    return events.tx_totals(t.unnumbered)
 
 
 @query
@@ -188,12 +195,12 @@ def _with_exchanges(top: DataFrame) -> DataFrame:
 
 @query
 def top_buyers_6m(t: TestLedger) -> DataFrame:
-    return _with_exchanges(summary.top_buyers(period_events(t, "6M")))
+    return _with_exchanges(summary.top_buyers(period_events(t, "6M", numbered=True)))
 
 
 @query
 def top_sellers_6m(t: TestLedger) -> DataFrame:
-    return _with_exchanges(summary.top_sellers(period_events(t, "6M")))
+    return _with_exchanges(summary.top_sellers(period_events(t, "6M", numbered=True)))
 
 
 @query
@@ -208,7 +215,7 @@ def category_series_6m(t: TestLedger) -> DataFrame:
 
 @query
 def flow_type_stats(t: TestLedger) -> DataFrame:
-    return summary.flow_type_stats(all_events(t))
+    return summary.flow_type_stats(plain_events(t))
 
 
 # ------------------------------------------------------------------ registry, coverage
@@ -233,8 +240,8 @@ def top_node_operators(t: TestLedger) -> DataFrame:
 
 @query
 def ledger_counts(t: TestLedger) -> DataFrame:
-    relevant = events.relevant_only(events.transfers_only(t.ledger), t.labels).txs
-    return coverage.ledger_counts(t.blocks, relevant, all_events(t))
+    relevant = events.relevant_only(events.transfers_only(t.unnumbered), t.labels).txs
+    return coverage.ledger_counts(t.blocks, relevant, plain_events(t))
 
 
 @query
@@ -270,7 +277,7 @@ def block_times(t: TestLedger) -> DataFrame:
 
 def probes(t: TestLedger, *sides: str, store: bool = False) -> DataFrame:
     """Side, wallet, height and time of all open events of the sides."""
-    open_events = attribution.attribution_candidates(all_events(t), NOW, cap=None)
+    open_events = attribution.attribution_candidates(plain_events(t), NOW, cap=None)
     found = open_events.filter(F.col("side").isin(*sides)).select("side", "wallet", "height", "block_time").distinct()
     return materialise(found, "probes") if store else found
 
@@ -280,12 +287,12 @@ def evidence(t: TestLedger) -> attribution.Evidence:
 
 
 def edges(t: TestLedger, direction: str) -> DataFrame:
-    return history.hop_edges(history.wallet_history(t.ledger), t.ledger, direction)
+    return history.hop_edges(history.wallet_history(t.unnumbered), t.ledger, direction)
 
 
 @query
 def wallet_history(t: TestLedger) -> DataFrame:
-    return history.wallet_history(t.ledger)
+    return history.wallet_history(t.unnumbered)
 
 
 @query
@@ -295,12 +302,12 @@ def attribution_candidates(t: TestLedger) -> DataFrame:
 
 @query
 def unknown_stats(t: TestLedger) -> DataFrame:
-    return attribution.unknown_stats(all_events(t), NOW)
+    return attribution.unknown_stats(plain_events(t), NOW)
 
 
 @query
 def coinbase_evidence(t: TestLedger) -> DataFrame:
-    receipts = history.coinbase_receipts(history.wallet_history(t.ledger))
+    receipts = history.coinbase_receipts(history.wallet_history(t.unnumbered))
     return history.coinbase_evidence(probes(t, BUYING, SELLING), receipts)
 
 
@@ -391,9 +398,9 @@ def retain_6m(t: TestLedger) -> DataFrame:
 
 @query
 def retention_report(t: TestLedger) -> DataFrame:
-    led = events.transfers_only(t.ledger)
+    led = events.transfers_only(t.unnumbered)
     txs = events.tx_totals(events.relevant_only(led, t.labels))
-    return tables.retention_report(t.blocks, txs, all_events(t), periods.tip(t.blocks))
+    return tables.retention_report(t.blocks, txs, plain_events(t), periods.tip(t.blocks))
 
 
 @query
@@ -425,8 +432,8 @@ def attribution_view(t: TestLedger) -> DataFrame:
 # ------------------------------------------------------------------ transaction view
 
 
-def classified(t: TestLedger) -> tuple[DataFrame, DataFrame]:
-    led = events.transfers_only(t.ledger)
+def classified(t: TestLedger, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
+    led = events.transfers_only(t.ledger if numbered else t.unnumbered)
     return txview.classify_transactions(led, t.labels), txview.explode_classifications(led, t.labels)
 
 
@@ -437,7 +444,7 @@ def classify_transactions(t: TestLedger) -> DataFrame:
 
 @query
 def explode_classifications(t: TestLedger) -> DataFrame:
-    return classified(t)[1].select(
+    return classified(t, numbered=True)[1].select(
         "txid", "direction", "pos", "address", "type", F.col("details.name").alias("name"),
         F.col("details.node_count").alias("nodes"),
     )
@@ -445,7 +452,7 @@ def explode_classifications(t: TestLedger) -> DataFrame:
 
 @query
 def tx_with_parties(t: TestLedger) -> DataFrame:
-    return txview.tx_with_parties(*classified(t)).select(
+    return txview.tx_with_parties(*classified(t, numbered=True)).select(
         "txid", "block_height", "flow_type", "total_value", "direction", "pos", "address", "type"
     )
 
@@ -460,6 +467,26 @@ def buying_transactions(t: TestLedger) -> DataFrame:
     return txview.buying_transactions(classified(t)[0]).select("txid", "block_height", "total_value")
 
 
+@query
+def selling_transactions(t: TestLedger) -> DataFrame:
+    return txview.selling_transactions(classified(t)[0]).select("txid", "block_height", "total_value")
+
+
+@query
+def tx_between(t: TestLedger) -> DataFrame:
+    return scans.tx_between(classified(t)[0], 28_000_000, 29_000_000).drop("satoshi", "flow_direction")
+
+
+@query
+def lookup_transaction(t: TestLedger) -> DataFrame:
+    return scans.lookup(classified(t)[0], txid="T7").select("txid", "block_height", "total_value", "flow_type")
+
+
+@query
+def latest_block(t: TestLedger) -> DataFrame:
+    return scans.latest_block(t.blocks)
+
+
 @query
 def tx_by_flow_type(t: TestLedger) -> DataFrame:
     return scans.tx_by_flow_type(classified(t)[0], "transfer").select("txid", "block_time", "total_value")
@@ -504,6 +531,38 @@ def land_transactions(t: TestLedger, path: str) -> None:
     chain.landed_transactions(t.ledger, second).write.json(path)
 
 
+# Addresses or nodes per landed document.
+DOCUMENT = 1000
+
+
+@query
+def labels_from_files(t: TestLedger) -> DataFrame:
+    """Land the labels as configuration documents of bounded size and read them back."""
+    path = landing(t)
+    numbered = t.listed.selectExpr("*", f"CAST(substring(address, 2) AS BIGINT) div {DOCUMENT} AS doc")
+    lists = numbered.groupBy("doc", "type", "name").agg(F.expr("collect_list(address) AS addresses"))
+    documents = lists.groupBy("doc").agg(
+        F.expr("collect_list(struct(name, addresses)) FILTER (WHERE type = 'exchange') AS exchanges"),
+        F.expr("any_value(struct(name, addresses)) FILTER (WHERE type = 'foundation') AS foundation"),
+    )
+    documents.drop("doc").write.json(path)
+    return read_labels(t.spark, path, lines=True).select("address", "type", "name")
+
+
+@query
+def registry_from_files(t: TestLedger) -> DataFrame:
+    """Land the node registry as documents of both shapes and count it again."""
+    path = landing(t)
+    numbered = t.nodes.selectExpr("*", f"CAST(substring(payment_address, 2) AS BIGINT) div {DOCUMENT} AS doc")
+    documents = numbered.groupBy("doc").agg(
+        F.expr("collect_list(struct(payment_address, tier, collateral)) AS nodes")
+    )
+    documents.selectExpr("if(doc % 2 = 0, to_json(nodes), to_json(struct(nodes)))").write.text(path)
+    return labels.node_operators(read_node_registry(t.spark, path, lines=True)).select(
+        "address", "node_count", tier_text(F.col("tiers")).alias("tiers"), "total_collateral"
+    )
+
+
 @query
 def json_round_trip(t: TestLedger) -> DataFrame:
     path = landing(t)

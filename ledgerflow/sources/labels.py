@@ -9,13 +9,14 @@ from ledgerflow.constants import EXCHANGE, FOUNDATION
 from ledgerflow.schemas import LABEL_FILE, NODE
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Exchange and foundation addresses: address, type, name, logo, position.
 
+    A file holds one document, or with ``lines`` one document per line.
     ``position`` is the place of the exchange in the file; of two that list the same
     address the later one counts.
     """
-    config = spark.read.schema(LABEL_FILE).json(path, multiLine=True)
+    config = spark.read.schema(LABEL_FILE).json(path, multiLine=not lines)
     exchanges = config.select(F.posexplode("exchanges").alias("position", "e")).select(
         F.explode("e.addresses").alias("address"),
         F.lit(EXCHANGE).alias("type"),
@@ -47,9 +48,12 @@ def parse_node_registry(text: Column) -> Column:
     return F.when(F.ltrim(text).startswith("["), F.from_json(text, nodes)).otherwise(F.from_json(inner, nodes))
 
 
-def read_node_registry(spark: SparkSession, path: str) -> DataFrame:
-    """One row per node: payment_address, tier, collateral. Empty if there is none."""
-    document = spark.read.text(path, wholetext=True)
+def read_node_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per node: payment_address, tier, collateral. Empty if there is none.
+
+    A file holds one document, or with ``lines`` one document per line.
+    """
+    document = spark.read.text(path, wholetext=not lines)
     return document.select(F.inline(parse_node_registry(F.col("value"))))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerflow.constants import BLOCK_SECONDS, COINBASE, EXCHANGE, FOUNDATION, TRANSFER
 from ledgerflow.functions.scalars import MONEY
 from ledgerflow.operators.labels import label_dimension, node_operators
+from ledgerflow.operators.numbering import number_rows
 from ledgerflow.schemas import Ledger
 from ledgerflow.session import materialise
 
@@ -46,6 +47,10 @@ def satoshi_sql(amount: str) -> str:
 HEADER = ["txid", "kind", "height", "block_time", "tx_index"]
 
 
+# Never falls along LINE_ORDER: parts of a crowded order.
+LINE_PART = "struct(l_linenumber, l_partkey div 100000 AS parts)"
+
+
 @dataclass(frozen=True)
 class TestLedger:
     """Lazy frames over one scale-factor folder; each property is only a plan."""
@@ -84,7 +89,7 @@ class TestLedger:
 
     @cached_property
     def ledger(self) -> Ledger:
-        txs = self._orders.select(*HEADER)
+        txs = self.ledger_txs
         first = f"named_struct('pos', 0, 'key', o_custkey, 'satoshi', {satoshi_sql('o_totalprice')})"
         second = f"named_struct('pos', 1, 'key', (o_custkey + 1) % wallets, 'satoshi', CAST(0 AS {MONEY}))"
         inputs = (
@@ -93,26 +98,46 @@ class TestLedger:
             .selectExpr(*HEADER, f"explode(if(tx_index % 7 = 0, array({first}, {second}), array({first}))) AS s")
             .selectExpr(*HEADER, "s.pos", "0 AS addr_pos", "concat('W', s.key) AS address", "s.satoshi")
         )
-        lines = self.table("lineitem").selectExpr("concat('T', l_orderkey) AS txid", *LINE_ORDER)
-        outputs = (
+        numbered = number_rows(self._lines, "txid", LINE_ORDER, LINE_PART, "vout")
+        return Ledger(txs, inputs, self._outputs(numbered))
+
+    @cached_property
+    def unnumbered(self) -> Ledger:
+        """The ledger with null output numbers, for answers that use none.
+
+        Here outputs are numbered by sorting lines, a cost that a chain, which comes
+        numbered, does not have.
+        """
+        led = self.ledger
+        return Ledger(led.txs, led.inputs, self._outputs(self._lines.withColumn("vout", F.lit(None).cast("int"))))
+
+    @cached_property
+    def _lines(self) -> DataFrame:
+        return self.table("lineitem").selectExpr("concat('T', l_orderkey) AS txid", *LINE_ORDER)
+
+    def _outputs(self, lines: DataFrame) -> DataFrame:
+        return (
             lines.withColumn("wallets", self.wallet_count)
             .selectExpr(
                 "txid",
-                f"row_number() OVER (PARTITION BY txid ORDER BY {', '.join(LINE_ORDER)}) - 1 AS vout",
+                "vout",
                 "0 AS addr_pos",
                 "concat('W', (l_partkey * 7 + l_suppkey) % wallets) AS address",
                 f"{satoshi_sql('l_extendedprice')} AS satoshi",
             )
-            .join(txs, "txid")
+            .join(self.ledger_txs, "txid")
             .select(*HEADER, "vout", "addr_pos", "address", "satoshi")
         )
-        return Ledger(txs, inputs, outputs)
+
+    @cached_property
+    def ledger_txs(self) -> DataFrame:
+        return self._orders.select(*HEADER)
 
     def stored(self) -> "TestLedger":
         """The same tables with the ledger written out, for jobs that read it often."""
         led = self.ledger
         copy = TestLedger(self.spark, self.sf_dir)
-        copy.__dict__["ledger"] = Ledger(
+        copy.__dict__["ledger"] = copy.__dict__["unnumbered"] = Ledger(
             led.txs, materialise(led.inputs, "inputs"), materialise(led.outputs, "outputs")
         )
         return copy

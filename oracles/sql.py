@@ -652,6 +652,17 @@ GROUP BY flow_type""", TX_VIEW),
     "buying_transactions": ledger(f"""
 SELECT txid, block_height, {coins('sat')} AS total_value FROM txv WHERE flow_type = 'buy'
 ORDER BY block_height DESC, tx_index DESC LIMIT 100""", TX_VIEW),
+    "selling_transactions": ledger(f"""
+SELECT txid, block_height, {coins('sat')} AS total_value FROM txv WHERE flow_type = 'sell'
+ORDER BY block_height DESC, tx_index DESC LIMIT 100""", TX_VIEW),
+    "tx_between": ledger(f"""
+SELECT txid, block_height, block_time, tx_index, {coins('sat')} AS total_value, flow_type
+FROM txv WHERE block_height BETWEEN 28000000 AND 29000000""", TX_VIEW),
+    "lookup_transaction": ledger(f"""
+SELECT txid, block_height, {coins('sat')} AS total_value, flow_type FROM txv WHERE txid = 'T7'""", TX_VIEW),
+    "latest_block": ledger("""
+SELECT height, min(block_time) AS time, CAST(count(*) AS INTEGER) AS tx_count FROM tx
+GROUP BY height ORDER BY height DESC LIMIT 1"""),
     "tx_by_flow_type": ledger(f"""
 SELECT txid, block_time, {coins('sat')} AS total_value FROM txv WHERE flow_type = 'transfer'
 ORDER BY block_time DESC, tx_index DESC LIMIT 100""", TX_VIEW),
@@ -680,6 +691,8 @@ SELECT (SELECT count(DISTINCT height) FROM tx) AS blocks, (SELECT min(height) FR
        {coins("coalesce(sum(sat) FILTER (WHERE flow_type = 'transfer'), 0)")} AS transfer_value
 FROM txv""", TX_VIEW),
     # files and streams
+    "labels_from_files": ledger(" SELECT address, type, name FROM listed"),
+    "registry_from_files": ledger(" SELECT address, node_count, tiers, total_collateral FROM ops"),
     "json_round_trip": ledger(f"SELECT txid, kind, height, vout, address, {coins('sat')} AS value FROM outp"),
     "stream_ingest": EVENTS,
     "stream_flow_totals": ledger(f"""

@@ -138,7 +138,7 @@ def test_streams_in_any_order_equal_the_batch(spark, tmp_path):
     out = str(tmp_path / "out")
     for _ in range(2):  # a second start finds nothing new
         ingest.stream_blocks(
-            spark, str(landing), out, str(tmp_path / "cp"), lambda: lab, max_files=1, trigger={"availableNow": True}
+            spark, str(landing), out, str(tmp_path / "cp"), lambda: lab, max_files=2, trigger={"availableNow": True}
         ).awaitTermination()
     stored = ingest.stored_events(spark, out)
     columns = ["txid", "vout", "block_height", "flow_type", "amount"]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators import scans, tables
 from ledgerflow.operators.events import build_flow_events
+from ledgerflow.operators.numbering import number_rows
 from tests.chain import labels, ledger, rows
 
 
@@ -79,3 +80,14 @@ def test_scans(spark):
     assert rows(scans.lookup(ev, txid="a", vout=1), "to_address") == [("y",)]
     assert rows(scans.lookup(ev, block_height=30_000), "txid") == [("b",)]
     assert rows(scans.latest_block(ev.withColumnRenamed("block_height", "height")), "txid") == [("b",)]
+
+
+def test_crowded_groups_are_numbered_in_parts(spark):
+    df = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "id * 7919 % 1009 AS a", "id AS b")
+    got = number_rows(df, "k", ["a", "b"], "a div 10", "n", group_rows=100)
+    groups = {}
+    for k, a, b, n in rows(got, "k", "a", "b", "n"):
+        groups.setdefault(k, []).append((a, b, n))
+    assert len(groups["hot"]) > 600
+    for members in groups.values():
+        assert [n for _, _, n in sorted(members)] == list(range(len(members)))
