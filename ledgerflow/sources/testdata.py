@@ -36,7 +36,8 @@ def height_sql(seconds: str) -> str:
 
 
 def epoch_sql(ts: str) -> str:
-    return f"unix_timestamp(CAST({ts} AS TIMESTAMP))"
+    """Seconds since 1970 of a timestamp without zone, whatever zone the session has."""
+    return f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})"
 
 
 def satoshi_sql(amount: str) -> str:
