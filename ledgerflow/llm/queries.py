@@ -6,17 +6,102 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe
+from ledgerflow.llm import bpe, topk, urls, warc
+from ledgerflow.llm.urls import Rule
 from ledgerflow.llm.tables import table
 
 
+# The stated URL rules.
+URL_RULES = [
+    Rule("com", "/", "allow"),
+    Rule("example.com", "/en/", "block"),
+    Rule("www.example.com", "/en/", "allow"),
+    Rule("net", "/es/", "block"),
+    Rule("net", "/fr/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filter": op2_url_filter,
+    "op7_top_k": op7_top_k,
+    "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": """
+        with cut as (
+            select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+        ), part as (
+            select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from cut
+        ), rules(rh, rp, rv) as (
+            values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), fit as (
+            select page_id, arg_max(rh || rp, length(rh || rp)) as rule, arg_max(rv, length(rh || rp)) as stated
+            from part join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id
+        ), known as (
+            select p.page_id, host, path, rule, stated,
+                   list_distinct(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host=' || x)
+                     || case when host <> '' then ['top=' || list_filter(string_split(host, '.'), lambda x: x <> '')[-1]] else [] end
+                     || list_transform(list_filter(string_split(path, '/'), lambda x: x <> '' and not regexp_matches(x, '^[0-9]+')), lambda x: 'path=' || x)) as tokens
+            from part p left join fit f on p.page_id = f.page_id
+        ), item as (select page_id, stated, unnest(tokens) as t from known),
+        taught as (select page_id, stated, t from item where stated is not null),
+        total as (select count(*) as n, ceil(0.01 * count(*)) as least from known where stated is not null),
+        ante as (
+            select page_id, stated, [t] as items from taught
+            union all select a.page_id, a.stated, [a.t, b.t] from taught a join taught b on a.page_id = b.page_id and a.t < b.t
+        ), freq as (select items, count(*) as f from ante group by items),
+        raw as (
+            select a.items, a.stated as verdict, count(*) / any_value(f)::double as confidence, count(*) as support
+            from ante a join freq q on a.items = q.items group by a.items, a.stated
+            having count(*) >= (select least from total) and count(*) / any_value(f)::double >= 0.9
+        ), mined as (
+            select * from raw r where len(items) = 1 or not exists (
+                select 1 from raw o where len(o.items) = 1 and o.items[1] in (r.items[1], r.items[2]) and o.verdict = r.verdict and o.confidence >= r.confidence)
+        ), guess as (
+            select page_id, arg_max(verdict, (confidence, support, len(items), case verdict when 'block' then 1 else 0 end)) as verdict
+            from known join mined on len(list_intersect(tokens, items)) = len(items) where stated is null group by page_id
+        )
+        select k.page_id, host, path, rule, coalesce(stated, g.verdict, 'allow') as verdict from known k left join guess g on k.page_id = g.page_id
+    """,
+    "op7_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), product as (
+            select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0)))::bigint as score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+        ), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from product)
+        select query_id, rank, vec_id, score from ranked where rank <= 5
+    """,
+    "op9_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        d as (
+            select page_id, strlen(html)::bigint as payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha1(html), 1 + 5 * (i // 4)::bigint, 5))::bigint >> (15 - 5 * (i % 4))::integer) & 31)::integer, 1)), 'string_agg', '') as payload_digest
+            from p
+        ), f as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
+        select page_id, payload_bytes, payload_digest, case when first_id = page_id then 'response' else 'revisit' end as record_type,
+               case when first_id <> page_id then first_id end as refers_to from f
+    """,
+}
