@@ -64,9 +64,9 @@ def runs(batch: pa.RecordBatch, column: str, limit: int = RUN_BYTES) -> Iterator
         start = stop
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first word of each row and one past the last) of the runs of non-space bytes."""
-    gap = SPACES[data]
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of each row and one past the last) of the runs of bytes that are no gap."""
+    gap = gaps[data]
     before = np.empty(len(gap), bool)
     before[1:] = gap[:-1]
     after = np.empty(len(gap), bool)
