@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe, quality, topk, toxicity, urls, warc
+from ledgerflow.llm import bpe, html, quality, topk, toxicity, urls, warc
 from ledgerflow.llm.urls import Rule
 from ledgerflow.llm.tables import table
 
@@ -23,6 +23,10 @@ URL_RULES = [
 ]
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -48,6 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_url_filter": op2_url_filter,
     "op4_quality": op4_quality,
     "op7_top_k": op7_top_k,
