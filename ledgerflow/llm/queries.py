@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe, html, quality, topk, toxicity, urls, warc
+from ledgerflow.llm import bpe, html, ngram_join, quality, suffixes, topk, toxicity, urls, warc
 from ledgerflow.llm.urls import Rule
 from ledgerflow.llm.tables import table
 
@@ -31,10 +31,18 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -54,7 +62,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": op1_main_text,
     "op2_url_filter": op2_url_filter,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality": op4_quality,
+    "op5_ngram_join": op5_ngram_join,
     "op7_top_k": op7_top_k,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
@@ -99,6 +109,42 @@ ORACLES: dict[str, str] = {
         )
         select k.page_id, host, path, rule, coalesce(stated, g.verdict, 'allow') as verdict from known k left join guess g on k.page_id = g.page_id
     """,
+    "op3_suffix_dedup": """
+        with body as (select doc_id, hex(encode(coalesce(text, ''))) as x, (length(hex(encode(coalesce(text, '')))) // 2)::bigint as n from documents),
+        string as (select doc_id, i, md5(substr(x, 2 * i + 1, 200)) as g from (select doc_id, x, unnest(range(n - 99)) as i from body where n >= 100)),
+        again as (
+            select doc_id, i from (select doc_id, i, min(doc_id * 16777216 + i) over (partition by g) as first from string) where doc_id * 16777216 + i > first
+        ), run as (
+            select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run
+            from (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as fresh from again)
+        ), span as (select doc_id, min(i) as b, max(i) + 100 as e from run group by doc_id, run),
+        piece as (
+            select doc_id, coalesce(lag(e) over (partition by doc_id order by b), 0) as a, b from span
+            union all select doc_id, coalesce(max(e), 0), any_value(n) from body left join span using (doc_id) group by doc_id
+        ), kept as (
+            select p.doc_id, string_agg(substr(x, 2 * a + 1, 2 * (p.b - a)), '' order by a) as x from piece p join body using (doc_id) group by p.doc_id
+        ), gone as (select doc_id, sum(e - b) as n_removed, count(*) as n_spans from span group by doc_id)
+        select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(kept.x)) as kept_sha256
+        from body join kept using (doc_id) left join gone using (doc_id)
+    """,
+    "op5_ngram_join": """
+        with recursive word as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+        ), gram as (
+            select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' '))
+                                                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from word
+        ), size as (select doc_id, count(*) as n from gram group by doc_id),
+        shared as (
+            select a.doc_id as a, b.doc_id as b, count(*) as c from gram a join gram b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+        ), link as (
+            select a, b from shared join size x on a = x.doc_id join size y on b = y.doc_id where 100 * c >= 90 * (x.n + y.n - c)
+        ), both_ways as (select a, b from link union all select b, a from link),
+        reach(a, b) as (
+            select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a
+        ), least as (select a, min(b) as b from reach group by a)
+        select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(b, d.doc_id))::bigint as component_id
+        from documents d left join size s on d.doc_id = s.doc_id left join least l on d.doc_id = l.a
+    """,
     "op7_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
