@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.components import components
-from ledgerflow.llm.tables import stored
+from ledgerflow.llm.tables import release, stored
 from ledgerflow.llm.text import MIXED_LOWER, runs, shingle_hashes, span_hashes, words
 
 HOT_NGRAMS = 50_000
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, measure: Measure, n: int, key: str, text: str) -
         for batch in batches:
             for rows, data, offsets in runs(batch, "text"):
                 sets = signed_sets(data, offsets, n)
-                low = [s[: measure.prefix(len(s)) * 3 // 2 + 8] for s in sets]
+                low = [s[: measure.prefix(len(s)) * 3 // 2 + 16] for s in sets]
                 node = [class_of(s) for s in sets]
                 ends = np.cumsum([0, *map(len, low)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low)))
@@ -98,42 +98,54 @@ def signatures(docs: DataFrame, measure: Measure, n: int, key: str, text: str) -
     return chosen.mapInArrow(run, "doc_id long, n long, node long, low array<long>")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    """(node, grams) for the classes of ``wanted`` (node, doc_id), from one text of each."""
+def texts_to_sets(chosen: DataFrame, n: int) -> DataFrame:
+    """(node, extra, grams) from (node, text, extra): the whole set of each class.
+
+    An id may repeat with another text; only the class's own text counts."""
+    extra = chosen.schema["extra"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in runs(batch, "text"):
-                found = zip(rows.column(0).to_pylist(), signed_sets(data, offsets, n), strict=True)
-                # An id may repeat with another text; only the class's own text counts.
-                kept = [(node, s) for node, s in found if class_of(s) == node]
-                sets = [np.zeros(0, np.int64), *(s for _, s in kept)]
-                ends = np.cumsum([0, *map(len, sets[1:])], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in kept], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "grams"])
+                sets = signed_sets(data, offsets, n)
+                own = [k for k, (node, s) in enumerate(zip(rows.column(0).to_pylist(), sets, strict=True)) if class_of(s) == node]
+                kept = [np.zeros(0, np.int64), *(sets[k] for k in own)]
+                ends = np.cumsum([0, *map(len, kept[1:])], dtype=np.int32)
+                at = pa.array(own, pa.int64())
+                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept)))
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(2).take(at), grams], names=["node", "extra", "grams"])
 
-    chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, grams array<long>")
+    return chosen.select("node", "text", "extra").mapInArrow(run, f"node long, extra {extra}, grams array<long>")
 
 
 class Join:
     def __init__(self, docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text"):
-        self.docs, self.n, self.key, self.text = docs, n, key, text
+        self.docs, self.n = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), n
+        self.spark = docs.sparkSession
         self.measure = Measure(percent)
         self.rows = stored(signatures(docs, self.measure, n, key, text), "signatures")
-        # One row per class; where an id repeats with other texts, the class keeps any text of its own.
-        self.classes = stored(
-            self.rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low")), "classes"
-        )
+        # One row per class, by its smallest id.
+        self.classes = stored(self.rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
 
-    def prefixes(self) -> DataFrame:
-        """(node, n, prefix) with the most frequent n-grams last."""
-        counts = self.classes.select(F.explode("low").alias("gram")).groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") >= HOT_LEAST)
-        hot = {r.gram for r in counts.orderBy(F.desc("c"), "gram").limit(HOT_NGRAMS).select("gram").collect()}
-        spark, measure, n = self.docs.sparkSession, self.measure, self.n
-        shared = spark.sparkContext.broadcast(np.array(sorted(hot), np.int64))
-
-        def rare_first(s: np.ndarray, size: int) -> np.ndarray | None:
-            """The prefix, or None where the part of the set at hand does not decide it."""
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, extra, grams) for the classes of ``wanted`` (node, extra)."""
+        of = wanted.join(self.classes.select("node", "doc_id"), "node")
+        return texts_to_sets(self.docs.join(of, "doc_id"), self.n)
+
+    def frequent(self) -> np.ndarray:
+        """The most frequent n-grams of the prefixes by hash, at most ``HOT_NGRAMS``."""
+        first = F.slice("low", 1, F.least(F.size("low"), (F.col("n") * (100 - self.measure.percent) / 100 + 2).cast("int")))
+        counts = self.rows.filter("n > 0").select(F.explode(first).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
+        hot = counts.filter(F.col("c") >= HOT_LEAST).orderBy(F.desc("c"), "gram").limit(HOT_NGRAMS).select("gram").collect()
+        return np.array(sorted(r.gram for r in hot), np.int64)
+
+    def index(self) -> tuple[DataFrame, DataFrame]:
+        """((gram, group) over the prefixes, (node, group)); equal prefixes of one size are one group."""
+        measure = self.measure
+        shared = self.spark.sparkContext.broadcast(self.frequent())
+
+        def prefix(s: np.ndarray, size: int) -> np.ndarray | None:
+            """Frequent n-grams last; None where the part of the set at hand does not decide it."""
             known = shared.value
             common = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
             k = measure.prefix(size)
@@ -144,18 +156,22 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ends, flat = np.asarray(batch.column(2).offsets), np.asarray(batch.column(2).values)
-                made = [rare_first(flat[a:b], size) for a, b, size in zip(ends[:-1], ends[1:], np.asarray(batch.column(1)), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], names=["node", "n", "prefix"])
+                made = [prefix(flat[a:b], size) for a, b, size in zip(ends[:-1], ends[1:], np.asarray(batch.column(1)), strict=True)]
+                group = [m if m is None else class_of(np.append(m, size)) for m, size in zip(made, batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64())), pa.array(group, pa.int64())], names=["node", "prefix", "group"])
 
-        schema = "node long, n long, prefix array<long>"
-        first = stored(self.classes.select("node", "n", "low").mapInArrow(run, schema), "prefixes")
+        schema = "node long, prefix array<long>, group long"
+        from_low = self.rows.filter("n > 0").select("node", "n", "low").mapInArrow(run, schema)
+        member = stored(from_low.select("node", "group").distinct(), "members")
         # Sets whose smallest hashes are nearly all frequent n-grams are decided on the whole set.
-        open_ids = first.filter("prefix is null").select("node", "n").join(self.classes.select("node", "doc_id"), "node")
-        whole = self.sets(open_ids.select("node", "doc_id")).join(open_ids.select("node", "n"), "node").select("node", "n", "grams")
-        return first.filter("prefix is not null").unionByName(whole.mapInArrow(run, schema))
-
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        return whole_sets(self.docs, wanted, self.n, self.key, self.text).dropDuplicates(["node"])
+        undecided = member.filter("group is null").select("node").join(self.classes.select("node", F.col("n").alias("extra")), "node")
+        if undecided.isEmpty():
+            made = from_low
+        else:
+            whole = stored(self.sets(undecided).select("node", F.col("extra").alias("n"), F.col("grams")).mapInArrow(run, schema), "whole")
+            made = from_low.filter("group is not null").unionByName(whole)
+            member = member.filter("group is not null").unionByName(whole.select("node", "group").distinct())
+        return made.select("group", F.explode("prefix").alias("gram")), member
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes at or above the threshold, as edges (u, v).
@@ -164,7 +180,7 @@ class Join:
         pairs exactly: no more of them may be missing than the threshold leaves missing in all.
         """
         m = self.measure
-        side = self.classes.select("node", "n", "low")
+        side = self.low
         known = (
             pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("low").alias("l1")), "a")
             .join(side.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("low").alias("l2")), "b")
@@ -177,63 +193,72 @@ class Join:
             (missing[0] <= F.col("n1") - m.least_shared("n1", "n2")) & (missing[1] <= F.col("n2") - m.least_shared("n1", "n2"))
         )
         likely = stored(likely.select("a", "b", "n1", "n2"), "likely")
-        ids = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        sets = stored(self.sets(ids.join(self.classes.select("node", "doc_id"), "node")), "sets")
+        release(self.spark)
+        # Each second member's set travels to the first's: one set per pair, and one per hub.
+        sent = self.sets(likely.select(F.col("b").alias("node"), F.struct("a", "n1", "n2").alias("extra")))
+        sent = sent.select(F.col("extra.a").alias("a"), F.col("node").alias("b"), F.col("extra.n1").alias("n1"), F.col("extra.n2").alias("n2"), F.col("grams").alias("g2"))
+        hubs = self.sets(likely.select(F.col("a").alias("node")).distinct().withColumn("extra", F.lit(0)))
         shared = F.size(F.array_intersect("g1", "g2"))
-        return (
-            likely.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("g1")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("g2")), "b")
-            .filter(m.holds(shared, "n1", "n2"))
-            .select(F.col("a").alias("u"), F.col("b").alias("v"))
-        )
+        links = sent.join(hubs.select(F.col("node").alias("a"), F.col("grams").alias("g1")), "a").filter(m.holds(shared, "n1", "n2"))
+        links = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        release(self.spark)
+        return links
 
     def components(self) -> DataFrame:
         """(node, component) for every class that links with another."""
-        prefixes = stored(self.prefixes(), "prefixes")
-        alike = F.struct("n", F.xxhash64("prefix"), F.hash("prefix"))
-        groups = prefixes.groupBy(alike.alias("alike")).agg(F.min("node").alias("group"), F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.count("*").alias("members"))
-        groups = stored(groups, "groups")
-        member = stored(prefixes.select("node", alike.alias("alike")).join(groups.select("alike", "group"), "alike").select("node", "group"), "members")
-        index = groups.select("group", F.explode("prefix").alias("gram"))
+        index, member = self.index()
         lists = index.groupBy("gram").agg(F.min("group").alias("hub"), F.max("group").alias("last")).filter("hub < last").select("gram", "hub")
+        lists = stored(lists, "lists")
+        release(self.spark)
         index = stored(index.join(lists, "gram"), "index")
-
-        # First round: every group meets the hub of each of its lists, every member its group.
-        pairs = index.filter("group <> hub").select(F.col("hub").alias("a"), F.col("group").alias("b"))
-        pairs = pairs.unionByName(member.filter("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b"))).distinct()
-        tested = stored(pairs, "tested")
-        edges = stored(self.verified(tested), "links")
+        release(self.spark)
+        sizes = self.classes.select("node", "n")
+        groups = member.join(sizes, "node").groupBy("group").agg(F.min("node").alias("head"), F.min("n").alias("n"), F.count("*").alias("members"))
+        groups = stored(groups, "groups")
+        heads = groups.select("group", "head", "n")
+        meet = index.select("group", "hub").filter("group <> hub").distinct()
+        meet = meet.join(heads, "group").join(heads.select(F.col("group").alias("hub"), F.col("head").alias("a"), F.col("n").alias("n1")), "hub")
+        meet = meet.filter(self.measure.sizes_fit("n", "n1")).select("a", F.col("head").alias("b"))
+        crowd = member.join(groups.filter("members > 1").select("group", "head"), "group").filter("node <> head")
+        # First round: every group meets the hub of each of its lists, every member its group's head.
+        tested = stored(meet.unionByName(crowd.select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct(), "tested")
+        places = index.select("gram", "group").distinct()
+        places = places.unionByName(groups.filter("members > 1").select(F.xxhash64("group", F.lit("group")).alias("gram"), "group"))
+        places = stored(places, "places")
+        # Only classes in some list can link; their smallest hashes are all that is needed before sets.
+        able = member.join(places.select("group").distinct(), "group").select("node").join(self.classes.select("node", "doc_id"), "node")
+        self.low = stored(self.rows.join(able, ["node", "doc_id"]).select("node", "n", "low").dropDuplicates(["node"]), "low")
+        release(self.spark)
+        edges = self.verified(tested)
         found = stored(components(edges), "components")
 
         def open_lists() -> DataFrame:
-            """(gram, node, n, component) of the lists that still hold different components.
-
-            Lists of groups are expanded to members; a group of several members is a list too.
-            """
-            of = F.coalesce("component", "node").alias("component")
-            placed = member.join(found, "node", "left").select("node", "group", of)
-            places = index.select("gram", "group").unionByName(groups.filter("members > 1").select(F.xxhash64("group", F.lit("group")).alias("gram"), "group"))
+            """(gram, node, component) of the lists that still hold different components, groups
+            expanded to members; a group of several members is a list too."""
+            placed = member.join(found, "node", "left").join(heads.select("group", "n"), "group")
+            placed = placed.select("node", "group", "n", F.coalesce("component", "node").alias("component"))
             # Components per group first: most groups are of one component.
             spread = placed.groupBy("group").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
             mixed = places.join(spread, "group").groupBy("gram").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).filter("c1 < c2").select("gram")
-            return places.join(mixed, "gram").join(placed, "group").select("gram", "node", "component")
+            return places.join(mixed, "gram").join(placed, "group").select("gram", "node", "n", "component")
 
         for turn in range(HUB_ROUNDS + 1):
-            now = stored(open_lists(), "lists")
+            now = stored(open_lists(), "open")
             if now.isEmpty():
                 break
             if turn < HUB_ROUNDS:
                 order = F.xxhash64("component", F.lit(turn))
-                hubs = now.groupBy("gram").agg(F.min_by(F.struct("node", "component"), F.struct(order, F.xxhash64("node", F.lit(turn)))).alias("hub"))
-                pairs = now.join(hubs, "gram").filter("component <> hub.component").select(F.col("hub.node").alias("x"), F.col("node").alias("y"))
+                hubs = now.groupBy("gram").agg(F.min_by(F.struct("node", "n", "component"), F.struct(order, F.xxhash64("node", F.lit(turn)))).alias("hub"))
+                pairs = now.join(hubs, "gram").filter("component <> hub.component").select(F.col("hub.node").alias("x"), F.col("hub.n").alias("n2"), F.col("node").alias("y"), "n")
             else:
-                other = now.select("gram", F.col("node").alias("y"), F.col("component").alias("c2"))
-                pairs = now.withColumnRenamed("node", "x").join(other, "gram").filter("component < c2").select("x", "y")
-            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+                other = now.select("gram", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("component").alias("c2"))
+                pairs = now.withColumnRenamed("node", "x").join(other, "gram").filter("component < c2").select("x", "y", "n", "n2")
+            pairs = pairs.filter(self.measure.sizes_fit("n", "n2")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = stored(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
             if pairs.isEmpty():
                 continue
-            more = stored(self.verified(pairs), "links")
+            more = self.verified(pairs)
             tested = tested.unionByName(pairs)
             if not more.isEmpty():
                 edges = edges.unionByName(more)
@@ -257,3 +282,10 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id",
     least = join.classes.select("node", "doc_id").join(least, "node", "left").select("node", F.coalesce("least", "doc_id").alias("least"))
     made = join.rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(least, "node", "left")
     return made.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without those that reach a smaller id over links; rows without words stay, and
+    rows that repeat the id that stays do too."""
+    copies = linked(docs, n, percent, key, text).filter("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(copies, key, "left_anti").select(*docs.columns)
