@@ -169,3 +169,15 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, **columns: str) -> DataFrame:
     """Learn from ``labels.quality`` outside the held-out fold and score every document."""
     return scored(docs, fitted(labelled_sample(docs, labels, "quality", sample_rows, **columns)), **columns)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD, text: str = "text", **columns: str) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(labelled_sample(docs, labels, "quality", sample_rows, text=text, **columns)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in runs(batch, text):
+                yield rows.filter(pa.array(shared.value.scores(data, offsets) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.tables import stored
+from ledgerflow.llm.tables import release, stored
 from ledgerflow.llm.text import MIXED, mix, powers, runs
 
 LENGTH = 100
 GRAM = 20
 CROWDED = 4_000
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 PLACES = 2**26 - 1
 PIECE = 2**25
 SEGMENT = "anchor long, doc_id long, version long, start int, starts int, bytes binary, inner boolean"
@@ -45,16 +45,28 @@ SEGMENT = "anchor long, doc_id long, version long, start int, starts int, bytes
 # --- Suffix array by a difference cover of period three ---
 
 
+def sorted_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of their keys, the keys in order).
+
+    Where key and place fit one number, plain sorting of numbers is several times faster.
+    """
+    bits = max(len(key) - 1, 1).bit_length()
+    if int(key.max(initial=0)).bit_length() + bits <= 63:
+        both = np.sort(key << bits | np.arange(len(key)))
+        return both & ((1 << bits) - 1), both >> bits
+    order = np.argsort(key)
+    return order, key[order]
+
+
 def names_of(*columns: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks, from 1, of the rows over the columns, and how many differ."""
     ranks = columns[0].astype(np.int64)
-    for column in columns[1:]:
-        key = ranks * (int(column.max(initial=0)) + 1) + column
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(len(key), np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], sorted_key[1:] != sorted_key[:-1]])) if len(key) else 0
-        ranks = new
+    for n, column in enumerate(columns[1:], 2):
+        ranks = ranks * (int(column.max(initial=0)) + 1) + column
+        if n < len(columns) and int(ranks.max(initial=0)).bit_length() + len(ranks).bit_length() < 40:
+            continue  # the next column still fits beside it
+        order, keys = sorted_places(ranks)
+        ranks[order] = np.cumsum(np.concatenate([[1], keys[1:] != keys[:-1]])) if len(keys) else keys
     return ranks, int(ranks.max(initial=0))
 
 
@@ -66,18 +78,14 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     t = np.concatenate([s.astype(np.int64), [0, 0, 0]])
     n1 = (n + 1) // 3 + (n % 3 == 1)  # one dummy suffix keeps the two sampled parts apart
     ones = np.arange(n1) * 3 + 1
-    twos = np.arange(n // 3 + (n % 3 == 2) * 0) * 3 + 2
-    twos = twos[twos < n]
+    twos = np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
-    if t.max() < 2**20:
-        key = (t[sample] << 40) | (t[np.minimum(sample + 1, n + 2)] << 20) | t[np.minimum(sample + 2, n + 2)]
-        names, many = names_of(np.zeros(len(sample), np.int64), key) if len(sample) else (key, 0)
-    else:
-        names, many = names_of(t[sample], t[np.minimum(sample + 1, n + 2)], t[np.minimum(sample + 2, n + 2)])
+    names, many = names_of(t[sample], t[np.minimum(sample + 1, n + 2)], t[np.minimum(sample + 2, n + 2)])
     if many < len(sample):
         order = suffix_array(names)
     else:
-        order = np.argsort(names)
+        order = np.empty(len(names), np.int64)
+        order[names - 1] = np.arange(len(names))
     rank = np.zeros(n + 4, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     sampled = sample[order]
@@ -85,7 +93,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     zeros = np.arange(0, n, 3)
     wide = len(sample) + 2
     zero_key = t[zeros] * wide + rank[zeros + 1]
-    zeros = zeros[np.argsort(zero_key, kind="stable")]
+    zeros = zeros[sorted_places(zero_key)[0]]
     # A remaining suffix meets a sampled one by one symbol and a rank, or by two and a rank.
     of_one = sampled[sampled % 3 == 1]
     before = np.searchsorted(t[of_one] * wide + rank[of_one + 1], t[zeros] * wide + rank[zeros + 1])
@@ -301,11 +309,6 @@ def single_strings(crowded: DataFrame, length: int) -> DataFrame:
 # --- The whole table ---
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of steps whose results are stored."""
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, version, start, starts): all runs of starts whose string also starts earlier,
     whole copies aside; ``texts`` has doc_id, version (a hash of the text) and text."""
@@ -314,9 +317,9 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     doubled = stored(doubled.filter("v1 <> v2 or again").select("anchor"), "anchors")
     places = anchors(texts.select("doc_id", "version", "text"), length, True)
     chosen = stored(places.join(doubled, "anchor").groupBy("doc_id").agg(F.collect_set("nth").alias("nth")), "places")
-    release(texts)
+    release(texts.sparkSession)
     found = stored(segments(texts.join(chosen, "doc_id").select("doc_id", "version", "text", "nth"), length), "segments")
-    release(texts)
+    release(texts.sparkSession)
 
     # Equal segments: all but the earliest are repeats from their first string to their last.
     key = found.withColumn("digest", F.unhex(F.md5("bytes")))
@@ -331,7 +334,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         .select("anchor", "doc_id", "version", "start", "starts", "bytes", "inner")
     )
     once = stored(once, "distinct")
-    release(texts)
+    release(texts.sparkSession)
     many = once.groupBy("anchor").agg(F.count("*").alias("c"), F.max("inner").alias("inner"))
     alone, shared, crowded = (F.col("c") == 1) & ~F.col("inner"), F.col("c") <= CROWDED, F.col("c") > CROWDED
     many = stored(many.filter(~alone), "crowds")
@@ -348,17 +351,19 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def with_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, whole, spans): every row with its repeats as byte runs [begin, end);
-    ``whole`` says that it is a copy of an earlier document of at least ``length`` bytes."""
+    """(row, doc_id, text, whole, spans): every row, as it was in ``row``, with its repeats as
+    byte runs [begin, end); ``whole`` says that it is a copy of an earlier document of at least
+    ``length`` bytes."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("version"), body.alias("text"))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("row")
+    texts = docs.select(rest, F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("version"), body.alias("text"))
     spans = repeats(texts, length).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("starts") + (length - 1)).alias("end"))).alias("spans"))
     digest = texts.filter(F.octet_length("text") >= length).select("doc_id", "version", F.unhex(F.md5("text")).alias("digest"))
     firsts = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first")
     copies = digest.join(firsts, "digest").filter("doc_id > first").select("doc_id", "version").distinct().withColumn("whole", F.lit(True))
     marks = stored(spans.join(copies, ["doc_id", "version"], "full_outer"), "marks")
-    release(docs)
-    return texts.join(marks, ["doc_id", "version"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
+    release(docs.sparkSession)
+    return texts.join(marks, ["doc_id", "version"], "left").select("row", "doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
 
 
 def removed_mask(size: int, whole: bool, spans: list | None) -> np.ndarray:
@@ -390,20 +395,25 @@ def digests(docs: DataFrame, length: int = LENGTH, **columns: str) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_repeats(docs, length, **columns).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked = with_repeats(docs, length, **columns).select("doc_id", "text", "whole", "spans")
+    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_texts(docs: DataFrame, length: int = LENGTH, **columns: str) -> DataFrame:
-    """(doc_id, text, n_removed): what is left of every text; a character that lost one of its bytes goes whole."""
+def kept_texts(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with what is left of every text, and a column ``n_removed`` of the bytes cut out;
+    a character that lost one of its bytes goes whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone_bytes = [], []
-            for text, whole, spans in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                data = text.as_buffer().to_pybytes()
+            for body, whole, spans in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                data = body.as_buffer().to_pybytes()
                 gone = removed_mask(len(data), whole, spans.as_py() if spans.is_valid else None)
                 gone_bytes.append(int(gone.sum()))
                 texts.append(np.frombuffer(data, np.uint8)[~gone].tobytes().decode(errors="ignore") if gone_bytes[-1] else data.decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone_bytes, pa.int64())], names=["doc_id", "text", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(gone_bytes, pa.int64())], names=["row", "kept", "gone"])
 
-    return with_repeats(docs, length, **columns).mapInArrow(run, "doc_id long, text string, n_removed long")
+    marked = with_repeats(docs, length, key, text).select("row", "text", "whole", "spans")
+    made = marked.mapInArrow(run, f"row {marked.schema['row'].dataType.simpleString()}, kept string, gone long")
+    columns = [F.col("kept").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c != "n_removed"]
+    return made.select(*columns, F.col("gone").alias("n_removed"))
