@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerflow.llm import bpe, decontamination, html, ngram_join, quality, suffixes, topk, toxicity, urls, warc
 from ledgerflow.llm.urls import Rule
 from ledgerflow.llm.tables import table
@@ -74,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
