@@ -33,12 +33,9 @@ DEFAULT_TIER = "CUMULUS"
 
 # Attribution limits.
 EVIDENCE_WINDOW = 87600
-CONNECTION_CAP = 20
-CANDIDATE_CAP = 1000
 RETRY_HOURS = 24
 DEFAULT_DEPTH = 2
-MAX_DEPTH = 3
-MIN_CANDIDATES = 5
+MIN_CANDIDATES = 1
 
 # Width, in heights, of the storage partitions (7 days of blocks).
 BUCKET_BLOCKS = 20160

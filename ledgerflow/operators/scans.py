@@ -46,13 +46,17 @@ def tx_in_block(tx: DataFrame, height: int) -> DataFrame:
     return lookup(tx, block_height=height)
 
 
-def tx_by_flow_type(tx: DataFrame, flow_type: str, n: int = 100) -> DataFrame:
-    """The newest ``n`` transactions of a flow type."""
-    return (
-        tx.filter(F.col("flow_type") == flow_type)
-        .orderBy(F.desc("block_time"), F.desc("tx_index"))
-        .limit(n)
-    )
+def tx_by_flow_type(tx: DataFrame, flow_type: str, n: int | None = None) -> DataFrame:
+    """The transactions of a flow type, newest first; the newest ``n`` where asked for."""
+    found = tx.filter(F.col("flow_type") == flow_type).orderBy(F.desc("block_time"), F.desc("tx_index"))
+    return found if n is None else found.limit(positive(n))
+
+
+def positive(n: int) -> int:
+    """A row limit; anything below one is an error."""
+    if n < 1:
+        raise ValueError(f"a limit must be at least 1, not {n}")
+    return n
 
 
 def latest_block(blocks: DataFrame) -> DataFrame:

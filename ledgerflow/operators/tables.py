@@ -100,36 +100,54 @@ def write_buckets(df: DataFrame, path: str, height: str) -> None:
     )
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file system layer."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def merge_into(
     path: str,
     incoming: DataFrame,
     merge,
     height: str,
     stage: str,
+    keys: list[str],
 ) -> None:
     """Merge a batch into a stored table, rewriting only the buckets it touches.
 
-    ``merge(base, incoming)`` gives the new rows. The result is first written to
-    ``stage``, a folder of this batch and table, and then published from there: a
-    run that dies in between finds the staged rows complete and publishes them
-    again, never merging with half-replaced buckets.
+    A key counts wherever it is stored: where it comes again at another height, its old
+    bucket is rewritten as well. ``merge(base, incoming)`` gives the new rows. Batch and
+    result are first written to ``stage``, a folder that belongs to one batch of one stream,
+    published from there and removed: a run that dies in between finds the staged rows
+    complete and publishes them again, never merging with half-replaced buckets; one that
+    dies after it repeats the merge, which changes nothing. One process may write a table
+    at a time.
     """
     spark = incoming.sparkSession
     if read_table(spark, f"{stage}/done") is None:
         incoming = incoming.withColumn("height_bucket", height_bucket(F.col(height)))
+        incoming.write.mode("overwrite").parquet(f"{stage}/incoming")
+        incoming = spark.read.schema(incoming.schema).parquet(f"{stage}/incoming")
+        touched = incoming.select("height_bucket").distinct()
         base = read_table(spark, path)
         if base is None:
             base = incoming.limit(0)
-        touched = incoming.select("height_bucket").distinct()
-        # The bounds prune partitions before the scan, the semi join is exact.
-        bounds = F.col("height_bucket").between(
-            touched.agg(F.min("height_bucket")).scalar(), touched.agg(F.max("height_bucket")).scalar()
-        )
-        base = base.filter(bounds).join(touched, "height_bucket", "left_semi").select(*incoming.columns)
+        else:
+            again = base.select(*keys, "height_bucket").join(incoming.select(*keys).distinct(), keys, "left_semi")
+            touched = touched.unionByName(again.select(F.col("height_bucket").cast("bigint"))).distinct()
+        touched.write.mode("overwrite").parquet(f"{stage}/touched")
+        # One number per week of chain; as literals they prune the partitions read.
+        buckets = [r.height_bucket for r in spark.read.parquet(f"{stage}/touched").collect()]
+        base = base.filter(F.col("height_bucket").isin(buckets)).select(*incoming.columns)
         merge(base, incoming).write.mode("overwrite").parquet(f"{stage}/rows")
         spark.range(1).write.mode("overwrite").parquet(f"{stage}/done")
     rows = spark.read.parquet(f"{stage}/rows")
     write_buckets(rows, path, height)
+    left = rows.select("height_bucket").distinct()
+    for r in spark.read.parquet(f"{stage}/touched").join(left, "height_bucket", "left_anti").collect():
+        drop_path(spark, f"{path}/height_bucket={r.height_bucket}")  # all its rows moved away
+    drop_path(spark, stage)
 
 
 def cutoff(tip: Column, keep: int = SIX_MONTHS) -> Column:

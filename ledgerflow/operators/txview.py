@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerflow.constants import EXCHANGE
 from ledgerflow.functions.scalars import coins
 from ledgerflow.operators.labels import classify_addresses
+from ledgerflow.operators.scans import positive
 from ledgerflow.schemas import Ledger
 
 # Flow types of this view with their direction.
@@ -104,22 +105,19 @@ def tx_with_parties(tx: DataFrame, parties: DataFrame, lo: int | None = None, hi
     return flows_between(tx, lo, hi).join(parties, "txid", "left")
 
 
-def _newest(tx: DataFrame, kind: str, lo: int | None, hi: int | None, n: int) -> DataFrame:
-    return (
-        flows_between(tx, lo, hi)
-        .filter(F.col("flow_type") == kind)
-        .orderBy(F.desc("block_height"), F.desc("tx_index"))
-        .limit(n)
-    )
+def _newest(tx: DataFrame, kind: str, lo: int | None, hi: int | None, n: int | None) -> DataFrame:
+    found = flows_between(tx, lo, hi).filter(F.col("flow_type") == kind)
+    found = found.orderBy(F.desc("block_height"), F.desc("tx_index"))
+    return found if n is None else found.limit(positive(n))
 
 
-def buying_transactions(tx: DataFrame, lo: int | None = None, hi: int | None = None, n: int = 100) -> DataFrame:
-    """The newest ``n`` transactions that come from an exchange."""
+def buying_transactions(tx: DataFrame, lo: int | None = None, hi: int | None = None, n: int | None = None) -> DataFrame:
+    """Transactions that come from an exchange, newest first; the newest ``n`` where asked for."""
     return _newest(tx, BUY, lo, hi, n)
 
 
-def selling_transactions(tx: DataFrame, lo: int | None = None, hi: int | None = None, n: int = 100) -> DataFrame:
-    """The newest ``n`` transactions that go to an exchange."""
+def selling_transactions(tx: DataFrame, lo: int | None = None, hi: int | None = None, n: int | None = None) -> DataFrame:
+    """Transactions that go to an exchange, newest first; the newest ``n`` where asked for."""
     return _newest(tx, SELL, lo, hi, n)
 
 

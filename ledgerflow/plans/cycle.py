@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ledgerflow.constants import CANDIDATE_CAP, DEFAULT_DEPTH, MIN_CANDIDATES, RETRY_HOURS
+from ledgerflow.constants import DEFAULT_DEPTH, MIN_CANDIDATES, RETRY_HOURS
 from ledgerflow.operators.attribution import (
     Evidence,
     apply_overlay,
@@ -22,7 +22,7 @@ def attribution_cycle(
     min_candidates: int = MIN_CANDIDATES,
     max_depth: int = DEFAULT_DEPTH,
     retry_hours: int = RETRY_HOURS,
-    cap: int | None = CANDIDATE_CAP,
+    cap: int | None = None,
 ) -> tuple[DataFrame, DataFrame] | None:
     """One run: the updated events and the report, or None below ``min_candidates``.
 

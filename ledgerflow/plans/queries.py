@@ -557,7 +557,10 @@ def registry_from_files(t: TestLedger) -> DataFrame:
     documents = numbered.groupBy("doc").agg(
         F.expr("collect_list(struct(payment_address, tier, collateral)) AS nodes")
     )
-    documents.selectExpr("if(doc % 2 = 0, to_json(nodes), to_json(struct(nodes)))").write.text(path)
+    # Every other document is an object with a count beside the list.
+    documents.selectExpr(
+        "if(doc % 2 = 0, to_json(nodes), to_json(struct(size(nodes) AS totalNodes, nodes)))"
+    ).write.text(path)
     return labels.node_operators(read_node_registry(t.spark, path, lines=True)).select(
         "address", "node_count", tier_text(F.col("tiers")).alias("tiers"), "total_collateral"
     )
@@ -584,6 +587,34 @@ def stream_ingest(t: TestLedger) -> DataFrame:
     return flat_events(ingest.stored_events(t.spark, f"{base}/out"))
 
 
+@query
+def stream_tip_and_backfill(t: TestLedger) -> DataFrame:
+    """Two streams with checkpoints of their own, one after the other, into one sink."""
+    base = landing(t)
+    middle = t.ledger.txs.agg(F.expr("percentile_approx(height, 0.5)")).scalar()
+    second = F.col("tx_index") % 3 == 0
+    for name, part in (("tip", F.col("height") > middle), ("back", F.col("height") <= middle)):
+        chain.landed_transactions(t.ledger.filter(part), second).write.json(f"{base}/{name}")
+        ingest.stream_ingest(
+            t.spark, f"{base}/{name}", f"{base}/out", f"{base}/checkpoint-{name}",
+            labels=lambda: t.labels, trigger={"availableNow": True},
+        ).awaitTermination()
+    return flat_events(ingest.stored_events(t.spark, f"{base}/out"))
+
+
+@query
+def upsert_moved_key(t: TestLedger) -> DataFrame:
+    """Every third transaction is first stored three weeks higher, then comes again where it belongs."""
+    base = landing(t)
+    real = t.ledger.txs.select("txid", "height")
+    first = real.withColumn("height", F.expr("height + if(xxhash64(txid) % 3 = 0, 60480, 0)"))
+    for n, batch in enumerate((first, real)):
+        tables.merge_into(
+            f"{base}/t", batch, lambda old, new: tables.upsert(old, new, ["txid"], ["height"]), "height", f"{base}/s{n}", ["txid"]
+        )
+    return t.spark.read.parquet(f"{base}/t").select("txid", "height")
+
+
 @query
 def stream_flow_totals(t: TestLedger) -> DataFrame:
     """Land the events as files, follow them to the end, read the running totals."""

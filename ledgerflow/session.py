@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,19 +32,10 @@ def build_session(app: str = "ledgerflow", master: str | None = None, **extra: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, read from ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a folder of its own: on a cluster the
-    executors could not see it.
-    """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerflow-"))
-    return context.getCheckpointDir()
+    """The cluster's shared folder, read from ``spark.checkpoint.dir``; where that is unset,
+    a folder under the session's warehouse, which all executors see as well."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,27 +36,33 @@ def read_labels(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     return exchanges.unionByName(foundation).distinct()
 
 
-def parse_node_registry(text: Column) -> Column:
+# Where a registry document holds its nodes, unless the caller names other keys.
+REGISTRY_KEYS = ("nodes",)
+
+
+def parse_node_registry(text: Column, keys: Sequence[str] = REGISTRY_KEYS) -> Column:
     """Nodes of one registry document, as an array.
 
-    Accepts a bare array, or an object with the array under a key that ends in
-    "nodes" in any letter case.
+    Accepts a bare array, or an object with an array under one of ``keys``; the first of
+    them that holds an array counts, so a count beside the list does no harm.
     """
     nodes = f"array<{NODE}>"
-    wrapped = F.map_filter(
-        F.from_json(text, "map<string,string>"), lambda k, v: F.lower(k).endswith("nodes")
+    wrapped = F.from_json(text, "map<string,string>")
+    lists = [F.when(F.ltrim(v).startswith("["), v) for v in (F.try_element_at(wrapped, F.lit(k)) for k in keys)]
+    return F.when(F.ltrim(text).startswith("["), F.from_json(text, nodes)).otherwise(
+        F.from_json(F.coalesce(*lists), nodes)
     )
-    inner = F.try_element_at(F.map_values(wrapped), F.lit(1))
-    return F.when(F.ltrim(text).startswith("["), F.from_json(text, nodes)).otherwise(F.from_json(inner, nodes))
 
 
-def read_node_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_node_registry(
+    spark: SparkSession, path: str, lines: bool = False, keys: Sequence[str] = REGISTRY_KEYS
+) -> DataFrame:
     """One row per node: payment_address, tier, collateral. Empty if there is none.
 
     A file holds one document, or with ``lines`` one document per line.
     """
     document = spark.read.text(path, wholetext=not lines)
-    return document.select(F.inline(parse_node_registry(F.col("value"))))
+    return document.select(F.inline(parse_node_registry(F.col("value"), keys)))
 
 
 def refreshed_operators(current: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -121,8 +121,7 @@ open_ev AS (
   SELECT 'selling', from_address, * FROM ev
   WHERE flow_type = 'selling' AND from_type = 'unknown'),
 cand AS (
-  SELECT * FROM open_ev
-  QUALIFY row_number() OVER (PARTITION BY side ORDER BY block_height DESC, event_seq DESC) <= 1000)
+  SELECT * FROM open_ev)
 """
 
 
@@ -147,8 +146,7 @@ def connection(asked: str, name: str) -> str:
   FROM (SELECT DISTINCT side, wallet, height FROM {asked}) a
   JOIN hist h ON h.wallet = a.wallet AND NOT h.is_coinbase
    AND h.direction = CASE a.side WHEN 'buying' THEN 'sent' ELSE 'received' END
-   AND h.height BETWEEN a.height - 87600 AND a.height
-  QUALIFY tx_rank <= 20),
+   AND h.height BETWEEN a.height - 87600 AND a.height),
 {name}_party AS (
   SELECT 'buying' AS side, txid, address, vout AS pos FROM outp WHERE kind = 'transfer'
   UNION ALL
@@ -253,7 +251,7 @@ def two_hops(asked: str, name: str) -> str:
   FROM {name}_s2)"""
 
 
-# The whole attribution run over the capped candidates.
+# The whole attribution run over all candidates.
 RUN = f"""
 probe0 AS (SELECT DISTINCT side, wallet, block_height AS height, block_time FROM cand),
 l0 AS ({evidence('probe0')}),
@@ -590,8 +588,7 @@ FROM (SELECT height, tx_count, age * 30 AS s, tx_count * age * age AS b
 SELECT side, txid, vout, wallet, block_height AS height, block_time, from_address, to_address,
        {coins('sat')} AS amount, 0 AS classification_level FROM cand""", HISTORY),
     "unknown_stats": ledger("""
-SELECT least(b, 1000) AS unknown_buys, least(s, 1000) AS unknown_sells,
-       least(b, 1000) + least(s, 1000) AS total_unknowns
+SELECT b AS unknown_buys, s AS unknown_sells, b + s AS total_unknowns
 FROM (SELECT count(*) FILTER (WHERE side = 'buying') AS b, count(*) FILTER (WHERE side = 'selling') AS s
       FROM open_ev)""", HISTORY),
     "coinbase_evidence": ledger(evidence("probe"), HISTORY, ALL_PROBES),
@@ -650,11 +647,9 @@ SELECT flow_type, count(txid) AS tx_count, {coins('coalesce(sum(sat), 0)')} AS t
 FROM (VALUES ('buy'), ('sell'), ('transfer')) AS f(flow_type) LEFT JOIN txv USING (flow_type)
 GROUP BY flow_type""", TX_VIEW),
     "buying_transactions": ledger(f"""
-SELECT txid, block_height, {coins('sat')} AS total_value FROM txv WHERE flow_type = 'buy'
-ORDER BY block_height DESC, tx_index DESC LIMIT 100""", TX_VIEW),
+SELECT txid, block_height, {coins('sat')} AS total_value FROM txv WHERE flow_type = 'buy'""", TX_VIEW),
     "selling_transactions": ledger(f"""
-SELECT txid, block_height, {coins('sat')} AS total_value FROM txv WHERE flow_type = 'sell'
-ORDER BY block_height DESC, tx_index DESC LIMIT 100""", TX_VIEW),
+SELECT txid, block_height, {coins('sat')} AS total_value FROM txv WHERE flow_type = 'sell'""", TX_VIEW),
     "tx_between": ledger(f"""
 SELECT txid, block_height, block_time, tx_index, {coins('sat')} AS total_value, flow_type
 FROM txv WHERE block_height BETWEEN 28000000 AND 29000000""", TX_VIEW),
@@ -664,8 +659,7 @@ SELECT txid, block_height, {coins('sat')} AS total_value, flow_type FROM txv WHE
 SELECT height, min(block_time) AS time, CAST(count(*) AS INTEGER) AS tx_count FROM tx
 GROUP BY height ORDER BY height DESC LIMIT 1"""),
     "tx_by_flow_type": ledger(f"""
-SELECT txid, block_time, {coins('sat')} AS total_value FROM txv WHERE flow_type = 'transfer'
-ORDER BY block_time DESC, tx_index DESC LIMIT 100""", TX_VIEW),
+SELECT txid, block_time, {coins('sat')} AS total_value FROM txv WHERE flow_type = 'transfer'""", TX_VIEW),
     "tx_top_buyers": tx_top("buy", "to", "total_bought"),
     "tx_top_sellers": tx_top("sell", "from", "total_sold"),
     "exchange_activity": ledger(f"""
@@ -695,6 +689,8 @@ FROM txv""", TX_VIEW),
     "registry_from_files": ledger(" SELECT address, node_count, tiers, total_collateral FROM ops"),
     "json_round_trip": ledger(f"SELECT txid, kind, height, vout, address, {coins('sat')} AS value FROM outp"),
     "stream_ingest": EVENTS,
+    "stream_tip_and_backfill": EVENTS,
+    "upsert_moved_key": ledger(" SELECT txid, height FROM tx"),
     "stream_flow_totals": ledger(f"""
 SELECT flow_type, CAST(floor(block_height / 20160) AS BIGINT) AS height_bucket, {coins('sum(sat)')} AS total,
        count(*) AS events FROM ev GROUP BY 1, 2"""),

@@ -59,10 +59,14 @@ def test_label_file_and_registry_shapes(spark, tmp_path):
     lab = label_dimension(read_labels(spark, str(tmp_path / "labels.json")), node_operators(nodes(spark)))
     assert rows(lab, "address", "details.name", "details.logo") == [("A", "one", "l1"), ("B", "two", "l2"), ("F", "Fund", None)]
     registry = [{"payment_address": "n", "tier": "NIMBUS", "collateral": 12500}]
-    for name, document in {"a": registry, "b": {"status": "ok", "someNodes": registry}, "c": {"NODES": registry}, "d": {"x": 1}}.items():
+    documents = {
+        "a": registry, "b": {"status": "ok", "someNodes": registry}, "c": {"nodes": registry}, "d": {"x": 1},
+        "e": {"totalNodes": 2, "someNodes": registry}, "f": {"someNodes": 3, "nodes": registry}, "g": {"otherNodes": registry},
+    }
+    for name, document in documents.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(document))
-        got = rows(read_node_registry(spark, str(tmp_path / f"{name}.json")), "payment_address", "tier", "collateral")
-        assert got == ([] if name == "d" else [("n", "NIMBUS", "12500")])
+        found = read_node_registry(spark, str(tmp_path / f"{name}.json"), keys=["someNodes", "nodes"])
+        assert rows(found, "payment_address", "tier", "collateral") == ([] if name in "dg" else [("n", "NIMBUS", "12500")])
     old, new, none = (node_operators(nodes(spark, *a)) for a in (["o"], ["p"], []))
     assert rows(refreshed_operators(old, new), "address") == [("p",)]
     assert rows(refreshed_operators(old, none), "address") == [("o",)]
@@ -126,6 +130,26 @@ def test_views(spark):
     ]
 
 
+def test_two_streams_and_a_new_checkpoint_share_a_sink(spark, tmp_path):
+    lab = labels(spark, exchanges=["E"], operators=["N"])
+    out = str(tmp_path / "out")
+
+    def follow(name, checkpoint):
+        ingest.stream_blocks(
+            spark, str(tmp_path / name), out, str(tmp_path / checkpoint), lambda: lab, trigger={"availableNow": True}
+        ).awaitTermination()
+
+    for name, h in (("tip", 50_000), ("back", 100)):
+        (tmp_path / name).mkdir()
+        lines(tmp_path / name / "0.json", {"height": h, "time": h * 30, "hash": str(h), "txs": [{"txid": f"t{h}", **A}]})
+        follow(name, f"cp-{name}")
+    assert rows(ingest.stored_events(spark, out), "block_height") == [(100,), (50_000,)]
+    (tmp_path / "tip" / "0.json").unlink()
+    lines(tmp_path / "tip" / "1.json", {"height": 50_001, "time": 1_500_030, "hash": "n", "txs": [{"txid": "n", **A}]})
+    follow("tip", "cp-new")  # begins again at batch 0
+    assert rows(ingest.stored_events(spark, out), "block_height") == [(100,), (50_000,), (50_001,)]
+
+
 def test_streams_in_any_order_equal_the_batch(spark, tmp_path):
     lab = labels(spark, exchanges=["E"], operators=["N"])
     landing = tmp_path / "in"

@@ -52,14 +52,27 @@ def test_merge_rewrites_only_touched_buckets(spark, tmp_path):
     def merge(base, new):
         return tables.upsert(base, new, ["height"], ["v"])
 
-    tables.merge_into(path, batch((1, "a"), (50_000, "b")), merge, "height", f"{stage}/0")
+    tables.merge_into(path, batch((1, "a"), (50_000, "b")), merge, "height", f"{stage}/0", ["height"])
     untouched = sorted(p.name for p in (tmp_path / "t" / "height_bucket=2").glob("*.parquet"))
     for _ in range(2):  # a repeated batch publishes the same rows again
-        tables.merge_into(path, batch((1, "c"), (2, "d")), merge, "height", f"{stage}/1")
+        tables.merge_into(path, batch((1, "c"), (2, "d")), merge, "height", f"{stage}/1", ["height"])
     assert rows(spark.read.parquet(path), "height", "v") == [(1, "c"), (2, "d"), (50_000, "b")]
     assert untouched == sorted(p.name for p in (tmp_path / "t" / "height_bucket=2").glob("*.parquet"))
 
 
+def test_a_key_that_moves_leaves_its_old_bucket(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def put(n, *items):
+        batch = spark.createDataFrame(list(items), "k STRING, height BIGINT, v STRING")
+        tables.merge_into(path, batch, lambda base, new: tables.upsert(base, new, ["k"], ["height"]), "height", str(tmp_path / f"s{n}"), ["k"])
+
+    put(0, ("a", 20_159, "old"), ("b", 20_159, "stays"), ("c", 90_000, "alone"))
+    put(1, ("a", 20_161, "new"), ("c", 5, "moved"))
+    assert rows(spark.read.parquet(path), "k", "height", "v") == [("a", 20_161, "new"), ("b", 20_159, "stays"), ("c", 5, "moved")]
+    assert not (tmp_path / "t" / "height_bucket=4").exists() and not (tmp_path / "s1").exists()
+
+
 def test_retention(spark):
     chain = spark.createDataFrame([(h,) for h in (1, 100, 101, 600_100)], "height BIGINT")
     tip = chain.agg(F.max("height")).scalar()

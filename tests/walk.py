@@ -2,7 +2,7 @@
 
 from collections import defaultdict
 
-WINDOW, CAP = 87600, 20
+WINDOW = 87600
 
 
 class Walk:
@@ -40,7 +40,7 @@ class Walk:
             if r[3] == direction and not r[4] and height - WINDOW <= r[0] <= height
         ]
         checked = set()
-        for row in found[:CAP]:
+        for row in found:
             for other in self.vout[row[5]] if side == "buying" else self.vin[row[5]]:
                 if other in checked:
                     continue
