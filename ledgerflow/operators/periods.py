@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.constants import PERIODS, period_blocks
+from ledgerflow.constants import BUCKET_BLOCKS, PERIODS, period_blocks
 from ledgerflow.schemas import Ledger
 
 
@@ -25,8 +25,17 @@ def in_period(height: Column, blocks: DataFrame, period: str) -> Column:
 
 
 def period_slice(ev: DataFrame, blocks: DataFrame, period: str) -> DataFrame:
-    """Events of a trailing period; empty when there are no blocks."""
-    return ev.filter(in_period(F.col("block_height"), blocks, period))
+    """Events of a trailing period; empty when there are no blocks.
+
+    On a stored table the bounds also hold for its partitions, so a short period opens the
+    files of its own weeks only.
+    """
+    found = ev.filter(in_period(F.col("block_height"), blocks, period))
+    if "height_bucket" in ev.columns:
+        newest, width = tip(blocks), F.lit(BUCKET_BLOCKS)
+        lowest = F.floor((newest - F.lit(period_blocks(period))) / width)
+        found = found.filter((F.col("height_bucket") >= lowest) & (F.col("height_bucket") <= F.floor(newest / width)))
+    return found
 
 
 def ledger_slice(led: Ledger, blocks: DataFrame, period: str) -> Ledger:

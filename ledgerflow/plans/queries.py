@@ -203,6 +203,29 @@ def top_sellers_6m(t: TestLedger) -> DataFrame:
     return _with_exchanges(summary.top_sellers(period_events(t, "6M", numbered=True)))
 
 
+def stored_event_table(t: TestLedger) -> DataFrame:
+    """The events as ingest keeps them: a table in partitions of a week of heights."""
+    path = f"{landing(t)}/flow_events"
+    ev = all_events(t)
+    tables.write_buckets(ev.withColumn("height_bucket", coverage.height_bucket(F.col("block_height"))), path, "block_height")
+    return t.spark.read.parquet(path)
+
+
+@query
+def flow_summary_stored(t: TestLedger) -> DataFrame:
+    return summary.flow_summary(periods.period_slice(stored_event_table(t), t.blocks, "90D"))
+
+
+@query
+def net_flow_stored(t: TestLedger) -> DataFrame:
+    return summary.net_flow(periods.period_slice(stored_event_table(t), t.blocks, "30D"))
+
+
+@query
+def top_buyers_stored(t: TestLedger) -> DataFrame:
+    return _with_exchanges(summary.top_buyers(periods.period_slice(stored_event_table(t), t.blocks, "6M")))
+
+
 @query
 def sentiment_all_periods(t: TestLedger) -> DataFrame:
     return summary.sentiment_all_periods(period_events(t, "6M"), t.blocks)

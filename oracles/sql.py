@@ -695,3 +695,10 @@ FROM txv""", TX_VIEW),
 SELECT flow_type, CAST(floor(block_height / 20160) AS BIGINT) AS height_bucket, {coins('sum(sat)')} AS total,
        count(*) AS events FROM ev GROUP BY 1, 2"""),
 }
+
+# The same answers over stored tables.
+ORACLES |= {
+    "flow_summary_stored": ORACLES["flow_summary_90d"],
+    "net_flow_stored": ORACLES["net_flow_30d"],
+    "top_buyers_stored": ORACLES["top_buyers_6m"],
+}

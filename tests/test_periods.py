@@ -111,3 +111,17 @@ def test_coverage_and_readiness(spark):
     assert ready["24H"] == (True, False, 100.0) and ready["7D"] == (False, True, 14.3)
     one = coverage.ledger_counts(chain, chain, chain).first()
     assert (one.blocks, one.transactions, one.flow_events, one.latest_height) == (2880, 2880, 2880, 2880)
+
+
+def test_a_period_of_a_stored_table_prunes_its_partitions(spark, tmp_path):
+    path = str(tmp_path / "ev")
+    spark.range(300_000).selectExpr("id AS block_height", "id div 20160 AS height_bucket").filter("block_height % 1000 = 0").write.partitionBy(
+        "height_bucket"
+    ).parquet(path)
+    ev = spark.read.parquet(path)
+    blocks = ev.selectExpr("block_height AS height")
+    found = periods.period_slice(ev, blocks, "24H")
+    assert sorted(r.block_height for r in found.select("block_height").collect()) == [297_000, 298_000, 299_000]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [part.split("PushedFilters")[0] for part in plan.split("PartitionFilters: [")[1:]]
+    assert any("isnotnull(height_bucket" in s and "cast(height_bucket" in s for s in scans)
