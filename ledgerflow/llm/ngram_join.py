@@ -288,4 +288,4 @@ def without_near_copies(docs: DataFrame, n: int = 3, percent: int = 90, key: str
     """``docs`` without those that reach a smaller id over links; rows without words stay, and
     rows that repeat the id that stays do too."""
     copies = linked(docs, n, percent, key, text).filter("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(copies, key, "left_anti").select(*docs.columns)
+    return docs.join(stored(copies, "copies"), key, "left_anti").select(*docs.columns)
