@@ -22,6 +22,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
+def extended(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components (node, component) after more edges (u, v).
+
+    What is one component already counts as one node, so only what the new edges bring
+    together is worked on.
+    """
+    for end in ("u", "v"):
+        known = found.select(F.col("node").alias(end), F.col("component").alias("c"))
+        edges = edges.join(known, end, "left").withColumn(f"{end}_of", F.coalesce("c", end)).drop("c")
+    edges = stored(edges, "new-edges")
+    joined = components(edges.select(F.col("u_of").alias("u"), F.col("v_of").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    nodes = edges.select(F.col("u").alias("node"), F.col("u_of").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v_of").alias("component")))
+    return found.unionByName(nodes).distinct().join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v): the smallest node it reaches.
 

@@ -3,9 +3,10 @@
 Documents with the same n-gram set form one class. Of every class the n-grams are ordered,
 rare ones first, and its prefix is so long that two sets at or above the threshold share an
 n-gram of their prefixes. Classes with the same prefix and size collapse into one group; only
-groups enter the inverted index. Group pairs that share a prefix n-gram are filtered by size
-and by the n-grams missing among the smallest hashes, both exact bounds; then the pair is
-expanded to its members and verified on whole sets.
+groups enter the inverted index. Group pairs that share a prefix n-gram are filtered by size,
+by where in the prefixes it stands, by parities of the whole sets and by the n-grams missing
+among the smallest hashes, all exact bounds; then the pair is expanded to its members and
+verified on whole sets.
 
 What is asked for are links up to reachability, so a pair inside one component need not be
 looked at: every list first meets one of its members (a hub), what was linked is contracted,
@@ -28,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.components import components
+from ledgerflow.llm.components import components, extended
 from ledgerflow.llm.tables import release, stored
 from ledgerflow.llm.text import MIXED_LOWER, runs, shingle_hashes, span_hashes, words
 
 HOT_NGRAMS = 50_000
 HOT_LEAST = 24
 HUB_ROUNDS = 3
+SKETCH = [f"s{k}" for k in range(8)]  # columns of 64 parity bits each
 
 
 def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +62,13 @@ def class_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of hashes whether the set holds an odd number of them. Two sets
+    differ in at least as many n-grams as their parities differ in."""
+    odd = np.bincount(grams & 511, minlength=512).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 class Measure:
     """Jaccard similarity of at least ``percent`` in whole numbers, in columns and numpy alike."""
 
@@ -75,12 +84,23 @@ class Measure:
     def holds(self, shared, a: str, b: str):
         return shared * 100 >= (F.col(a) + F.col(b) - shared) * self.percent
 
+    def near(self, one: str, other: str):
+        """Whether the parities of two rows of prefixes leave room for enough shared n-grams."""
+        apart = sum((F.bit_count(F.col(one + s).bitwiseXOR(F.col(other + s))) for s in SKETCH), F.lit(0))
+        return apart <= F.col(f"{one}n") + F.col(f"{other}n") - 2 * self.least_shared(f"{one}n", f"{other}n")
+
+    def early(self, one: str, other: str):
+        """Whether a shared n-gram at these places of the prefixes can be the first of enough."""
+        shared = self.least_shared(f"{one}n", f"{other}n")
+        return (F.col(f"{one}pos") + shared <= F.col(f"{one}n")) & (F.col(f"{other}pos") + shared <= F.col(f"{other}n"))
+
     def least_shared(self, a: str, b: str):
         return F.ceil((F.col(a) + F.col(b)) * self.percent / (100 + self.percent) - 1e-9)
 
 
 def signatures(docs: DataFrame, measure: Measure, n: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n, node, low): set size, class, and the smallest hashes, half as many again as the prefix."""
+    """(doc_id, n, node, low, parities): set size, class, the smallest hashes, half as many again
+    as the prefix, and the parities of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,12 +110,14 @@ def signatures(docs: DataFrame, measure: Measure, n: int, key: str, text: str) -
                 node = [class_of(s) for s in sets]
                 ends = np.cumsum([0, *map(len, low)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low)))
+                bits = np.array([parities(s) for s in sets]).T
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), lists], names=["doc_id", "n", "node", "low"]
+                    [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), lists, *map(pa.array, bits)],
+                    names=["doc_id", "n", "node", "low", *SKETCH],
                 )
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n long, node long, low array<long>")
+    return chosen.mapInArrow(run, "doc_id long, n long, node long, low array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def texts_to_sets(chosen: DataFrame, n: int) -> DataFrame:
@@ -125,7 +147,7 @@ class Join:
         self.measure = Measure(percent)
         self.rows = stored(signatures(docs, self.measure, n, key, text), "signatures")
         # One row per class, by its smallest id.
-        self.classes = stored(self.rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
+        self.classes = stored(self.rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("n", *SKETCH))), "classes")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, extra, grams) for the classes of ``wanted`` (node, extra)."""
@@ -140,7 +162,7 @@ class Join:
         return np.array(sorted(r.gram for r in hot), np.int64)
 
     def index(self) -> tuple[DataFrame, DataFrame]:
-        """((gram, group) over the prefixes, (node, group)); equal prefixes of one size are one group."""
+        """((gram, pos, group) over the prefixes, (node, group)); equal prefixes of one size are one group."""
         measure = self.measure
         shared = self.spark.sparkContext.broadcast(self.frequent())
 
@@ -171,7 +193,7 @@ class Join:
             whole = stored(self.sets(undecided).select("node", F.col("extra").alias("n"), F.col("grams")).mapInArrow(run, schema), "whole")
             made = from_low.filter("group is not null").unionByName(whole)
             member = member.filter("group is not null").unionByName(whole.select("node", "group").distinct())
-        return made.select("group", F.explode("prefix").alias("gram")), member
+        return made.select("group", F.posexplode("prefix").alias("pos", "gram")), member
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes at or above the threshold, as edges (u, v).
@@ -206,54 +228,61 @@ class Join:
 
     def components(self) -> DataFrame:
         """(node, component) for every class that links with another."""
+        m = self.measure
         index, member = self.index()
         lists = index.groupBy("gram").agg(F.min("group").alias("hub"), F.max("group").alias("last")).filter("hub < last").select("gram", "hub")
         lists = stored(lists, "lists")
         release(self.spark)
         index = stored(index.join(lists, "gram"), "index")
         release(self.spark)
-        sizes = self.classes.select("node", "n")
-        groups = member.join(sizes, "node").groupBy("group").agg(F.min("node").alias("head"), F.min("n").alias("n"), F.count("*").alias("members"))
-        groups = stored(groups, "groups")
-        heads = groups.select("group", "head", "n")
-        meet = index.select("group", "hub").filter("group <> hub").distinct()
-        meet = meet.join(heads, "group").join(heads.select(F.col("group").alias("hub"), F.col("head").alias("a"), F.col("n").alias("n1")), "hub")
-        meet = meet.filter(self.measure.sizes_fit("n", "n1")).select("a", F.col("head").alias("b"))
-        crowd = member.join(groups.filter("members > 1").select("group", "head"), "group").filter("node <> head")
+        traits = self.classes.select("node", "n", *SKETCH)
+        groups = member.groupBy("group").agg(F.min("node").alias("head"), F.count("*").alias("members"))
+        groups = stored(groups.join(traits.withColumnRenamed("node", "head"), "head"), "groups")
+
+        def prefixed(frame: DataFrame, by: str, start: str) -> DataFrame:
+            """The traits of a frame under names with a prefix, keyed by ``by``."""
+            return frame.select(by, *(F.col(c).alias(start + c) for c in frame.columns if c != by))
+
         # First round: every group meets the hub of each of its lists, every member its group's head.
+        heads = groups.select("group", F.col("head").alias("node"), "n", *SKETCH)
+        meet = index.filter("group <> hub").select("group", "hub").distinct()
+        meet = meet.join(prefixed(heads, "group", "x_"), "group").join(prefixed(heads.withColumnRenamed("group", "hub"), "hub", "y_"), "hub")
+        meet = meet.filter(m.sizes_fit("x_n", "y_n") & m.near("x_", "y_")).select(F.col("y_node").alias("a"), F.col("x_node").alias("b"))
+        crowd = member.join(groups.filter("members > 1").select("group", "head"), "group").filter("node <> head")
         tested = stored(meet.unionByName(crowd.select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct(), "tested")
-        places = index.select("gram", "group").distinct()
-        places = places.unionByName(groups.filter("members > 1").select(F.xxhash64("group", F.lit("group")).alias("gram"), "group"))
+        places = index.groupBy("gram", "group").agg(F.min("pos").alias("pos"))
+        places = places.unionByName(groups.filter("members > 1").select(F.xxhash64("group", F.lit("group")).alias("gram"), "group", F.lit(0).alias("pos")))
         places = stored(places, "places")
         # Only classes in some list can link; their smallest hashes are all that is needed before sets.
         able = member.join(places.select("group").distinct(), "group").select("node").join(self.classes.select("node", "doc_id"), "node")
         self.low = stored(self.rows.join(able, ["node", "doc_id"]).select("node", "n", "low").dropDuplicates(["node"]), "low")
         release(self.spark)
-        edges = self.verified(tested)
-        found = stored(components(edges), "components")
+        found = stored(components(self.verified(tested)), "components")
 
         def open_lists() -> DataFrame:
-            """(gram, node, component) of the lists that still hold different components, groups
-            expanded to members; a group of several members is a list too."""
-            placed = member.join(found, "node", "left").join(heads.select("group", "n"), "group")
-            placed = placed.select("node", "group", "n", F.coalesce("component", "node").alias("component"))
+            """(gram, pos, node, n, parities, component) of the lists that still hold different
+            components, groups expanded to members; a group of several members is a list too."""
+            placed = member.join(found, "node", "left").join(traits, "node")
+            placed = placed.select("node", "group", "n", *SKETCH, F.coalesce("component", "node").alias("component"))
             # Components per group first: most groups are of one component.
             spread = placed.groupBy("group").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
             mixed = places.join(spread, "group").groupBy("gram").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).filter("c1 < c2").select("gram")
-            return places.join(mixed, "gram").join(placed, "group").select("gram", "node", "n", "component")
+            return places.join(mixed, "gram").join(placed, "group").select("gram", "pos", "node", "n", *SKETCH, "component")
 
         for turn in range(HUB_ROUNDS + 1):
             now = stored(open_lists(), "open")
             if now.isEmpty():
                 break
+            fits = m.sizes_fit("x_n", "y_n") & m.early("x_", "y_") & m.near("x_", "y_")
+            one = prefixed(now, "gram", "x_")
             if turn < HUB_ROUNDS:
                 order = F.xxhash64("component", F.lit(turn))
-                hubs = now.groupBy("gram").agg(F.min_by(F.struct("node", "n", "component"), F.struct(order, F.xxhash64("node", F.lit(turn)))).alias("hub"))
-                pairs = now.join(hubs, "gram").filter("component <> hub.component").select(F.col("hub.node").alias("x"), F.col("hub.n").alias("n2"), F.col("node").alias("y"), "n")
+                hubs = now.groupBy("gram").agg(F.min_by(F.struct(*(c for c in now.columns if c != "gram")), F.struct(order, F.xxhash64("node", F.lit(turn)))).alias("hub"))
+                pairs = one.join(prefixed(hubs.select("gram", "hub.*"), "gram", "y_"), "gram").filter((F.col("x_component") != F.col("y_component")) & fits)
             else:
-                other = now.select("gram", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-                pairs = now.withColumnRenamed("node", "x").join(other, "gram").filter("component < c2").select("x", "y", "n", "n2")
-            pairs = pairs.filter(self.measure.sizes_fit("n", "n2")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                other = prefixed(now, "gram", "y_")
+                pairs = one.join(other, (one.gram == other.gram) & (F.col("x_component") < F.col("y_component")) & fits)
+            pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
             known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = stored(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
             if pairs.isEmpty():
@@ -261,8 +290,7 @@ class Join:
             more = self.verified(pairs)
             tested = tested.unionByName(pairs)
             if not more.isEmpty():
-                edges = edges.unionByName(more)
-                found = stored(components(edges), "components")
+                found = stored(extended(found, more), "components")
         return found
 
 

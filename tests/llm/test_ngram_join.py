@@ -6,7 +6,7 @@ import re
 import pytest
 
 from ledgerflow.llm import ngram_join
-from ledgerflow.llm.components import components
+from ledgerflow.llm.components import components, extended
 
 
 def grams(text, n=3):
@@ -83,3 +83,14 @@ def test_components_of_long_and_wide_graphs(spark):
     nodes = {x for e in edges for x in e if e[0] != e[1]}
     assert got == reach(nodes, [e for e in edges if e[0] != e[1]])
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_extended_by_more_edges(spark):
+    dice = random.Random(4)
+    first = [(dice.randint(0, 200), dice.randint(0, 200)) for _ in range(80)]
+    more = [(dice.randint(0, 260), dice.randint(0, 260)) for _ in range(60)] + [(3, 3)]
+    frame = lambda e: spark.createDataFrame(e, "u long, v long")
+    got = {r.node: r.component for r in extended(components(frame(first)), frame(more)).collect()}
+    edges = [e for e in first + more]
+    whole = reach({x for e in edges for x in e}, [e for e in edges if e[0] != e[1]])
+    assert all(got[n] == c for n, c in whole.items() if n in got) and {n for n, c in whole.items() if c != n} <= set(got)
