@@ -5,7 +5,8 @@ passages of ``PASSAGE`` words, every ``STRIDE`` words. The term weights are inve
 frequencies counted over all documents; a randomised SVD of the items' TF-IDF passages, its
 products summed over the cluster, gives the latent space. Every passage of every document is
 projected, and pairs whose cosine reaches ``COSINE`` are candidates. A passage whose weight
-lies nearly all on words that no item has cannot reach it and is not projected.
+lies nearly all on words that no item has cannot reach it and is not projected, nor is one
+with fewer than ``LEAST_SHARED`` different words of items.
 
 A candidate is settled on words: the longest common subsequence of the item and the document
 around the passage must cover ``SHARE`` of the item within a stretch not much longer than the
@@ -47,6 +48,7 @@ PARAPHRASE = 0.6
 STRETCH = 1.6
 ANSWER_WORDS = 8
 LEAST_WORDS = 8
+LEAST_SHARED = 3
 ITEMS_AT_ONCE = 1_000
 ITEMS_IN_SPACE = 128
 COLUMNS_AT_ONCE = 1_024
@@ -148,13 +150,22 @@ class Space:
         end = np.minimum(begin + PASSAGE, first[row + 1])
         whole = energy[end] - energy[begin]
         keep = np.flatnonzero(ours[end] - ours[begin] >= COSINE**2 * whole)
-        for a in range(0, len(keep), 4_096):
-            part = keep[a : a + 4_096]
-            size = end[part] - begin[part]
-            place = np.repeat(begin[part] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            rows = self.basis[at[place]] * np.where(known[place], weight[place], 0.0)[:, None]
-            projected = np.add.reduceat(rows, np.cumsum(size) - size)
-            cosine = (projected @ self.passages.T) / np.sqrt(whole[part])[:, None]
+        basis = self.basis
+        for a in range(0, len(keep), 512):
+            part = keep[a : a + 512]
+            place = begin[part][:, None] + np.arange(PASSAGE)
+            inside = place < end[part][:, None]
+            place = np.minimum(place, len(hashes) - 1)
+            word, w = hashes[place], np.where(inside, weight[place], 0.0)
+            # A word's frequency in the passage, at each of its places: the norm of the counts.
+            times = ((word[:, :, None] == word[:, None, :]) & inside[:, None, :]).sum(2)
+            ours_here = known[place] & inside
+            rich = np.where(ours_here, 1.0 / np.maximum(times, 1), 0.0).sum(1) > LEAST_SHARED - 0.5
+            part, place, w, times, ours_here = part[rich], place[rich], w[rich], times[rich], ours_here[rich]
+            norm = np.sqrt((w * w * times).sum(1))
+            ours_only = np.where(ours_here, w, 0.0).astype(np.float32)
+            projected = np.matmul(ours_only[:, None, :], basis[at[place]])[:, 0]
+            cosine = (projected @ self.passages.T) / norm[:, None]
             for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
                 k = part[w]
                 yield int(row[k]), int(begin[k] - first[row[k]]), int(self.owner[p])
