@@ -1,6 +1,6 @@
 """Vectorised handling of whole texts inside Arrow batches.
 
-A batch is cut into runs of whole rows of a few MB, so that the numpy columns made for
+A batch is cut into runs of whole rows of about half a MB, so that the numpy columns made for
 a run stay small whatever the batch or partition size. A single longer text forms a run
 of its own; nothing is ever cut off.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 2_000_000
+RUN_BYTES = 500_000
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
