@@ -19,6 +19,10 @@ from ledgerflow.llm.tables import fresh_path, table
 #: No SQL states the classifier, the latent retrieval or the encoding.
 ORACLE_SQL = None
 
+#: What makes near copies of documents here: words of a shingle, least Jaccard similarity.
+SHINGLE_WORDS = 5
+SHINGLE_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -28,8 +32,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that reach each other over similar n-gram sets, the smallest id stays."""
-    return ngram_join.without_near_copies(docs)
+    """Of documents that reach each other over similar sets of word shingles, the smallest id
+    stays; unlike query op5, which takes three words and 90 %."""
+    return ngram_join.without_near_copies(docs, n=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
 
 
 def repeats_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
