@@ -4,9 +4,10 @@ Words are runs of letters and digits, A-Z in lower case. Items and documents are
 passages of ``PASSAGE`` words, every ``STRIDE`` words. The term weights are inverse document
 frequencies counted over all documents; a randomised SVD of the items' TF-IDF passages, its
 products summed over the cluster, gives the latent space. Every passage of every document is
-projected, and pairs whose cosine reaches ``COSINE`` are candidates. A passage whose weight
-lies nearly all on words that no item has cannot reach it and is not projected, nor is one
-with fewer than ``LEAST_SHARED`` different words of items.
+projected, and pairs whose cosine reaches ``COSINE`` are candidates. Words that no item has
+count nothing in that cosine: with a weight of their own, as large as the number of documents
+makes it, a short or reworded item would be lost among them the sooner the more documents
+there are. A passage with fewer than ``LEAST_SHARED`` different words of items is not projected.
 
 A candidate is settled on words: the longest common subsequence of the item and the document
 around the passage must cover ``SHARE`` of the item within a stretch not much longer than the
@@ -96,7 +97,9 @@ def settled(item: Item, text: np.ndarray, near: int) -> tuple[float, int, int] |
     size = len(item.grams)
     begin = max(0, near - size)
     around = text[begin : near + PASSAGE + size]
-    if np.isin(item.grams, around).sum() < PARAPHRASE * size:
+    small = size * len(around) <= 20_000
+    there = (item.grams[:, None] == around).any(1) if small else np.isin(item.grams, around)
+    if there.sum() < PARAPHRASE * size:
         return None
     left, right = common_subsequence(item.grams, around)
     best = None
@@ -130,42 +133,42 @@ class Space:
     items: list[Item]
     vocabulary: np.ndarray  # sorted word hashes of the items
     weights: np.ndarray  # their inverse document frequencies
-    unknown: float  # that of any other word
     basis: np.ndarray  # (vocabulary, rank)
     passages: np.ndarray  # (passages of items, rank), of unit length before projection
     owner: np.ndarray  # item of each passage
 
+    def __post_init__(self):
+        # Projection and product with the items' passages as one table, where that is the smaller one.
+        self.folded = len(self.passages) <= 2 * self.basis.shape[1]
+        terms = self.weights[:, None] * self.basis
+        self.terms = (terms @ self.passages.T if self.folded else terms).astype(np.float32)
+
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(row, place of the passage in its row, item)."""
         if not len(hashes) or not len(self.items):
             return
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1).astype(np.int32)
         known = self.vocabulary[at] == hashes
-        weight = np.where(known, self.weights[at], self.unknown)
-        energy = np.concatenate([[0.0], np.cumsum(weight**2)])
-        ours = np.concatenate([[0.0], np.cumsum(np.where(known, weight**2, 0.0))])
         begins = [windows(n) for n in np.diff(first)]
         row = np.repeat(np.arange(len(begins)), [len(b) for b in begins])
         begin = np.concatenate(begins) + first[row] if begins else np.zeros(0, np.int64)
         end = np.minimum(begin + PASSAGE, first[row + 1])
-        whole = energy[end] - energy[begin]
-        keep = np.flatnonzero(ours[end] - ours[begin] >= COSINE**2 * whole)
-        basis = self.basis
-        for a in range(0, len(keep), 512):
-            part = keep[a : a + 512]
+        for a in range(0, len(begin), 128):
+            part = np.arange(a, min(a + 128, len(begin)))
             place = begin[part][:, None] + np.arange(PASSAGE)
             inside = place < end[part][:, None]
             place = np.minimum(place, len(hashes) - 1)
-            word, w = hashes[place], np.where(inside, weight[place], 0.0)
+            word, ours = at[place], known[place] & inside
             # A word's frequency in the passage, at each of its places: the norm of the counts.
-            times = ((word[:, :, None] == word[:, None, :]) & inside[:, None, :]).sum(2)
-            ours_here = known[place] & inside
-            rich = np.where(ours_here, 1.0 / np.maximum(times, 1), 0.0).sum(1) > LEAST_SHARED - 0.5
-            part, place, w, times, ours_here = part[rich], place[rich], w[rich], times[rich], ours_here[rich]
-            norm = np.sqrt((w * w * times).sum(1))
-            ours_only = np.where(ours_here, w, 0.0).astype(np.float32)
-            projected = np.matmul(ours_only[:, None, :], basis[at[place]])[:, 0]
-            cosine = (projected @ self.passages.T) / norm[:, None]
+            times = ((word[:, :, None] == word[:, None, :]) & ours[:, None, :]).sum(2)
+            rich = np.where(ours, 1.0 / np.maximum(times, 1), 0.0).sum(1) > LEAST_SHARED - 0.5
+            if not rich.any():
+                continue
+            part, word, ours, times = part[rich], word[rich], ours[rich], times[rich]
+            norm = np.sqrt(np.where(ours, self.weights[word] ** 2 * times, 0.0).sum(1))
+            many = ours.sum(1)
+            summed = np.add.reduceat(self.terms[word[ours]], np.cumsum(many) - many)
+            cosine = (summed if self.folded else summed @ self.passages.T) / norm[:, None]
             for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
                 k = part[w]
                 yield int(row[k]), int(begin[k] - first[row[k]]), int(self.owner[p])
@@ -241,7 +244,6 @@ def space_of(spark: SparkSession, items: list[Item], words_known: np.ndarray, co
     vocabulary = np.unique(np.concatenate([i.grams for i in items]))
     counts = counts[np.searchsorted(words_known, vocabulary)]
     weights = np.log((n + 1) / (counts + 0.5)).clip(0.05)
-    unknown = float(np.log(2 * (n + 1)))
     rows, owner = [], []
     for k, item in enumerate(items):
         at = np.searchsorted(vocabulary, item.grams)
@@ -254,7 +256,7 @@ def space_of(spark: SparkSession, items: list[Item], words_known: np.ndarray, co
     made = spark.createDataFrame([(a.tolist(), v.tolist()) for a, v in rows], schema).repartition(max(1, len(rows) // 2_000 + 1))
     basis = latent_basis(made, len(vocabulary), min(RANK, len(rows), len(vocabulary)))
     projected = np.stack([v @ basis[a] for a, v in rows])
-    return Space(items, vocabulary, weights, unknown, basis.astype(np.float32), projected.astype(np.float32), np.array(owner))
+    return Space(items, vocabulary, weights, basis.astype(np.float32), projected.astype(np.float32), np.array(owner))
 
 
 def matches_with(docs: DataFrame, spaces: list[Space]) -> DataFrame:
@@ -271,8 +273,8 @@ def matches_with(docs: DataFrame, spaces: list[Space]) -> DataFrame:
                 for space in shared.value:
                     best: dict[tuple[int, int], tuple[float, int, int]] = {}
                     for row, near, k in space.candidates(hashes, first):
-                        if (row, k) in best and (best[row, k][0] >= 1 or near < best[row, k][2]):
-                            continue  # settled already, or the same stretch again
+                        if (row, k) in best and best[row, k][0] >= 1:
+                            continue  # settled already
                         found = settled(space.items[k], hashes[first[row] : first[row + 1]], near)
                         if found and found[0] > best.get((row, k), (0.0,))[0]:
                             best[row, k] = found

@@ -161,3 +161,26 @@ def test_common_subsequence_and_answer():
 
     asked = "how many of the large red birds were spotted there by the old stream "
     assert near(asked + "seven birds") and near(asked + "three cats") is None
+
+
+def hashed(words):
+    return decontamination.item_of(0, " ".join(words)).grams
+
+
+@pytest.mark.parametrize("scale", [1, 1_000_000])
+def test_short_and_reworded_items_are_candidates_in_corpora_of_any_size(spark, scale):
+    dice = random.Random(11)
+    items = [[f"w{dice.randint(0, 300)}" for _ in range(dice.randint(8, 16))] for _ in range(60)]
+    made = [decontamination.item_of(k, " ".join(w)) for k, w in enumerate(items)]
+    known = np.unique(np.concatenate([i.grams for i in made]))
+    counts = np.random.default_rng(2).integers(5, 100, len(known)) * scale
+    space = decontamination.space_of(spark, made, known, counts, 400 * scale)
+    for k, item in enumerate(items):
+        new = list(item)
+        for j in dice.sample(range(made[k].answer), len(item) * 3 // 10) if made[k].answer >= len(item) * 3 // 10 else []:
+            new[j] = f"x{j}"
+        for words in (item, new):
+            cut = dice.randint(0, 80)
+            text = hashed([f"o{j}" for j in range(cut)] + words + [f"p{j}" for j in range(80)])
+            found = [near for _, near, owner in space.candidates(text, np.array([0, len(text)])) if owner == k]
+            assert any(decontamination.settled(made[k], text, near) for near in found)
