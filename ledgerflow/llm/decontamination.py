@@ -7,18 +7,19 @@ products summed over the cluster, gives the latent space. Every passage of every
 projected, and pairs whose cosine reaches ``COSINE`` are candidates. Words that no item has
 count nothing in that cosine: with a weight of their own, as large as the number of documents
 makes it, a short or reworded item would be lost among them the sooner the more documents
-there are. A passage with fewer than ``LEAST_SHARED`` different words of items is not projected.
+there are. A passage with fewer than ``LEAST_SHARED`` different words of items is not projected,
+unless an item is so repetitive that few different words can make up a match of it.
 
 A candidate is settled on words: the longest common subsequence of the item and the document
 around the passage must cover ``SHARE`` of the item within a stretch not much longer than the
 item; from ``PARAPHRASE`` on, it is enough if the item's answer, its last sentence or at most
-its last ``ANSWER_WORDS`` words, is there as well.
+its last ``ANSWER_WORDS`` words, is there as well. Items of fewer than ``LEAST_WORDS`` words are
+too short for that: they match where all their words, the answer's too, follow each other.
 
 Items share a latent space with at most ``ITEMS_IN_SPACE`` others or so, since a space of fixed
 rank tells only so many passages apart, and a pass over the documents takes about
 ``ITEMS_AT_ONCE`` items: what is broadcast is bounded by constants and by the words of so many
-items. Null and empty texts, and items of fewer than
-``LEAST_WORDS`` words, match nothing. Repeated documents are reported each; an item id that
+items. Null and empty texts, and texts without a word, match nothing. Repeated documents are reported each; an item id that
 repeats is reported once per text that matches.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.tables import stored
-from ledgerflow.llm.text import MIXED_LOWER, runs, span_hashes, words
+from ledgerflow.llm.text import MIXED_LOWER, runs, shingle_hashes, span_hashes, words
 from ledgerflow.llm.toxicity import GAPS
 
 PASSAGE = 24
@@ -121,6 +122,26 @@ def settled(item: Item, text: np.ndarray, near: int) -> tuple[float, int, int] |
     return None
 
 
+def different_words(item: Item) -> int:
+    """How many different words a match of the item has at least."""
+    times = np.sort(np.unique(item.grams, return_counts=True)[1])[::-1]
+    return int(np.searchsorted(np.cumsum(times), PARAPHRASE * len(item.grams))) + 1
+
+
+def short_matches(items: list[Item], hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, Item, int]]:
+    """(row, item, place) where all words of a short item follow each other, once for each row and item."""
+    for size in sorted({len(i.grams) for i in items}):
+        known: dict[int, list[Item]] = {}
+        for item in (i for i in items if len(i.grams) == size):
+            known.setdefault(int(shingle_hashes(item.grams, np.array([0, size]), size)[0][0]), []).append(item)
+        found, rows = shingle_hashes(hashes, first, size)
+        at = np.flatnonzero(np.isin(found, np.array(list(known), np.uint64)) & (np.diff(first)[rows] >= size))
+        _, once = np.unique(np.stack([rows[at].astype(np.uint64), found[at]]), axis=1, return_index=True)
+        for k in at[np.sort(once)]:
+            for item in known[int(found[k])]:
+                yield int(rows[k]), item, int(k - np.searchsorted(rows, rows[k]))
+
+
 def windows(count: int) -> np.ndarray:
     """Begins of the passages of a text of ``count`` words; the last one ends with the text."""
     if count <= PASSAGE:
@@ -136,6 +157,7 @@ class Space:
     basis: np.ndarray  # (vocabulary, rank)
     passages: np.ndarray  # (passages of items, rank), of unit length before projection
     owner: np.ndarray  # item of each passage
+    least: int  # different words of items that a passage must have
 
     def __post_init__(self):
         # Projection and product with the items' passages as one table, where that is the smaller one.
@@ -161,7 +183,7 @@ class Space:
             word, ours = at[place], known[place] & inside
             # A word's frequency in the passage, at each of its places: the norm of the counts.
             times = ((word[:, :, None] == word[:, None, :]) & ours[:, None, :]).sum(2)
-            rich = np.where(ours, 1.0 / np.maximum(times, 1), 0.0).sum(1) > LEAST_SHARED - 0.5
+            rich = np.where(ours, 1.0 / np.maximum(times, 1), 0.0).sum(1) > self.least - 0.5
             if not rich.any():
                 continue
             part, word, ours, times = part[rich], word[rich], ours[rich], times[rich]
@@ -256,12 +278,14 @@ def space_of(spark: SparkSession, items: list[Item], words_known: np.ndarray, co
     made = spark.createDataFrame([(a.tolist(), v.tolist()) for a, v in rows], schema).repartition(max(1, len(rows) // 2_000 + 1))
     basis = latent_basis(made, len(vocabulary), min(RANK, len(rows), len(vocabulary)))
     projected = np.stack([v @ basis[a] for a, v in rows])
-    return Space(items, vocabulary, weights, basis.astype(np.float32), projected.astype(np.float32), np.array(owner))
+    fewest = min(different_words(i) for i in items)
+    least = LEAST_SHARED if fewest > LEAST_SHARED else 1
+    return Space(items, vocabulary, weights, basis.astype(np.float32), projected.astype(np.float32), np.array(owner), least)
 
 
-def matches_with(docs: DataFrame, spaces: list[Space]) -> DataFrame:
+def matches_with(docs: DataFrame, spaces: list[Space], short: list[Item]) -> DataFrame:
     """(doc_id, item_id, share, begin_word, end_word): the best match of each document and item."""
-    shared = docs.sparkSession.sparkContext.broadcast(spaces)
+    shared = docs.sparkSession.sparkContext.broadcast((spaces, short))
     names = ["doc_id", "item_id", "share", "begin_word", "end_word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +294,10 @@ def matches_with(docs: DataFrame, spaces: list[Space]) -> DataFrame:
                 start, end, first = words(data, offsets, GAPS)
                 hashes = span_hashes(data, start, end, MIXED_LOWER)
                 ids, out = rows.column(0).to_pylist(), []
-                for space in shared.value:
+                spaces, short = shared.value
+                for row, item, place in short_matches(short, hashes, first):
+                    out.append((ids[row], item.item_id, 1.0, place, place + len(item.grams)))
+                for space in spaces:
                     best: dict[tuple[int, int], tuple[float, int, int]] = {}
                     for row, near, k in space.candidates(hashes, first):
                         if (row, k) in best and best[row, k][0] >= 1:
@@ -294,13 +321,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     found = []
     for k in range(passes):
         rows = known.filter(part == k).orderBy("item_id", "text").collect()
-        items = [i for i in (item_of(r.item_id, r.text) for r in rows) if len(i.grams) >= LEAST_WORDS]
+        made = [i for i in (item_of(r.item_id, r.text) for r in rows) if len(i.grams)]
+        items, short = [i for i in made if len(i.grams) >= LEAST_WORDS], [i for i in made if len(i.grams) < LEAST_WORDS]
         if not items:
+            if short:
+                found.append(matches_with(plain, [], short))
             continue
         vocabulary = np.unique(np.concatenate([i.grams for i in items]))
         counts, n = document_frequencies(plain, vocabulary)
         blocks = -(-len(items) // ITEMS_IN_SPACE)
-        found.append(matches_with(plain, [space_of(docs.sparkSession, items[b::blocks], vocabulary, counts, n) for b in range(blocks)]))
+        found.append(matches_with(plain, [space_of(docs.sparkSession, items[b::blocks], vocabulary, counts, n) for b in range(blocks)], short))
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], MATCH)
 
 

@@ -184,3 +184,15 @@ def test_short_and_reworded_items_are_candidates_in_corpora_of_any_size(spark, s
             text = hashed([f"o{j}" for j in range(cut)] + words + [f"p{j}" for j in range(80)])
             found = [near for _, near, owner in space.candidates(text, np.array([0, len(text)])) if owner == k]
             assert any(decontamination.settled(made[k], text, near) for near in found)
+
+
+def test_short_and_repetitive_items_match(spark):
+    items = [(1, "Who won? Ada"), (2, "zebra"), (3, "What is two and two? It is four"), (4, "who won ada"), (5, "no no no no no no no yes no no"), (6, "..."), (7, "never ever there")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(1, "so they asked who won, ADA said"), (2, "who won then ada"), (3, "a zebra, and a zebra"), (4, "q: what is two and two? it is four"),
+            (5, "well no no no no no no no yes no no then"), (6, "ada"), (7, ""), (8, None), (9, "never ever")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.item_id, r.share, r.begin_word, r.end_word) for r in decontamination.leaks(frame, bench).collect())
+    assert got == [(1, 1, 1.0, 3, 6), (1, 4, 1.0, 3, 6), (3, 2, 1.0, 1, 2), (4, 3, 1.0, 1, 9), (5, 5, 1.0, 1, 11)]
+    only = decontamination.leaks(frame, bench.filter("item_id = 2")).collect()
+    assert [(r.doc_id, r.item_id) for r in only] == [(3, 2)]
