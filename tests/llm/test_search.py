@@ -196,3 +196,11 @@ def test_short_and_repetitive_items_match(spark):
     assert got == [(1, 1, 1.0, 3, 6), (1, 4, 1.0, 3, 6), (3, 2, 1.0, 1, 2), (4, 3, 1.0, 1, 9), (5, 5, 1.0, 1, 11)]
     only = decontamination.leaks(frame, bench.filter("item_id = 2")).collect()
     assert [(r.doc_id, r.item_id) for r in only] == [(3, 2)]
+
+
+def test_repeated_item_words_reach_the_cosine(spark):
+    item = decontamination.item_of(1, "go go go go go go go go now please")
+    known = np.unique(item.grams)
+    space = decontamination.space_of(spark, [item], known, np.full(len(known), 500), 10_000)
+    text = hashed([f"o{j}" for j in range(7)] + ["go"] * 8 + ["now", "please"] + [f"p{j}" for j in range(7)])
+    assert [owner for _, _, owner in space.candidates(text, np.array([0, len(text)]))] == [0]
