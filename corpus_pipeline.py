@@ -49,9 +49,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_chars, n_tokens, ids)."""
-    made = bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return made.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, lang, source, n_chars, n_tokens, ids, decoded): the ids and the text that they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made = bpe.decoded(bpe.encoded(docs, path).drop("text"), path)
+    return made.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -167,6 +167,23 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     return docs.mapInArrow(run, schema)
 
 
+def decoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``docs`` with the text of a column of token ids per row, null where the ids are null; one
+    pass, no shuffle. Ids that the vocabulary lacks raise KeyError."""
+    schema = docs.select("*", F.lit(None).cast("string").alias(text)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                rows = batch.column(batch.schema.get_field_index(ids))
+                made = [None if not r.is_valid else bpe.decode(np.asarray(r.values).tolist()) for r in rows]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, text])
+
+    return docs.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token count and digests of ids and decoded text per row, for comparing round trips."""
     schema = f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string"

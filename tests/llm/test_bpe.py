@@ -3,12 +3,13 @@
 import hashlib
 import random
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerflow.llm.bpe import WordBPE, digests, encoded
+from ledgerflow.llm.bpe import WordBPE, decoded, digests, encoded
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -50,3 +51,13 @@ def test_rows_nulls_repeats_and_clashing_columns(spark, library):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert digests(docs, PATH).count() == 0 and encoded(docs, PATH).count() == 0
+
+
+def test_decoded_column_and_stage(spark, library):
+    texts = [*ODD, None, "again", "again"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    shown = {i: library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.decoded for r in corpus_pipeline.tokenised(spark, docs, "").collect()} == shown
+    ids = spark.createDataFrame([(1, None, "x"), (2, [], "y")], "doc_id long, ids array<int>, text string")
+    assert {r.doc_id: (r.decoded, r.text) for r in decoded(ids, PATH).collect()} == {1: (None, "x"), 2: ("", "y")}
+    assert decoded(ids.limit(0), PATH).count() == 0
