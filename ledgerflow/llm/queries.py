@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerflow.llm import bpe, decontamination, html, negatives, ngram_join, quality, suffixes, topk, toxicity, urls, warc
+from ledgerflow.llm import bpe, decontamination, divergence, html, negatives, ngram_join, quality, suffixes, topk, toxicity, urls, warc
 from ledgerflow.llm.urls import Rule
 from ledgerflow.llm.tables import table
 
@@ -64,6 +64,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", relabelled), F.col("vec_id") % 50 == 0)
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "op12_source_divergence": op12_source_divergence,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
@@ -178,6 +183,36 @@ ORACLES: dict[str, str] = {
         select page_id, payload_bytes, payload_digest, case when first_id = page_id then 'response' else 'revisit' end as record_type,
                case when first_id <> page_id then first_id end as refers_to from f
     """,
+    "op12_source_divergence": """
+        with doc as (
+            select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+            from documents
+        ), occurs as (select d, lang, source, unnest(terms) as term from doc),
+        kept as (select lang, term from occurs group by lang, term having count(distinct d) >= 30),
+        grp as (select distinct lang, source from doc),
+        cnt as (select lang, source, term, count(*) as n from occurs join kept using (lang, term) group by lang, source, term),
+        width as (select g.lang, count(k.term) as v from (select distinct lang from grp) g left join kept k on g.lang = k.lang group by g.lang),
+        held as (
+            select g.lang, g.source, v, coalesce(total, 0) as total from grp g join width using (lang)
+            left join (select lang, source, sum(n) as total from cnt group by lang, source) using (lang, source)
+        ), p as (
+            select h.lang, h.source, k.term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (total + 5 * v) as p
+            from held h join kept k on h.lang = k.lang left join cnt c on h.lang = c.lang and h.source = c.source and k.term = c.term
+        ), q as (
+            select lang, term, 1 + (1000000000::hugeint * (sum(n) + 5)) // (any_value(total) + 5 * any_value(v)) as q
+            from p join (select lang, sum(total) as total, any_value(v) as v from held group by lang) using (lang) group by lang, term
+        ), pair as (
+            select a.lang, a.source, b.source as item, coalesce(value, 0) as value from grp a join grp b on a.lang = b.lang and a.source <> b.source
+            left join (
+                select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term group by x.lang, x.source, y.source
+            ) s on s.lang = a.lang and s.source = a.source and s.item = b.source
+        ), term as (select lang, source, term as item, p - q as value from p join q using (lang, term) where n > 0 and p > q)
+        select lang, source, 'pair' as part, item, value::bigint as value, row_number() over (partition by lang, source order by value desc, item)::integer as rank from pair
+        union all select * from (
+            select lang, source, 'term' as part, item, value::bigint as value, row_number() over (partition by lang, source order by value desc, item)::integer as rank from term
+        ) where rank <= 50
+    """,
     "op13_hard_negatives": """
         with v as (
             select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
