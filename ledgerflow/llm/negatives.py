@@ -32,7 +32,7 @@ from ledgerflow.llm.tables import stored
 
 ROWS_AT_ONCE = 8_192  # candidates with sorted lists in memory at a time
 ANCHORS_IN_CELL = 16_384
-SCORES_IN_CELL = 1 << 23  # of a small table; a large one has larger cells, at most MOST_CELLS
+SCORES_IN_CELL = 1 << 22  # of a small table; a large one has larger cells, at most MOST_CELLS
 MOST_CELLS = 100_000
 FIRST_DEPTH = 16
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -199,20 +199,26 @@ def parts(anchors: Column, rows: Column) -> tuple[Column, Column]:
 def searched(asked: DataFrame, known: DataFrame, sizes: DataFrame, k: int, same_label: bool, low: int = 0, high: int = 0) -> DataFrame:
     """(anchor_id, slot, vec_id, score): per cell, the ``k`` best of each window of each anchor.
 
-    ``sizes`` (of_label, sides, parts) deals anchors and candidates; ``of_label`` is the shared
-    label, or the same number for all where labels differ.
+    ``sizes`` (of_label, sides, parts) deals anchors and candidates label by label; where labels
+    differ it has one row for all.
     """
     sizes = stored(sizes, "cells")
     cells = sizes.agg(F.sum(F.col("sides") * F.col("parts"))).first()[0] or 1
-    label = F.col("label") if same_label else F.lit(0).cast("long")
     columns = [*CELL, "kind", "vec_id", "label", "v", "scores"]
-    anchors = asked.withColumn("of_label", label).join(sizes, "of_label")
+
+    def sized(rows: DataFrame) -> DataFrame:
+        if same_label:
+            return rows.withColumn("of_label", F.col("label")).join(sizes, "of_label")
+        only = sizes.first() or {"sides": 1, "parts": 1}
+        return rows.withColumns({"of_label": F.lit(0).cast("long")} | {c: F.lit(only[c]).cast("long") for c in ("sides", "parts")})
+
+    anchors = sized(asked)
     anchors = anchors.withColumn("side", F.pmod(F.xxhash64("vec_id"), "sides")).withColumn("kind", F.lit(0).cast("long"))
     anchors = anchors.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = known.withColumn("of_label", label).join(sizes, "of_label")
+    rows = sized(known)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("row"), "parts")).withColumn("kind", F.lit(1).cast("long"))
     rows = rows.withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1))).withColumn("scores", F.lit(None).cast("array<long>"))
-    dealt = anchors.select(columns).unionByName(rows.select(columns)).repartition(min(int(cells), MOST_CELLS), *CELL)
+    dealt = anchors.select(columns).unionByName(rows.select(columns)).repartition(min(4 * int(cells), MOST_CELLS), *CELL)
     return dealt.sortWithinPartitions(*CELL, "kind").mapInArrow(in_cells(k, same_label, low, high), "anchor_id long, slot int, vec_id long, score long")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerflow.llm import bpe, decontamination, divergence, html, negatives, ngram_join, quality, suffixes, topk, toxicity, urls, warc
+from ledgerflow.llm import bpe, decontamination, divergence, forest, html, negatives, ngram_join, quality, suffixes, topk, toxicity, urls, warc
 from ledgerflow.llm.urls import Rule
 from ledgerflow.llm.tables import table
 
@@ -64,6 +64,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audited(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
+    "op11_minhash_forest": op11_minhash_forest,
     "op12_source_divergence": op12_source_divergence,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
@@ -183,6 +188,25 @@ ORACLES: dict[str, str] = {
         select page_id, payload_bytes, payload_digest, case when first_id = page_id then 'response' else 'revisit' end as record_type,
                case when first_id <> page_id then first_id end as refers_to from f
     """,
+    "op11_minhash_forest": """
+        with recursive word as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+        ), gram as (
+            select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' '))
+                                                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from word
+        ), size as (select doc_id, count(*) as n from gram group by doc_id),
+        shared as (
+            select a.doc_id as a, b.doc_id as b, count(*) as c from gram a join gram b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+        ), link as (
+            select a, b from shared join size x on a = x.doc_id join size y on b = y.doc_id where 100 * c >= 80 * (x.n + y.n - c)
+        ), both_ways as (select a, b from link union all select b, a from link),
+        reach(a, b) as (
+            select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a
+        ), least as (select a, min(b) as b from reach group by a)
+        select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(b, d.doc_id))::bigint as component_id,
+               d.doc_id = least(d.doc_id, coalesce(b, d.doc_id)) as kept
+        from documents d left join size s on d.doc_id = s.doc_id left join least l on d.doc_id = l.a
+    """,
     "op12_source_divergence": """
         with doc as (
             select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
