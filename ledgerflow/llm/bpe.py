@@ -15,6 +15,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
@@ -26,7 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_WORDS = 700_000
+CACHE_BYTES = 48_000_000  # of words and stretches already encoded, per task
+ENTRY_BYTES = 250
 SEPARATORS = re.compile("[\x1c-\x1f]").search
 WHITE = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
 
@@ -62,6 +64,22 @@ class WordBPE:
         self.last = [self.ids.get(s + self.end) for s in self.symbols]
         self.words: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        """Empty the caches; a task does so at its end, so a worker holds the vocabulary only."""
+        self.words.clear()
+        self.chunks.clear()
+        self.held = 0
+
+    def keep(self, cache: dict[str, tuple[bytes, str]], text: str, made: tuple[bytes, str]) -> None:
+        size = ENTRY_BYTES + 3 * len(text) + len(made[0])
+        if size > CACHE_BYTES // 64:  # a long stretch hardly comes again
+            return
+        if self.held + size > CACHE_BYTES:
+            self.forget()
+        self.held += size
+        cache[text] = made
 
     def merged(self, word: str) -> list[int]:
         """The ids of one word."""
@@ -99,9 +117,7 @@ class WordBPE:
         """(ids as little-endian 32-bit integers, their decoded text) of one word."""
         ids = self.merged(word)
         out = array("I", ids).tobytes(), self.decode(ids)
-        if len(self.words) >= CACHED_WORDS:
-            self.words.clear()
-        self.words[word] = out
+        self.keep(self.words, word, out)
         return out
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
@@ -116,9 +132,7 @@ class WordBPE:
             made = out[0]
         else:
             made = b"".join([p[0] for p in out]), " ".join([p[1] for p in out])
-        if len(self.chunks) >= CACHED_WORDS:
-            self.chunks.clear()
-        self.chunks[chunk] = made
+        self.keep(self.chunks, chunk, made)
         return made
 
     def normalised(self, text: str) -> str:
@@ -149,20 +163,30 @@ def loaded(path: str) -> WordBPE:
     return WordBPE(path)
 
 
+@contextmanager
+def in_task(path: str) -> Iterator[WordBPE]:
+    """The vocabulary, with caches that end with the task."""
+    bpe = loaded(path)
+    try:
+        yield bpe
+    finally:
+        bpe.forget()
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with a column of token ids per row; one pass, no shuffle."""
     schema = docs.select("*", F.array(F.lit(0)).alias(ids)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "").to_pylist()
-                rows = [np.frombuffer(b"".join([p[0] for p in bpe.parts(t)]), "<i4") for t in texts]
-                ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, ids])
+        with in_task(path) as bpe:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "").to_pylist()
+                    rows = [np.frombuffer(b"".join([p[0] for p in bpe.parts(t)]), "<i4") for t in texts]
+                    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+                    made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, ids])
 
     return docs.mapInArrow(run, schema)
 
@@ -173,13 +197,13 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     schema = docs.select("*", F.lit(None).cast("string").alias(text)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                rows = batch.column(batch.schema.get_field_index(ids))
-                made = [None if not r.is_valid else bpe.decode(np.asarray(r.values).tolist()) for r in rows]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, text])
+        with in_task(path) as bpe:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    rows = batch.column(batch.schema.get_field_index(ids))
+                    made = [None if not r.is_valid else bpe.decode(np.asarray(r.values).tolist()) for r in rows]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, text])
 
     return docs.mapInArrow(run, schema)
 
@@ -189,18 +213,19 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     schema = f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, sha = loaded(path), hashlib.sha256
-        for batch in batches:
-            counts, ids, shown = [], [], []
-            for value in batch.column(1):
-                parts = bpe.parts(value.as_py() or "")
-                data = b"".join([p[0] for p in parts])
-                counts.append(len(data) // 4)
-                ids.append(sha(data).hexdigest())
-                shown.append(sha(" ".join([p[1] for p in parts]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())],
-                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        sha = hashlib.sha256
+        with in_task(path) as bpe:
+            for batch in batches:
+                counts, ids, shown = [], [], []
+                for value in batch.column(1):
+                    parts = bpe.parts(value.as_py() or "")
+                    data = b"".join([p[0] for p in parts])
+                    counts.append(len(data) // 4)
+                    ids.append(sha(data).hexdigest())
+                    shown.append(sha(" ".join([p[1] for p in parts]).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())],
+                    names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, schema)

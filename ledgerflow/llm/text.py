@@ -30,12 +30,16 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse, modulo 2**64."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, RUN_BYTES + 65_536)
-        for name, base in (("up", BASE), ("down", UNBASE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
+
+    def made(size: int, base: int) -> np.ndarray:
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
+
+    if n > RUN_BYTES + 65_536:  # a text longer than a run; its powers go with it
+        return made(n, BASE), made(n, UNBASE)
+    if not _powers:
+        _powers.update(up=made(RUN_BYTES + 65_536, BASE), down=made(RUN_BYTES + 65_536, UNBASE))
     return _powers["up"][:n], _powers["down"][:n]
 
 

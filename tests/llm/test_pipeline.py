@@ -34,7 +34,7 @@ def test_decisions_take_effect(spark, steps):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     judged = quality.quality(steps[0], labels).filter("predicted = 1").collect()
     assert set(rows[1]) == {r.doc_id for r in judged} and 0 < len(rows[1]) < len(rows[0])
-    linked = ngram_join.linked(steps[1]).collect()
+    linked = ngram_join.linked(steps[1], n=5, percent=80).collect()
     assert set(rows[2]) == {r.component_id for r in linked}
     cut = {r.doc_id: r for r in suffixes.kept_texts(steps[2]).collect()}
     assert set(rows[3]) == {i for i, r in cut.items() if not r.n_removed or r.text}
