@@ -6,14 +6,18 @@ inside a file, so height filters skip partitions and row groups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerflow.constants import ENHANCED, SIX_MONTHS
+from ledgerflow.constants import BUCKET_BLOCKS, ENHANCED, SIX_MONTHS
 from ledgerflow.operators.coverage import height_bucket
 from ledgerflow.schemas import EVENT_KEY
+from ledgerflow.session import materialise
 
 # Columns that attribution may have changed in a stored event.
 ATTRIBUTED = (
@@ -106,6 +110,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def weeks(df: DataFrame) -> list[int]:
+    """The height buckets of a frame, in order: one number per week of chain, 52 a year. The only
+    rows of this library that come to the driver."""
+    return sorted(r.height_bucket for r in df.select(F.col("height_bucket").cast("bigint")).distinct().collect())
+
+
 def merge_into(
     path: str,
     incoming: DataFrame,
@@ -113,6 +123,8 @@ def merge_into(
     height: str,
     stage: str,
     keys: list[str],
+    effects: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    effects_path: str | None = None,
 ) -> None:
     """Merge a batch into a stored table, rewriting only the buckets it touches.
 
@@ -123,6 +135,10 @@ def merge_into(
     complete and publishes them again, never merging with half-replaced buckets; one that
     dies after it repeats the merge, which changes nothing. One process may write a table
     at a time.
+
+    ``effects(old, new)`` says what the merge means to an aggregate of the table, given the
+    stored rows of the batch's keys and the rows that replace them. It is staged with the rows
+    and published once to ``effects_path``, a folder of this batch alone.
     """
     spark = incoming.sparkSession
     if read_table(spark, f"{stage}/done") is None:
@@ -137,16 +153,21 @@ def merge_into(
             again = base.select(*keys, "height_bucket").join(incoming.select(*keys).distinct(), keys, "left_semi")
             touched = touched.unionByName(again.select(F.col("height_bucket").cast("bigint"))).distinct()
         touched.write.mode("overwrite").parquet(f"{stage}/touched")
-        # One number per week of chain; as literals they prune the partitions read.
-        buckets = [r.height_bucket for r in spark.read.parquet(f"{stage}/touched").collect()]
-        base = base.filter(F.col("height_bucket").isin(buckets)).select(*incoming.columns)
+        # As literals the buckets prune the partitions read.
+        base = base.filter(F.col("height_bucket").isin(weeks(spark.read.parquet(f"{stage}/touched")))).select(*incoming.columns)
         merge(base, incoming).write.mode("overwrite").parquet(f"{stage}/rows")
+        if effects is not None:
+            of_batch = incoming.select(*keys).distinct()
+            new = spark.read.parquet(f"{stage}/rows").join(of_batch, keys, "left_semi")
+            effects(base.join(of_batch, keys, "left_semi"), new).write.mode("overwrite").parquet(f"{stage}/effects")
         spark.range(1).write.mode("overwrite").parquet(f"{stage}/done")
     rows = spark.read.parquet(f"{stage}/rows")
     write_buckets(rows, path, height)
-    left = rows.select("height_bucket").distinct()
-    for r in spark.read.parquet(f"{stage}/touched").join(left, "height_bucket", "left_anti").collect():
-        drop_path(spark, f"{path}/height_bucket={r.height_bucket}")  # all its rows moved away
+    touched = spark.read.parquet(f"{stage}/touched")
+    for week in weeks(touched.join(rows.select("height_bucket").distinct(), "height_bucket", "left_anti")):
+        drop_path(spark, f"{path}/height_bucket={week}")  # all its rows moved away
+    if effects is not None and read_table(spark, effects_path) is None:
+        spark.read.parquet(f"{stage}/effects").write.parquet(effects_path)
     drop_path(spark, stage)
 
 
@@ -173,6 +194,42 @@ def retention_due(blocks: DataFrame, last_cleanup: int = 0, keep: int = SIX_MONT
     )
 
 
+def apply_retention(spark: SparkSession, tables: dict[str, tuple[str, str]], tip: int, keep: int = SIX_MONTHS) -> DataFrame:
+    """Delete what lies below the cutoff from stored tables: whole partitions are dropped, only
+    the week of the cutoff is rewritten.
+
+    ``tables`` names each table's folder and height column. Returns per table the rows and weeks
+    before, and how many were deleted. The boundary week is staged before it is replaced and
+    every step deletes only what is below the cutoff, so a run that died is simply run again.
+    """
+    lowest = max(tip - keep, 1)
+    report = []
+    for name, (path, height) in tables.items():
+        stored = read_table(spark, path)
+        if stored is None:
+            continue
+        boundary = lowest // BUCKET_BLOCKS
+        old = F.col(height) < lowest
+        at_most = stored.filter(F.col("height_bucket") <= boundary)
+        per_week = stored.groupBy(F.col("height_bucket").cast("bigint").alias("height_bucket")).agg(
+            F.count("*").alias("n"), F.count_if(old).alias("n_old"), F.lit(name).alias("part")
+        )
+        counted = materialise(per_week, "retention")
+        report.append(counted)
+        rest = at_most.filter((F.col("height_bucket") == boundary) & ~old)
+        gone = counted.filter("n_old = n")
+        if not counted.filter("n_old > 0 AND n_old < n").isEmpty():
+            write_buckets(materialise(rest, "boundary"), path, height)
+        for week in weeks(gone):
+            drop_path(spark, f"{path}/height_bucket={week}")
+    return reduce(DataFrame.unionByName, report).groupBy("part").agg(
+        F.sum("n").alias("rows_before"),
+        F.sum("n_old").alias("rows_deleted"),
+        F.count("*").alias("weeks_before"),
+        F.count_if(F.col("n_old") == F.col("n")).alias("weeks_dropped"),
+    )
+
+
 def retention_report(
     blocks: DataFrame, txs: DataFrame, ev: DataFrame, tip: Column, keep: int = SIX_MONTHS
 ) -> DataFrame:

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.constants import BUYING, RECEIVED, SELLING, SENT, SIX_MONTHS, TIERS
+from ledgerflow.constants import BUCKET_BLOCKS, BUYING, RECEIVED, SELLING, SENT, SIX_MONTHS, TIERS
 from ledgerflow.functions import scalars
 from ledgerflow.operators import (
+    adjacency,
+    attempts,
     attribution,
     coverage,
     events,
@@ -27,7 +30,7 @@ from ledgerflow.operators import (
     txview,
     views,
 )
-from ledgerflow.schemas import EVENT_KEY
+from ledgerflow.schemas import EVENT_KEY, Ledger
 from ledgerflow.session import materialise, shared_dir
 from ledgerflow.sources import chain
 from ledgerflow.sources.labels import read_labels, read_node_registry
@@ -382,7 +385,10 @@ def flat_attribution(ev: DataFrame, side: str) -> list[Column]:
 @query
 def attributed_events(t: TestLedger) -> DataFrame:
     t = t.stored()
-    ev = attribution.apply_overlay(all_events(t), overlay(t))
+    return flat_attributed(attribution.apply_overlay(all_events(t), overlay(t)))
+
+
+def flat_attributed(ev: DataFrame) -> DataFrame:
     return ev.select(
         *EVENT_KEY, "block_height", "from_address", "from_type", "to_address", "to_type", "flow_type",
         "classification_level", "intermediary_wallet", joined("hop_chain").alias("hop_chain"),
@@ -390,12 +396,42 @@ def attributed_events(t: TestLedger) -> DataFrame:
     )
 
 
+# The first height of a week; the chain's newer part comes an hour after the first run.
+NEWER = 1389 * BUCKET_BLOCKS
+
+
+@query
+def attribution_cycle_stored(t: TestLedger) -> DataFrame:
+    """Three stored runs: over the older events, an hour later with the newer ones, and once the
+    older ones' cool-down is over. Each finds only what is due."""
+    t = t.stored()
+    base, proof = landing(t), evidence(t)
+    kept = attempts.AttributedEvents(t.spark, f"{base}/events", f"{base}/attempts")
+    ev = all_events(t).withColumn("height_bucket", coverage.height_bucket(F.col("block_height")))
+    for run, part in ((NOW, F.col("block_height") < NEWER), (NOW + 3_600, F.col("block_height") >= NEWER), (NOW + 88_000, None)):
+        if part is not None:
+            tables.write_buckets(ev.filter(part), kept.events_path, "block_height")
+        kept.cycle(proof, run)
+    return flat_attributed(kept.events())
+
+
 @query
 def attribution_stats(t: TestLedger) -> DataFrame:
     t = t.stored()
     return attribution.attribution_stats(attribution.apply_overlay(all_events(t), overlay(t)))
 
 
+@query
+def attribution_report_maintained(t: TestLedger) -> DataFrame:
+    """The report out of maintained tables that three batches of transactions built, one of them twice."""
+    t = t.stored()
+    kept = adjacency.Adjacency.of(t.spark, f"ledger_{uuid.uuid4().hex}", t.operators, buckets=8)
+    part = F.pmod(F.xxhash64("txid"), F.lit(3))
+    for batch in (0, 1, 2, 1):
+        kept.extend(t.ledger.filter(part == batch), f"b{batch}")
+    return attribution.attribution_report(attribution.attribute_unknowns(all_events(t), kept, NOW))
+
+
 @query
 def attribution_report(t: TestLedger) -> DataFrame:
     return attribution.attribution_report(overlay(t.stored()))
@@ -426,6 +462,26 @@ def retention_report(t: TestLedger) -> DataFrame:
     return tables.retention_report(t.blocks, txs, plain_events(t), periods.tip(t.blocks))
 
 
+@query
+def retention_applied(t: TestLedger) -> DataFrame:
+    """Store blocks, transactions and events, delete what six months leave behind, count again."""
+    base = landing(t)
+    led = events.transfers_only(t.unnumbered)
+    stored = {
+        "blocks": (t.blocks, "height"),
+        "transactions": (events.tx_totals(events.relevant_only(led, t.labels)), "block_height"),
+        "flow_events": (plain_events(t), "block_height"),
+    }
+    for name, (df, height) in stored.items():
+        tables.write_buckets(df.withColumn("height_bucket", coverage.height_bucket(F.col(height))), f"{base}/{name}", height)
+    places = {name: (f"{base}/{name}", height) for name, (_, height) in stored.items()}
+    tip = t.spark.read.parquet(f"{base}/blocks").agg(F.max("height")).first()[0]
+    report = tables.apply_retention(t.spark, places, tip)
+    left = [t.spark.read.parquet(path).select(F.lit(name).alias("part"), F.col(height).alias("h")) for name, (path, height) in places.items()]
+    left = reduce(DataFrame.unionByName, left).groupBy("part").agg(F.count("*").alias("rows_left"), F.min("h").alias("lowest"))
+    return report.join(left, "part", "left")
+
+
 @query
 def retention_due(t: TestLedger) -> DataFrame:
     return tables.retention_due(t.blocks)
@@ -650,3 +706,27 @@ def stream_flow_totals(t: TestLedger) -> DataFrame:
     return t.spark.read.parquet(f"{base}/totals").select(
         "flow_type", "height_bucket", scalars.coins(F.col("satoshi")).alias("total"), "events"
     )
+
+
+@query
+def stream_totals_maintained(t: TestLedger) -> DataFrame:
+    """Totals that ingest keeps: every third transaction first comes with twice its amounts and
+    three weeks higher, then as it is; each counts once."""
+    base = landing(t)
+    second = F.col("tx_index") % 3 == 0
+    wrong = F.xxhash64("txid") % 3 == 0
+
+    def early(df: DataFrame) -> DataFrame:
+        changed = df.withColumn("height", F.expr("height + if(xxhash64(txid) % 3 = 0, 60480, 0)"))
+        return changed.withColumn("satoshi", F.when(wrong, F.col("satoshi") * 2).otherwise(F.col("satoshi")).cast(df.schema["satoshi"].dataType)) if "satoshi" in df.columns else changed
+
+    first = Ledger(early(t.ledger.txs), early(t.ledger.inputs), early(t.ledger.outputs))
+    for name, led in (("first", first), ("then", t.ledger.filter(wrong))):
+        chain.landed_transactions(led, second).write.json(f"{base}/{name}")
+        ingest.stream_ingest(
+            t.spark, f"{base}/{name}", f"{base}/out", f"{base}/checkpoint-{name}",
+            labels=lambda: t.labels, trigger={"availableNow": True},
+        ).awaitTermination()
+    return totals.maintained_totals(t.spark, f"{base}/out").select(
+        "flow_type", "height_bucket", scalars.coins(F.col("satoshi")).alias("total"), "events"
+    )

@@ -604,6 +604,10 @@ SELECT wallet, height, next_wallet, hop_txid, hop_height FROM ({hop('probe')}) W
                        HISTORY, ALL_PROBES),
     "multi_hop_2": ledger(" SELECT * FROM hops", HISTORY, ALL_PROBES, two_hops("probe", "hops")),
     "attributed_events": ledger(" SELECT * FROM enriched", HISTORY, RUN, ENRICHED),
+    "attribution_cycle_stored": ledger(f"""
+SELECT * REPLACE (CASE WHEN analysis_timestamp IS NULL THEN NULL WHEN block_height >= 1389 * 20160 THEN {NOW} + 3600
+                       WHEN data_source = 'enhanced' THEN {NOW} ELSE {NOW} + 88000 END::BIGINT AS analysis_timestamp)
+FROM enriched""", HISTORY, RUN, ENRICHED),
     "attribution_stats": ledger("""
 SELECT classification_level, data_source, count(*) AS events FROM enriched
 WHERE classification_level > 0 GROUP BY 1, 2""", HISTORY, RUN, ENRICHED),
@@ -623,6 +627,15 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_part
 SELECT (SELECT count(DISTINCT height) FROM tx, lowest WHERE height < h) AS blocks,
        (SELECT count(*) FROM tx, lowest WHERE height < h AND txid IN (SELECT txid FROM rel)) AS transactions,
        (SELECT count(*) FROM ev, lowest WHERE block_height < h) AS flow_events"""),
+    "retention_applied": ledger("""
+, lowest AS (SELECT greatest(tip - 518400, 1) AS low FROM tip),
+r AS (SELECT DISTINCT 'blocks' AS part, height AS h, 0::BIGINT AS n, '' AS k FROM tx
+      UNION ALL SELECT 'transactions', height, 0, txid FROM tx WHERE txid IN (SELECT txid FROM rel)
+      UNION ALL SELECT 'flow_events', block_height, vout, txid FROM ev),
+w AS (SELECT part, h // 20160 AS week, max(h) < any_value(low) AS gone FROM r, lowest GROUP BY 1, 2)
+SELECT part, count(*) AS rows_before, count(*) FILTER (WHERE h < low) AS rows_deleted, any_value(weeks) AS weeks_before,
+       any_value(dropped) AS weeks_dropped, count(*) FILTER (WHERE h >= low) AS rows_left, min(h) FILTER (WHERE h >= low) AS lowest
+FROM r CROSS JOIN lowest JOIN (SELECT part, count(*) AS weeks, count(*) FILTER (WHERE gone) AS dropped FROM w GROUP BY 1) USING (part) GROUP BY part"""),
     "retention_due": ledger("""
 SELECT max(height) - min(height) AS span,
        max(height) - min(height) > 518400 * 1.1 AND max(height) >= 1000 AS due FROM tx"""),
@@ -701,4 +714,6 @@ ORACLES |= {
     "flow_summary_stored": ORACLES["flow_summary_90d"],
     "net_flow_stored": ORACLES["net_flow_30d"],
     "top_buyers_stored": ORACLES["top_buyers_6m"],
+    "attribution_report_maintained": ORACLES["attribution_report"],
+    "stream_totals_maintained": ORACLES["stream_flow_totals"],
 }

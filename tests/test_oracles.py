@@ -35,6 +35,13 @@ def test_plans_stay_on_the_jvm_without_cartesian_products(spark, name):
 
 
 def test_library_neither_collects_nor_uses_python_functions():
+    collects = {}
     for path in LIBRARY.rglob("*.py"):
+        if path.is_relative_to(LIBRARY / "llm"):  # has rules of its own
+            continue
         text = path.read_text()
-        assert not re.search(r"\.collect\(\)|toPandas|localCheckpoint|crossJoin|\budf\b|\.rdd\b", text), path
+        assert not re.search(r"toPandas|toLocalIterator|localCheckpoint|crossJoin|\budf\b|\.rdd\b", text), path
+        if count := text.count(".collect()"):
+            collects[path.name] = count
+    # One helper, ``tables.weeks``: one number per week of chain.
+    assert collects == {"tables.py": 1}

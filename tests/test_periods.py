@@ -119,9 +119,10 @@ def test_a_period_of_a_stored_table_prunes_its_partitions(spark, tmp_path):
         "height_bucket"
     ).parquet(path)
     ev = spark.read.parquet(path)
-    blocks = ev.selectExpr("block_height AS height")
-    found = periods.period_slice(ev, blocks, "24H")
+    # Files outside the last day's week cannot be read any more; nothing opens them.
+    for file in (tmp_path / "ev").glob("height_bucket=*/*.parquet"):
+        if file.parent.name != "height_bucket=14":
+            (file.parent / f".{file.name}.crc").unlink()
+            file.write_bytes(b"no parquet")
+    found = periods.period_slice(ev, spark.range(299_001).selectExpr("id AS height"), "24H")
     assert sorted(r.block_height for r in found.select("block_height").collect()) == [297_000, 298_000, 299_000]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    scans = [part.split("PushedFilters")[0] for part in plan.split("PartitionFilters: [")[1:]]
-    assert any("isnotnull(height_bucket" in s and "cast(height_bucket" in s for s in scans)
