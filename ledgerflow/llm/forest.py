@@ -6,12 +6,13 @@ goes on by the deeper ones, so those with the longest common prefix are neighbou
 more than ``CROWD`` documents is cut deeper, at the next two min-hashes, then at all; where even
 all agree, it is dealt at random. So the depth follows the crowd.
 
-First turn: a document meets its next few neighbours of every tree and the middle of its region,
-the document with the most usual deeper signature. Pairs that pass the sizes and a sketch of two
-bits per min-hash are candidates; of a document's candidates the one met in most trees is verified
-on whole sets first, and what is linked counts as one from then on. The second turn takes what
-neighbours leave: in the regions that still hold several components every pair of different ones
-meets. A crowded region's documents outside its largest component meet all others in blocks, so
+First turns: a document meets its next few neighbours of every tree and the middle of its region,
+the document with the most usual deeper signature. Pairs that pass the sizes, the parities of
+their sets (an exact bound, sharp for all but long texts) and a sketch of two bits per min-hash
+are candidates; of a document's candidates the one met in most trees is verified
+on whole sets, and what is linked counts as one from then on, so a turn asks only where components
+still meet. Then, in the regions that still hold several components, every pair of different ones
+meets: again the best of each document, in the last turn all that are left. A crowded region's documents outside its largest component meet all others in blocks, so
 no task holds more than about two times ``CROWD`` of one region and no pair is left out. At the
 threshold two documents share no region with probability (1 - s**4)**32, below 1e-7 at 0.8, and
 the sketch turns away what is five standard deviations off.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.components import components, extended
-from ledgerflow.llm.ngram_join import signed_sets
+from ledgerflow.llm.ngram_join import parities, signed_sets
 from ledgerflow.llm.tables import Scratch, stored
 from ledgerflow.llm.text import mix, runs
 
@@ -42,9 +43,13 @@ LEVELS = 8
 SHALLOW = 4
 NEIGHBOURS = 3
 CROWD = 1_024
-PICKS = 2
+# Turns: who meets (neighbours, or all of a region that are still apart), and whether a document's
+# best pair is enough. The last turn leaves nothing out.
+TURNS = ((False, True), (False, True), (True, True), (True, True), (True, False))
 FUNCTIONS = TREES * LEVELS
 SKETCH = [f"b{k}" for k in range(2 * FUNCTIONS // 64)]  # a bit of every min-hash, then another
+PARITIES = [f"p{k}" for k in range(8)]  # 512 parities of the whole set
+TRAITS = ["n", *SKETCH, *PARITIES]
 
 _rng = np.random.default_rng(0xF0123)
 LOW_FACTORS, HIGH_FACTORS = (_rng.integers(0, 2**31, FUNCTIONS, np.uint32) * 2 + 1 for _ in range(2))
@@ -79,7 +84,7 @@ def packed(labels: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, digest, n, regions, deeper, sketch) of (doc_id, text): set size, region and deeper signature per tree."""
+    """(doc_id, digest, n, regions, deeper, sketch, parities) of (doc_id, text): set size, region and deeper signature per tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,6 +94,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 regions, deeper = (np.zeros((len(sets), TREES), np.int64) for _ in range(2))
                 sketch = np.zeros((len(sets), len(SKETCH)), np.int64)
+                odd = np.array([parities(s) for s in sets])
                 some = np.flatnonzero(sizes)
                 if len(some):
                     made = labels_of(np.concatenate([sets[k] for k in some]), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
@@ -100,11 +106,11 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TREES)
                 lists = [pa.ListArray.from_arrays(ends, pa.array(m.ravel())) for m in (regions, deeper)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(digests, pa.binary()), pa.array(sizes), *lists, *(pa.array(sketch[:, k]) for k in range(len(SKETCH)))],
-                    names=["doc_id", "digest", "n", "regions", "deeper", *SKETCH],
+                    [rows.column(0), pa.array(digests, pa.binary()), pa.array(sizes), *lists, *map(pa.array, [*sketch.T.copy(), *odd.T.copy()])],
+                    names=["doc_id", "digest", "n", "regions", "deeper", *SKETCH, *PARITIES],
                 )
 
-    columns = ", ".join(f"{b} long" for b in SKETCH)
+    columns = ", ".join(f"{b} long" for b in (*SKETCH, *PARITIES))
     return docs.mapInArrow(run, f"doc_id long, digest binary, n long, regions array<long>, deeper array<long>, {columns}")
 
 
@@ -144,15 +150,20 @@ def met(percent: int, every: bool):
     half = len(SKETCH) // 2
 
     def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        region, part, deeper, node, component, n, *sketch = rows
+        region, part, deeper, node, component, n = rows[:6]
         new = np.concatenate([[True], (region[1:] != region[:-1]) | (part[1:] != part[:-1])])
         group = np.cumsum(new)
-        bits = np.stack(sketch).view(np.uint64)  # numpy counts the bits of a signed number's size
+        # Numpy counts the bits of a signed number's size.
+        bits, odd = rows[6 : 6 + len(SKETCH)].view(np.uint64), rows[6 + len(SKETCH) :].view(np.uint64)
         out = []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
             fits = (component[i] != component[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
             i, j = i[fits], j[fits]
+            both = n[i] + n[j]
+            most = both - 2 * -(-both * percent // (100 + percent))
+            fits = np.bitwise_count(odd[:, i] ^ odd[:, j]).sum(0, dtype=np.int64) <= most
+            i, j = i[fits], j[fits]
             differ = bits[:, i] ^ bits[:, j]
             near = np.bitwise_count(differ[:half] | differ[half:]).sum(0) <= limit
             out.append((node[i[near]], node[j[near]]))
@@ -195,11 +206,11 @@ class Forest:
         signed_rows = self.scratch.stored(signatures(self.docs, n), "signatures")
         self.rows = stored(signed_rows.select("doc_id", "digest", "n"), "rows")
         # One row per class; all its rows have the same signature.
-        firsts = [F.first(c).alias(c) for c in ("n", "regions", "deeper", *SKETCH)]
+        firsts = [F.first(c).alias(c) for c in ("regions", "deeper", *TRAITS)]
         classes = signed_rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *firsts)
         self.signed = self.scratch.stored(classes.withColumn("node", F.monotonically_increasing_id()), "signed-classes")
         self.classes = stored(self.signed.select("node", "digest", "doc_id"), "classes")
-        self.traits = self.signed.select("node", "n", *SKETCH)
+        self.traits = self.signed.select("node", *TRAITS)
         self.sets: DataFrame | None = None
 
     def places(self) -> DataFrame:
@@ -239,8 +250,9 @@ class Forest:
         large = large.withColumn("part", F.explode(F.array_distinct(F.concat(F.transform(upto("minors"), lambda r: F.xxhash64(r, column)), asked))))
         return small.unionByName(large.select(small.columns))
 
-    def candidates(self, places: DataFrame, found: DataFrame | None, tested: DataFrame | None, every: bool) -> DataFrame:
-        """(a, b, trees): pairs that meet in a region, in how many trees."""
+    def candidates(self, places: DataFrame, found: DataFrame | None, tested: DataFrame | None, every: bool, best: bool) -> DataFrame:
+        """(a, b): untested pairs of different components that meet in a region; with ``best`` for
+        each document the one it meets in most trees."""
         if found is None:
             placed = places.withColumn("component", F.col("node"))
         else:
@@ -248,12 +260,18 @@ class Forest:
             mixed = placed.groupBy("region").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("region")
             placed = placed.join(mixed, "region")
         placed = self.blocks(placed) if every else self.cut(placed)
-        rows = placed.join(self.traits, "node").select("region", "part", "deeper", "node", "component", "n", *SKETCH)
+        rows = placed.join(self.traits, "node").select("region", "part", "deeper", "node", "component", *TRAITS)
         rows = rows.repartition("region", "part").sortWithinPartitions("region", "part", "deeper", F.xxhash64("node"))
         pairs = rows.mapInArrow(met(self.percent, every), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("trees"))
-        if tested is not None:
+        if best:  # links that reach are enough, the rest can wait
+            if tested is not None:
+                pairs = pairs.unionByName(tested.withColumn("trees", F.lit(None).cast("long"))).groupBy("a", "b").agg(F.max("trees").alias("trees"), F.count_if(F.col("trees").isNull()).alias("old"))
+                pairs = pairs.filter("old = 0")
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.struct("trees", F.xxhash64("a", "b").alias("h"), "a", "b").alias("pair"))
+            pairs = ends.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+        elif tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        return self.scratch.stored(pairs, "candidates")
+        return self.scratch.stored(pairs.select("a", "b"), "candidates")
 
     def know(self, pairs: DataFrame) -> None:
         """Have the whole sets of all classes in ``pairs`` at hand."""
@@ -278,28 +296,15 @@ class Forest:
         """(node, component) for every class that links with another."""
         places = self.places()
         found = tested = None
-        for every in (False, True):
-            pairs = self.candidates(places, found, tested, every)
-            if pairs.isEmpty():
+        for every, best in TURNS:
+            chosen = self.candidates(places, found, tested, every, best)
+            if chosen.isEmpty():
                 continue
-            self.know(pairs)
-            for pick in range(PICKS + 1):
-                chosen = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-                if found is not None:
-                    for end in ("a", "b"):
-                        chosen = chosen.join(found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of")), end, "left")
-                    chosen = chosen.filter(F.coalesce("a_of", "a") != F.coalesce("b_of", "b")).select("a", "b", "trees")
-                if pick < PICKS:
-                    # Each document's pair of most trees: links that reach are enough.
-                    ends = chosen.select(F.explode(F.array("a", "b")).alias("node"), F.struct("trees", F.xxhash64("a", "b").alias("h"), "a", "b").alias("pair"))
-                    chosen = ends.groupBy("node").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
-                chosen = self.scratch.stored(chosen.select("a", "b"), "chosen")
-                if chosen.isEmpty():
-                    break
-                links = self.verified(chosen)
-                tested = chosen if tested is None else tested.unionByName(chosen)
-                if not links.isEmpty():
-                    found = self.scratch.stored(components(links) if found is None else extended(found, links), "components")
+            self.know(chosen)
+            links = self.verified(chosen)
+            tested = chosen if tested is None else tested.unionByName(chosen)
+            if not links.isEmpty():
+                found = self.scratch.stored(components(links) if found is None else extended(found, links), "components")
         if found is None:
             found = self.classes.limit(0).select("node", F.col("node").alias("component"))
         found = stored(found, "components")
