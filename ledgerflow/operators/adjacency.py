@@ -92,8 +92,9 @@ class Adjacency(Evidence):
             made = made.repartition(self.buckets, key)
             if not self.spark.catalog.tableExists(full):
                 made.limit(0).write.format("parquet").partitionBy("batch").bucketBy(self.buckets, key).sortBy(key).saveAsTable(full)
-            columns = self.spark.table(full).columns
-            made.select(*columns).write.option("partitionOverwriteMode", "dynamic").insertInto(full, overwrite=True)
+            columns = [c for c in self.spark.table(full).columns if c != "batch"]
+            # The batch's own partition, whatever the session's overwrite mode is.
+            self.spark.sql(f"INSERT OVERWRITE TABLE {full} PARTITION (batch = :batch) SELECT * FROM {{rows}}", args={"batch": batch}, rows=made.select(*columns))
 
     # What attribution asks for.
 

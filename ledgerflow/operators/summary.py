@@ -70,8 +70,12 @@ def _rolled(cube: DataFrame, *keys: str) -> DataFrame:
 
 def flow_summary(ev: DataFrame) -> DataFrame:
     """Total and count per flow type, zero for a type without events."""
-    found = _rolled(flow_cube(ev), "flow_type")
-    return _zero_filled(_flow_type_frame(ev), found, ["flow_type"]).select(
+    return zero_filled_types(_rolled(flow_cube(ev), "flow_type"))
+
+
+def zero_filled_types(found: DataFrame) -> DataFrame:
+    """A row per flow type out of (flow_type, satoshi, events), zero where there is none."""
+    return _zero_filled(_flow_type_frame(found), found, ["flow_type"]).select(
         "flow_type", coins(F.col("satoshi")).alias("total"), "events"
     )
 

@@ -88,16 +88,21 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def write_buckets(df: DataFrame, path: str, height: str) -> None:
+def write_buckets(df: DataFrame, path: str, height: str, lookup: tuple[str, ...] = ("txid",)) -> None:
     """Replace the height buckets that ``df`` has rows in.
 
+    Columns of ``lookup`` get bloom filters, so that a search for a key skips the row groups that
+    do not hold it.
+
     The rebalance keeps a bucket together in few files, yet splits one that is too
     large for a task.
     """
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in lookup if c in df.columns}
     (
         df.hint("rebalance", F.col("height_bucket"))
         .sortWithinPartitions("height_bucket", height)
         .write.mode("overwrite")
+        .options(**blooms, **{"parquet.bloom.filter.adaptive.enabled": "true"})
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("height_bucket")
         .parquet(path)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.constants import BUCKET_BLOCKS, BUYING, RECEIVED, SELLING, SENT, SIX_MONTHS, TIERS
+from ledgerflow.constants import BUCKET_BLOCKS, BUYING, PERIODS, RECEIVED, SELLING, SENT, SIX_MONTHS, TIERS
 from ledgerflow.functions import scalars
 from ledgerflow.operators import (
     adjacency,
@@ -24,13 +24,14 @@ from ledgerflow.operators import (
     history,
     labels,
     periods,
+    rollup,
     scans,
     summary,
     tables,
     txview,
     views,
 )
-from ledgerflow.schemas import EVENT_KEY, Ledger
+from ledgerflow.schemas import EVENT_KEY, Ledger, details_from_json, details_to_json
 from ledgerflow.session import materialise, shared_dir
 from ledgerflow.sources import chain
 from ledgerflow.sources.labels import read_labels, read_node_registry
@@ -229,6 +230,36 @@ def top_buyers_stored(t: TestLedger) -> DataFrame:
     return _with_exchanges(summary.top_buyers(periods.period_slice(stored_event_table(t), t.blocks, "6M")))
 
 
+@query
+def flow_summary_rollup(t: TestLedger) -> DataFrame:
+    """The last 90 days from stored partial aggregates."""
+    path = f"{landing(t)}/rollup"
+    rollup.write_rollup(rollup.flow_rollup(plain_events(t)), path)
+    newest = periods.tip(t.blocks)
+    return rollup.flow_summary_between(t.spark.read.parquet(path), newest - PERIODS["90D"], newest)
+
+
+@query
+def top_buyers_rollup(t: TestLedger) -> DataFrame:
+    path = f"{landing(t)}/rollup"
+    rollup.write_rollup(rollup.party_rollup(all_events(t)), path)
+    newest = periods.tip(t.blocks)
+    return _with_exchanges(rollup.top_parties_between(t.spark.read.parquet(path), BUYING, newest - PERIODS["6M"], newest))
+
+
+@query
+def lookup_stored(t: TestLedger) -> DataFrame:
+    """The events of a transaction in a stored table."""
+    return scans.lookup(stored_event_table(t), txid="T7").select("txid", "vout", "block_height", "to_address", "amount")
+
+
+@query
+def tx_in_block(t: TestLedger) -> DataFrame:
+    """The transactions of the newest block."""
+    tx = classified(t)[0]
+    return tx.filter(F.col("block_height") == periods.tip(t.blocks)).select("txid", "block_height", "total_value")
+
+
 @query
 def sentiment_all_periods(t: TestLedger) -> DataFrame:
     return summary.sentiment_all_periods(period_events(t, "6M"), t.blocks)
@@ -645,6 +676,35 @@ def registry_from_files(t: TestLedger) -> DataFrame:
     )
 
 
+@query
+def blocks_from_files(t: TestLedger) -> DataFrame:
+    """Land blocks, those of even height with their transactions inside, the others with a list of
+    ids and kinds beside transactions landed apart, and read the outputs of both."""
+    base = landing(t)
+    txs = chain.landed_transactions(t.ledger, F.col("tx_index") % 3 == 0).withColumn("inside", F.col("blockHeight") % 2 == 0)
+    payload = F.struct("txid", "vin", "vout", "inputs", "outputs")
+    # In every fifth block the kinds come in another order than the transactions.
+    order = F.when(F.col("blockHeight") % 5 == 0, -F.col("txIndex")).otherwise(F.col("txIndex"))
+    per_block = txs.groupBy(F.col("blockHeight").alias("height"), F.col("blockTime").alias("time"), "inside").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("txIndex", payload.alias("tx")))), lambda x: x["tx"]).alias("txs"),
+        F.transform(F.array_sort(F.collect_list(F.struct(order.alias("at"), "txid", "kind"))), lambda x: F.struct(x["txid"].alias("txid"), x["kind"].alias("kind"))).alias("txDetails"),
+    )
+    per_block.select("height", "time", F.when(F.col("inside"), F.col("txs")).alias("txs"), "txDetails").write.json(f"{base}/blocks")
+    txs.filter(~F.col("inside")).drop("inside", "blockHeight", "blockTime", "txIndex", "kind").write.json(f"{base}/txs")
+    raw = chain.read_raw_blocks(t.spark, f"{base}/blocks")
+    listed = chain.listed_transactions(raw.filter("txs IS NULL"), chain.read_raw_transactions(t.spark, f"{base}/txs"))
+    found = chain.inline_transactions(raw).unionByName(listed)
+    return chain.normalize_ledger(found).outputs.select("txid", "kind", "height", "vout", "address", scalars.coins(F.col("satoshi")).alias("value"))
+
+
+@query
+def details_round_trip(t: TestLedger) -> DataFrame:
+    """The details of all events written as JSON text and parsed again."""
+    text = all_events(t).select(*EVENT_KEY, details_to_json(F.col("from_details")).alias("from_json"), details_to_json(F.col("to_details")).alias("to_json"))
+    back = text.select(*EVENT_KEY, details_from_json(F.col("from_json")).alias("f"), details_from_json(F.col("to_json")).alias("t"))
+    return back.select(*EVENT_KEY, F.col("f.name").alias("from_name"), F.col("f.node_count").alias("from_nodes"), F.col("t.name").alias("to_name"), F.col("t.node_count").alias("to_nodes"))
+
+
 @query
 def json_round_trip(t: TestLedger) -> DataFrame:
     path = landing(t)

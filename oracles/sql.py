@@ -715,5 +715,12 @@ ORACLES |= {
     "net_flow_stored": ORACLES["net_flow_30d"],
     "top_buyers_stored": ORACLES["top_buyers_6m"],
     "attribution_report_maintained": ORACLES["attribution_report"],
+    "flow_summary_rollup": ORACLES["flow_summary_90d"],
+    "top_buyers_rollup": ORACLES["top_buyers_6m"],
+    "lookup_stored": ledger("SELECT txid, vout, block_height, to_address, CAST(sat AS DOUBLE) / 1e8 AS amount FROM ev WHERE txid = 'T7'"),
+    "tx_in_block": ledger(f"""
+SELECT txid, block_height, {coins('sat')} AS total_value FROM txv WHERE block_height = (SELECT max(height) FROM tx)""", TX_VIEW),
+    "blocks_from_files": ledger(f"SELECT txid, kind, height, vout, address, {coins('sat')} AS value FROM outp WHERE height % 2 = 0 OR kind = 'transfer'"),
+    "details_round_trip": ledger("SELECT txid, vout, from_name, from_nodes, to_name, to_nodes FROM ev"),
     "stream_totals_maintained": ORACLES["stream_flow_totals"],
 }
