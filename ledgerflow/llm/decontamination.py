@@ -175,19 +175,28 @@ class Space:
         row = np.repeat(np.arange(len(begins)), [len(b) for b in begins])
         begin = np.concatenate(begins) + first[row] if begins else np.zeros(0, np.int64)
         end = np.minimum(begin + PASSAGE, first[row + 1])
-        for a in range(0, len(begin), 128):
-            part = np.arange(a, min(a + 128, len(begin)))
+        # Cheap first: enough places with words of items, whatever the words.
+        upto = np.concatenate([[0], np.cumsum(known)])
+        likely = np.flatnonzero(upto[end] - upto[begin] >= self.least)
+        for a in range(0, len(likely), 256):
+            part = likely[a : a + 256]
             place = begin[part][:, None] + np.arange(PASSAGE)
             inside = place < end[part][:, None]
             place = np.minimum(place, len(hashes) - 1)
             word, ours = at[place], known[place] & inside
-            # A word's frequency in the passage, at each of its places: the norm of the counts.
-            times = ((word[:, :, None] == word[:, None, :]) & ours[:, None, :]).sum(2)
-            rich = np.where(ours, 1.0 / np.maximum(times, 1), 0.0).sum(1) > self.least - 0.5
+            # Equal words side by side, so that runs are a passage's words and their counts.
+            sides = np.sort(np.where(ours, word, -1), axis=1)
+            new = np.ones(sides.shape, bool)
+            new[:, 1:] = sides[:, 1:] != sides[:, :-1]
+            starts = np.flatnonzero(new)
+            times, kind, of = np.diff(np.append(starts, sides.size)), sides.ravel()[starts], starts // PASSAGE
+            real = kind >= 0
+            times, kind, of = times[real], kind[real], of[real]
+            rich = np.bincount(of, minlength=len(part)) >= self.least
             if not rich.any():
                 continue
-            part, word, ours, times = part[rich], word[rich], ours[rich], times[rich]
-            norm = np.sqrt(np.where(ours, self.weights[word] ** 2 * times, 0.0).sum(1))
+            norm = np.sqrt(np.bincount(of, (times * self.weights[kind]) ** 2, minlength=len(part)))[rich]
+            part, word, ours = part[rich], word[rich], ours[rich]
             many = ours.sum(1)
             summed = np.add.reduceat(self.terms[word[ours]], np.cumsum(many) - many)
             cosine = (summed if self.folded else summed @ self.passages.T) / norm[:, None]
