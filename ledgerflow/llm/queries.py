@@ -96,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_url_filter": """
-        with cut as (
+        with recursive cut as (
             select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
         ), part as (
             select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
@@ -110,22 +110,21 @@ ORACLES: dict[str, str] = {
             select p.page_id, host, path, rule, stated,
                    list_distinct(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host=' || x)
                      || case when host <> '' then ['top=' || list_filter(string_split(host, '.'), lambda x: x <> '')[-1]] else [] end
-                     || list_transform(list_filter(string_split(path, '/'), lambda x: x <> '' and not regexp_matches(x, '^[0-9]+')), lambda x: 'path=' || x)) as tokens
+                     || list_transform(list_filter(string_split(path, '/'), lambda x: x <> '' and not regexp_matches(x, '^[0-9]+$')), lambda x: 'path=' || x)) as tokens
             from part p left join fit f on p.page_id = f.page_id
-        ), item as (select page_id, stated, unnest(tokens) as t from known),
-        taught as (select page_id, stated, t from item where stated is not null),
+        ), taught as (select page_id, stated, unnest(tokens) as t from known where stated is not null),
         total as (select count(*) as n, ceil(0.01 * count(*)) as least from known where stated is not null),
         ante as (
             select page_id, stated, [t] as items from taught
-            union all select a.page_id, a.stated, [a.t, b.t] from taught a join taught b on a.page_id = b.page_id and a.t < b.t
+            union all select a.page_id, a.stated, list_append(a.items, b.t) from ante a join taught b on a.page_id = b.page_id and a.items[-1] < b.t
         ), freq as (select items, count(*) as f from ante group by items),
         raw as (
             select a.items, a.stated as verdict, count(*) / any_value(f)::double as confidence, count(*) as support
             from ante a join freq q on a.items = q.items group by a.items, a.stated
             having count(*) >= (select least from total) and count(*) / any_value(f)::double >= 0.9
         ), mined as (
-            select * from raw r where len(items) = 1 or not exists (
-                select 1 from raw o where len(o.items) = 1 and o.items[1] in (r.items[1], r.items[2]) and o.verdict = r.verdict and o.confidence >= r.confidence)
+            select * from raw r where not exists (
+                select 1 from raw o where len(o.items) < len(r.items) and len(list_intersect(o.items, r.items)) = len(o.items) and o.verdict = r.verdict and o.confidence >= r.confidence)
         ), guess as (
             select page_id, arg_max(verdict, (confidence, support, len(items), case verdict when 'block' then 1 else 0 end)) as verdict
             from known join mined on len(list_intersect(tokens, items)) = len(items) where stated is null group by page_id

@@ -3,11 +3,13 @@
 Stated rules name a host with all its subdomains and the beginning of a path; the longest
 that fits decides. URLs that a stated rule decides are the labelled examples from which
 Spark's FP-growth mines combinations of URL tokens that imply a verdict. Combinations are
-pruned by support and confidence and by a shorter one that is at least as sure, then found
-through an inverted index on one of their tokens. Of the combinations that fit a URL the
+pruned by support and confidence and by any part of them that is at least as sure, whatever
+their sizes, then found through an inverted index on the rarest of their tokens. Of the combinations that fit a URL the
 surest decides, then the better supported, then the longer; ``block`` wins a tie. A URL that
 nothing fits is allowed. Null URLs and those without ``://`` have an empty host and path, no
-tokens and are allowed. Repeated rows are judged alike and all returned.
+tokens and are allowed. Long URLs are read whole; a path segment that is a number as a whole
+is no token. Repeated rows, also those with a null id, are judged alike and all returned; an
+empty table gives no rows, and other columns are ignored.
 
 Everything is DataFrame and ML API; no Python runs on the executors.
 """
@@ -23,7 +25,6 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.9
-MAX_ITEMS = 2
 VERDICTS = ("block", "allow")
 
 
@@ -63,7 +64,7 @@ def stated(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colum
 def tokens(host: Column, path: Column) -> Column:
     """The distinct tokens of a URL: its host's labels, whole host suffixes and path segments."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    segments = F.filter(F.split(path, "/"), lambda x: (x != "") & ~x.rlike("^[0-9]+"))
+    segments = F.filter(F.split(path, "/"), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
     suffix = F.concat(F.lit("top="), F.element_at(labels, -1))
     return F.array_distinct(
         F.concat(
@@ -74,8 +75,9 @@ def tokens(host: Column, path: Column) -> Column:
     )
 
 
-def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(items, verdict, confidence, support) from rows of (tokens, verdict).
+def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(token, items, verdict, confidence, support) from rows of (tokens, verdict); ``token`` is the
+    rarest of the items, the first of those in order.
 
     The number of combinations is bounded by ``min_support`` and not by the rows.
     """
@@ -88,14 +90,18 @@ def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         "support",
         F.element_at("consequent", 1).startswith("is=").alias("wanted"),
     ).filter("wanted").drop("wanted")
-    rules = rules.filter((F.size("items") <= max_items) & (F.size("items") > 0) & ~F.exists("items", lambda x: x.startswith("is=")))
-    shorter = rules.select(F.col("items").alias("fewer"), F.col("verdict").alias("same"), F.col("confidence").alias("sure"))
-    # A longer combination that is no surer than one of its parts says nothing new.
-    return rules.join(
-        shorter.select(F.explode("fewer").alias("one"), "fewer", "same", "sure").filter(F.size("fewer") == 1).drop("fewer"),
-        F.array_contains("items", F.col("one")) & (F.size("items") > 1) & (F.col("verdict") == F.col("same")) & (F.col("sure") >= F.col("confidence")),
-        "left_anti",
-    )
+    rules = rules.filter((F.size("items") > 0) & ~F.exists("items", lambda x: x.startswith("is=")))
+    alone = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
+    rarest = rules.select("items", "verdict", F.explode("items").alias("token")).join(alone, "token")
+    rarest = rarest.groupBy("items", "verdict").agg(F.min_by("token", F.struct("freq", "token")).alias("token"))
+    rules = rules.join(rarest, ["items", "verdict"])
+    # A combination that is no surer than one of its parts says nothing new. A part's rarest token
+    # is among the tokens of the whole.
+    parts = rules.select("token", F.col("items").alias("fewer"), F.col("verdict").alias("same"), F.col("confidence").alias("sure"))
+    whole = rules.select("items", "verdict", "confidence", F.explode("items").alias("token")).join(parts, "token")
+    whole = whole.filter((F.col("verdict") == F.col("same")) & (F.col("sure") >= F.col("confidence")) & (F.size("fewer") < F.size("items")))
+    told = whole.filter(F.size(F.array_except("fewer", "items")) == 0).select("items", "verdict").distinct()
+    return rules.join(told, ["items", "verdict"], "left_anti")
 
 
 def judged(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", **mining: float) -> DataFrame:
@@ -112,12 +118,11 @@ def judged(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
         .withColumn("tokens", F.array_sort(tokens(F.col("host"), F.col("path"))))
     )
     found = mined(known.filter("stated is not null").select("tokens", F.col("stated").alias("verdict")), **mining)
-    index = found.withColumn("token", F.element_at("items", 1))
     kinds = known.filter("stated is null").select("tokens").distinct()
     order = F.struct("confidence", "support", F.size("items"), F.col("verdict") == "block")
     guessed = (
         kinds.select("tokens", F.explode("tokens").alias("token"))
-        .join(index, "token")
+        .join(found, "token")
         .filter(F.size(F.array_except("items", "tokens")) == 0)
         .groupBy("tokens")
         .agg(F.max_by("verdict", order).alias("guess"))
