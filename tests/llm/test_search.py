@@ -1,6 +1,7 @@
 """Exact top-k search, URL filters, archives and decontamination on odd rows and against brute force."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -78,6 +79,23 @@ def test_mined_combinations_decide_the_rest(spark):
     assert (got[1_000], got[1_001], got[1_002]) == ("block", "allow", "allow")
 
 
+def test_three_tokens_together_decide(spark):
+    # Any two of the path's segments say nothing; all three of them always mean Spanish pages.
+    pages, n = [], 0
+    for a in "xy":
+        for b in "uv":
+            for c in "mn":
+                for _ in range(20):
+                    n += 1
+                    blocked = (a, b, c) == ("x", "u", "m")
+                    pages.append((n, f"http://{n}.{'net' if blocked else 'com'}/es/{a}/{b}/{c}/3d-{n % 2}"))
+    pages += [(1_000 + n, u) for n, u in enumerate(["http://q.org/x/u/m/7", "http://q.org/x/u/n", "http://q.org/y/u/m", "http://q.org/x/v/m", "http://q.org/" + "x/" * 30_000 + "u/m"])]
+    got = {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(pages, "page_id long, url string"), URL_RULES).collect()}
+    assert [got[1_000 + n] for n in range(5)] == ["block", "allow", "allow", "allow", "block"]
+    tokens = spark.createDataFrame([("h.x", "/12/3d-casino/7a/")], "h string, p string").select(urls.tokens(F.col("h"), F.col("p")).alias("t")).first().t
+    assert tokens == ["host=h", "host=x", "top=x", "path=3d-casino", "path=7a"]
+
+
 def test_url_filter_runs_no_python(spark):
     plan = urls.judged(spark.read.parquet(f"{SMALL}/pages.parquet"), URL_RULES)._jdf.queryExecution().toString()
     assert not any(name in plan for name in ("Python", "Arrow", "Pandas"))
@@ -117,6 +135,31 @@ def test_archive_headers_and_empty_table(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("version, pack", [(1, None), (2, None), (1, "record"), (2, "whole")])
+def test_archives_of_several_records_are_read_by_their_lengths(spark, tmp_path, version, pack):
+    extra = "" if version == 1 else " 404 - http://to/ 99 old.arc"
+    bodies = [b"HTTP/1.0 200 OK\r\nX: y\r\n\r\none\n\nhttp://not.a/ header 3\n", b"HTTP/1.0 200 OK\r\nX-Archive-Key: 8\r\n\r\n" + b"z\xff" * 70_000, b""]
+    parts = [warc.version_block(version, "19990101000000")]
+    parts += [f"http://p{n}/a b 1.2.3.{n} 1999010203040{n} text/html{extra} {len(b)}\n".encode() + b + b"\n" for n, b in enumerate(bodies)]
+    data = b"".join(gzip.compress(p) for p in parts) if pack == "record" else b"".join(parts)
+    (tmp_path / "old.arc").write_bytes(gzip.compress(data) if pack == "whole" else data)
+    rows = warc.read_arc(spark.read.format("binaryFile").load(f"file:{tmp_path}/old.arc"))
+    got = sorted((r.url, r.ip, r.date, r.key, bytes(r.body), r.size) for r in rows.collect())
+    assert got == [(f"http://p{n}/a b", f"1.2.3.{n}", f"1999010203040{n}", [None, 8, None][n], b, len(b.partition(b"\r\n\r\n")[2])) for n, b in enumerate(bodies)]
+    warc.write_warc(warc.with_first_copy(rows), f"file:{tmp_path}/new", file_bytes=10)
+    assert len(list((tmp_path / "new").glob("*.gz"))) >= 1
+    back = warc.read_warc(spark, f"file:{tmp_path}/new").collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.date, r.intact) for r in back) == sorted((k or 0, s, f"1999-01-02T03:04:0{n}Z", True) for n, (k, s) in enumerate((g[3], g[5]) for g in got))
+    with pytest.raises(ValueError):
+        list(warc.parse_archive(b"http://no.version/ 1 2 3 4\n"))
+
+
+def test_pages_without_a_key_are_kept(spark):
+    pages = spark.createDataFrame([(None, "u", "same"), (None, None, None), (3, "v", "same"), (4, "v", "same")], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.archived(pages).collect()), key=str)
+    assert got == sorted([(None, "response", None, 4), (None, "response", None, 0), (3, "response", None, 4), (4, "revisit", 3, 4)], key=str)
+
+
 # --- Decontamination ---
 
 
