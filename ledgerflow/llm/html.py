@@ -8,6 +8,12 @@ at most ``SAMPLE_PAGES`` are used, and a few fixed names known beforehand count
 labelled words. A linear scan finds the contiguous region with the highest sum; blocks inside
 it whose own words score negative (an advert or a form within the article) are left out.
 
+Names are only a first guess. Where the text that one element's name would leave out is much
+longer than what the scan found, the article's element is named like something else, and the
+page is scanned again with that name as evidence among the other weights. Words that say what an
+element has or lacks (``has-sidebar``) name nothing, and ``article`` and ``main`` are what they
+are whatever their class.
+
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by an empty line. Null and empty pages give an empty text; markup that never closes
 ends with the page; repeated pages are extracted alike.
@@ -31,6 +37,7 @@ LIMIT = 4.0
 BASE = 0.5
 UNKNOWN_TAG = -0.2
 KNOWN_WORDS = 500
+NAMED_TIMES = 4  # times the text found, by which what names leave out makes a second scan
 
 # Element names of HTML by their role.
 INLINE = frozenset(
@@ -46,7 +53,10 @@ OUTER_WORDS = frozenset(
     overlay pagination pager popup promo promotion promoted recommended related reply replies respond search share sharing sidebar signup
     social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets comment comments discussion""".split()
 )
-TALK = frozenset("comment comments discussion disqus reply replies respond".split())
+TALK = frozenset("comment comments disqus reply replies respond".split())
+# Words that make a class say what an element has, lacks or no longer is.
+MODIFIERS = frozenset("has no with without is not hide non".split())
+LACKING = frozenset("removed free less off none".split())
 ARTICLE = frozenset(("article", "main"))
 ARTICLE_WORDS = ("article", "main", "p", "h1", "h2", "blockquote", "pre")
 
@@ -64,7 +74,8 @@ class Block:
     text: str
     keys: tuple[str, ...]
     words: int
-    outer: bool  # inside an element that is named as something else than the article
+    outer: bool  # inside an element that is something else than the article
+    named: int  # number of the element around it that is only named like something else, or 0
     inside: bool  # inside a marked article
     tags: list[str] = field(default_factory=list)  # tags since the block before
 
@@ -72,8 +83,8 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks in order, each with what stands around it."""
     out: list[Block] = []
-    open_elements: list[tuple[str, tuple[str, ...], bool, bool, bool]] = []  # name, keys, outer, inside, talk
-    state = ("", (), False, False, False)
+    open_elements: list[tuple[str, tuple[str, ...], bool, int, bool, bool]] = []  # name, keys, outer, named, inside, talk
+    page_itself = state = ("", (), False, 0, False, False)
     leaf, pieces, linked, in_link, tags = "", [], 0, False, []
 
     def flush() -> None:
@@ -85,7 +96,7 @@ def blocks_of(page: str) -> list[Block]:
                 keys = [*state[1], leaf] if leaf else [*state[1]]
                 if 2 * linked > words:
                     keys.append("linked")
-                out.append(Block(text, tuple(keys), words, state[2], state[3], tags))
+                out.append(Block(text, tuple(keys), words, state[2], 0 if state[2] else state[3], state[4], tags))
                 tags = []
             pieces, linked = [], 0
 
@@ -118,13 +129,15 @@ def blocks_of(page: str) -> list[Block]:
             for depth in range(len(open_elements) - 1, -1, -1):
                 if open_elements[depth][0] == name:
                     del open_elements[depth:]
-                    state = open_elements[-1] if open_elements else ("", (), False, False, False)
+                    state = open_elements[-1] if open_elements else page_itself
                     leaf = ""
                     break
             continue
-        named = {w for groups in NAMES.findall(found[4]) for g in groups for w in PARTS(g.lower())} if found[4] else set()
+        words = [PARTS(token) for groups in NAMES.findall(found[4]) for g in groups for token in g.lower().split()] if found[4] else []
+        named = {w for token in words for w in token}
+        guess = {w for token in words if token and token[0] not in MODIFIERS and token[-1] not in LACKING for w in token} & OUTER_WORDS
         if name in LEAVES:
-            if not named & OUTER_WORDS:
+            if not guess:
                 continue
             open_elements = [e for e in open_elements if e[0] not in LEAVES]
         elif name in ("html", "body", "head"):
@@ -133,13 +146,14 @@ def blocks_of(page: str) -> list[Block]:
             leaf = ""
         else:
             continue
-        _, keys, outer, inside, talk = state
-        talk = talk or bool(named & TALK)
-        apart = (named & OUTER_WORDS) - ({"header"} if inside else set())
+        _, keys, outer, by_name, inside, talk = state
+        talk = talk or bool(guess & TALK)
         if name in ARTICLE and not talk:
-            outer, inside = bool(apart - {"search", "related"}), True
-        outer = outer or talk or bool(apart) or (name in NOT_ARTICLE and not (inside and name == "header")) or bool(found[4] and HIDDEN.search(found[4]))
-        state = (name, (*keys, name, *(f".{w}" for w in sorted(named))), outer, inside, talk)
+            outer, by_name, inside = False, 0, True
+        elif guess - ({"header", "discussion"} if inside else set()):
+            by_name = by_name or found.end()
+        outer = outer or talk or (name in NOT_ARTICLE and not (inside and name == "header")) or bool(found[4] and HIDDEN.search(found[4]))
+        state = (name, (*keys, name, *(f".{w}" for w in sorted(named))), outer, by_name, inside, talk)
         open_elements.append(state)
     if at < len(page):
         pieces.append(page[at:])
@@ -152,18 +166,29 @@ class Weights:
     keys: dict[str, float]
     tags: dict[str, float]
 
-    def of_block(self, block: Block) -> float:
-        """The score of each word of a block."""
+    def of_block(self, block: Block, doubted: int = 0) -> float:
+        """The score of each word of a block; the names of the ``doubted`` element decide nothing."""
         total = BASE + sum(self.keys.get(k, 0.0) for k in set(block.keys))
-        if block.outer:  # left out in any case, so a long advert must not cut an article in two
+        if block.outer or (block.named and block.named != doubted):  # left out in any case, so a long advert must not cut an article in two
             return -0.1
-        return max(total, 1.0) if block.inside else total
+        return max(total, 1.0) if block.inside and not block.named else total
 
     def extract(self, page: str) -> str:
         """The page's main text."""
         blocks = blocks_of(page)
-        best, top, begin, total, start = 0.0, (0, 0), 0, 0.0, 0
-        scores = [self.of_block(b) for b in blocks]
+        found, words = self.region(blocks)
+        apart = Counter()
+        for b in blocks:
+            if b.named and "linked" not in b.keys:
+                apart[b.named] += b.words
+        if apart and apart.most_common(1)[0][1] > NAMED_TIMES * words:
+            found, _ = self.region(blocks, apart.most_common(1)[0][0])
+        return found
+
+    def region(self, blocks: list[Block], doubted: int = 0) -> tuple[str, int]:
+        """(text, words) of the contiguous region with the highest sum."""
+        best, top, total, start = 0.0, (0, 0), 0.0, 0
+        scores = [self.of_block(b, doubted) for b in blocks]
         for i, (block, score) in enumerate(zip(blocks, scores, strict=True)):
             total += sum(self.tags.get(t, UNKNOWN_TAG) for t in block.tags)
             if total <= 0:  # the best region that ends here begins here
@@ -172,7 +197,8 @@ class Weights:
             if total > best:
                 best, top = total, (start, i + 1)
         begin, end = top
-        return "\n\n".join(b.text for b, s in zip(blocks[begin:end], scores[begin:end], strict=True) if s > 0)
+        kept = [b for b, s in zip(blocks[begin:end], scores[begin:end], strict=True) if s > 0]
+        return "\n\n".join(b.text for b in kept), sum(b.words for b in kept)
 
 
 def evidence(pages: list[str]) -> Counter:
@@ -183,7 +209,7 @@ def evidence(pages: list[str]) -> Counter:
         if not any(b.inside for b in blocks):
             continue
         for b in blocks:
-            if b.outer:  # known by a fixed name; says nothing about the plain elements around it
+            if b.outer or b.named:  # known by a fixed name; says nothing about the plain elements around it
                 continue
             good = b.inside
             for k in set(b.keys):
