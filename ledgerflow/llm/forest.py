@@ -45,7 +45,7 @@ NEIGHBOURS = 3
 CROWD = 1_024
 # Turns: who meets (neighbours, or all of a region that are still apart), and whether a document's
 # best pair is enough. The last turn leaves nothing out.
-TURNS = ((False, True), (False, True), (True, True), (True, True), (True, False))
+TURNS = ((False, True), (True, True), (True, False))
 FUNCTIONS = TREES * LEVELS
 SKETCH = [f"b{k}" for k in range(2 * FUNCTIONS // 64)]  # a bit of every min-hash, then another
 PARITIES = [f"p{k}" for k in range(8)]  # 512 parities of the whole set
