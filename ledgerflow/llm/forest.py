@@ -45,7 +45,7 @@ NEIGHBOURS = 3
 CROWD = 1_024
 # Turns: who meets (neighbours, or all of a region that are still apart), and whether a document's
 # best pair is enough. The last turn leaves nothing out.
-TURNS = ((False, True), (True, True), (True, False))
+TURNS = ((False, True), (True, True), (True, True), (True, False))
 FUNCTIONS = TREES * LEVELS
 SKETCH = [f"b{k}" for k in range(2 * FUNCTIONS // 64)]  # a bit of every min-hash, then another
 PARITIES = [f"p{k}" for k in range(8)]  # 512 parities of the whole set
@@ -143,10 +143,11 @@ def middles(region: np.ndarray, deeper: np.ndarray) -> np.ndarray:
     return best[of_region]
 
 
-def met(percent: int, every: bool):
-    """Pairs (a, b) of different components among sorted rows of regions: neighbours and middles, or every pair."""
-    apart = (1 - percent / 100) * 3 / 4
-    limit = FUNCTIONS * apart + 5 * np.sqrt(FUNCTIONS * apart * (1 - apart))
+def met(percent: int, every: bool, best: bool):
+    """Pairs (a, b) of different components among sorted rows of regions: neighbours and middles, or
+    every pair; with ``best`` a row gives the pair of its most similar sketch only."""
+    share = (1 - percent / 100) * 3 / 4
+    limit = FUNCTIONS * share + 5 * np.sqrt(FUNCTIONS * share * (1 - share))
     half = len(SKETCH) // 2
 
     def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,8 +166,9 @@ def met(percent: int, every: bool):
             fits = np.bitwise_count(odd[:, i] ^ odd[:, j]).sum(0, dtype=np.int64) <= most
             i, j = i[fits], j[fits]
             differ = bits[:, i] ^ bits[:, j]
-            near = np.bitwise_count(differ[:half] | differ[half:]).sum(0) <= limit
-            out.append((node[i[near]], node[j[near]]))
+            apart = np.bitwise_count(differ[:half] | differ[half:]).sum(0, dtype=np.int64)
+            near = apart <= limit
+            out.append((i[near], j[near], apart[near]))
 
         at, lag = np.arange(len(node)), 1
         while every or lag <= NEIGHBOURS:
@@ -179,7 +181,13 @@ def met(percent: int, every: bool):
         if not every:
             middle = middles(group, deeper)
             keep(np.flatnonzero(middle != np.arange(len(node))), middle[middle != np.arange(len(node))])
-        a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        i, j, apart = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        if best and len(i):
+            row, other, apart = np.append(i, j), np.append(j, i), np.append(apart, apart)
+            order = np.lexsort((other, apart, row))
+            first = order[np.concatenate([[True], np.diff(row[order]) > 0])]
+            i, j = row[first], other[first]
+        a, b = node[i], node[j]
         return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +270,7 @@ class Forest:
         placed = self.blocks(placed) if every else self.cut(placed)
         rows = placed.join(self.traits, "node").select("region", "part", "deeper", "node", "component", *TRAITS)
         rows = rows.repartition("region", "part").sortWithinPartitions("region", "part", "deeper", F.xxhash64("node"))
-        pairs = rows.mapInArrow(met(self.percent, every), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("trees"))
+        pairs = rows.mapInArrow(met(self.percent, every, best), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("trees"))
         if best:  # links that reach are enough, the rest can wait
             if tested is not None:
                 pairs = pairs.unionByName(tested.withColumn("trees", F.lit(None).cast("long"))).groupBy("a", "b").agg(F.max("trees").alias("trees"), F.count_if(F.col("trees").isNull()).alias("old"))

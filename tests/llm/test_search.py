@@ -163,6 +163,38 @@ def test_pages_without_a_key_are_kept(spark):
 # --- Decontamination ---
 
 
+def test_candidates_equal_plain_cosines(spark):
+    dice = random.Random(4)
+    prose = lambda n: " ".join(f"w{min(dice.randint(0, 60), dice.randint(0, 60))}" for _ in range(n))
+    items = [decontamination.item_of(i, prose(dice.randint(8, 60))) for i in range(12)]
+    vocabulary = np.unique(np.concatenate([i.grams for i in items]))
+    counts = np.array([dice.randint(1, 900) for _ in vocabulary])
+    space = decontamination.space_of(spark, items, vocabulary, counts, 1_000)
+    texts = [prose(dice.randint(0, 120)) + " other words here" * dice.randint(0, 3) for _ in range(30)] + ["", "w1 " * 2_000]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t) for t in texts)])
+    start, end, first = decontamination.words(data, offsets, decontamination.GAPS)
+    hashes = decontamination.span_hashes(data, start, end, decontamination.MIXED_LOWER)
+    got = set(space.candidates(hashes, first))
+    expect, near = set(), set()
+    for row in range(len(texts)):
+        own = hashes[first[row] : first[row + 1]]
+        for begin in decontamination.windows(len(own)):
+            v = np.zeros(len(vocabulary))
+            for h in own[begin : begin + decontamination.PASSAGE]:
+                if h in vocabulary:
+                    v[np.searchsorted(vocabulary, h)] += 1
+            if np.count_nonzero(v) < space.least:
+                continue
+            v *= space.weights
+            for owner, cosine in zip(space.owner, space.passages @ (v @ space.basis) / np.linalg.norm(v)):
+                if cosine >= decontamination.COSINE:
+                    expect.add((row, int(begin), int(owner)))
+                if abs(cosine - decontamination.COSINE) < 1e-4:
+                    near.add((row, int(begin), int(owner)))
+    assert expect and got - near == expect - near
+
+
 def test_planted_items_are_found_and_others_left_alone(spark):
     dice = random.Random(9)
     common = [f"the{i}" for i in range(12)]
