@@ -19,6 +19,7 @@ from ledgerflow.constants import (
 )
 from ledgerflow.functions.scalars import MONEY, coins
 from ledgerflow.operators.labels import classify_addresses
+from ledgerflow.operators.scans import positive
 from ledgerflow.schemas import Ledger
 
 # Outputs of one transaction are numbered below this; block size keeps them far lower.
@@ -39,6 +40,7 @@ def cap_per_block(led: Ledger, n: int | None = None) -> Ledger:
     transfers = transfers_only(led)
     if n is None:
         return transfers
+    positive(n)
     position = Window.partitionBy("height").orderBy("tx_index", "txid")
     txs = (
         transfers.txs.withColumn("_rank", F.row_number().over(position))
@@ -169,14 +171,13 @@ def tx_totals(led: Ledger) -> DataFrame:
 
     def side(frame: DataFrame, i: int, o: int) -> DataFrame:
         return frame.filter("addr_pos = 0").selectExpr(
-            "txid", f"{i} AS i", f"{o} AS o", f"coalesce(satoshi, CAST(0 AS {MONEY})) AS satoshi"
+            "txid", "height", "block_time", f"{i} AS i", f"{o} AS o", f"coalesce(satoshi, CAST(0 AS {MONEY})) AS satoshi"
         )
 
     header = led.txs.selectExpr("txid", "height", "block_time", "0 AS i", "0 AS o", f"CAST(0 AS {MONEY}) AS satoshi")
     rows = header.unionByName(side(led.inputs, 1, 0), True).unionByName(side(led.outputs, 0, 1), True)
-    return rows.groupBy("txid").agg(
-        F.expr("max(height) AS block_height"),
-        F.expr("max(block_time) AS block_time"),
+    # Grouped by height as well, so that a range of heights is cut before the shuffle.
+    return rows.groupBy("txid", F.col("height").alias("block_height"), "block_time").agg(
         F.expr("sum(i) AS input_count"),
         F.expr("sum(o) AS output_count"),
         coins(F.expr("coalesce(sum(if(i = 1, satoshi, NULL)), 0)")).alias("total_input_value"),

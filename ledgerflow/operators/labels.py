@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.constants import DEFAULT_TIER, EXCHANGE, FOUNDATION, NODE_OPERATOR, TIERS, UNKNOWN
 from ledgerflow.functions.scalars import leading_number
+from ledgerflow.operators.scans import positive
 from ledgerflow.schemas import details_sql
 
 
@@ -126,4 +127,4 @@ def label_stats(listed: DataFrame, operators: DataFrame) -> DataFrame:
 
 def top_node_operators(operators: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` operators with most nodes; ties by address."""
-    return operators.orderBy(F.desc("node_count"), "address").limit(n)
+    return operators.orderBy(F.desc("node_count"), "address").limit(positive(n))

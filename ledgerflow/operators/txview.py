@@ -41,27 +41,26 @@ def classify_transactions(led: Ledger, labels: DataFrame) -> DataFrame:
 
     Any exchange among the senders or receivers decides. Header and party rows meet
     in one partial and final aggregation per transaction; the exchange lookup keeps
-    only rows of exchanges.
+    only rows of exchanges. The header is part of the grouping, so a range of heights
+    is cut before the shuffle.
     """
+    header = ["txid", "height", "block_time", "tx_index"]
     exchanges = labels.filter(F.col("type") == EXCHANGE).select("address")
     rows = (
-        led.txs.select("txid", "height", "block_time", "tx_index")
+        led.txs.select(*header)
         .unionByName(
-            led.outputs.filter("addr_pos = 0").select("txid", "satoshi"), allowMissingColumns=True
+            led.outputs.filter("addr_pos = 0").select(*header, "satoshi"), allowMissingColumns=True
         )
         .unionByName(
-            led.inputs.join(exchanges, "address", "left_semi").select("txid", F.lit(True).alias("ex_from")),
+            led.inputs.join(exchanges, "address", "left_semi").select(*header, F.lit(True).alias("ex_from")),
             allowMissingColumns=True,
         )
         .unionByName(
-            led.outputs.join(exchanges, "address", "left_semi").select("txid", F.lit(True).alias("ex_to")),
+            led.outputs.join(exchanges, "address", "left_semi").select(*header, F.lit(True).alias("ex_to")),
             allowMissingColumns=True,
         )
     )
-    per_tx = rows.groupBy("txid").agg(
-        F.max("height").alias("block_height"),
-        F.max("block_time").alias("block_time"),
-        F.max("tx_index").alias("tx_index"),
+    per_tx = rows.groupBy("txid", F.col("height").alias("block_height"), "block_time", "tx_index").agg(
         F.coalesce(F.sum("satoshi"), F.lit(0)).alias("satoshi"),
         F.coalesce(F.bool_or("ex_from"), F.lit(False)).alias("ex_from"),
         F.coalesce(F.bool_or("ex_to"), F.lit(False)).alias("ex_to"),

@@ -401,6 +401,12 @@ def overlay(t: TestLedger) -> DataFrame:
     return attribution.attribute_unknowns(all_events(t), evidence(t), NOW)
 
 
+def attributed(t: TestLedger) -> DataFrame:
+    """The events of a stored ledger, built once, after one run."""
+    ev = materialise(all_events(t), "events")
+    return attribution.apply_overlay(ev, attribution.attribute_unknowns(ev, evidence(t), NOW))
+
+
 def flat_attribution(ev: DataFrame, side: str) -> list[Column]:
     d = F.col(f"{side}_details")
     return [
@@ -416,7 +422,7 @@ def flat_attribution(ev: DataFrame, side: str) -> list[Column]:
 @query
 def attributed_events(t: TestLedger) -> DataFrame:
     t = t.stored()
-    return flat_attributed(attribution.apply_overlay(all_events(t), overlay(t)))
+    return flat_attributed(attributed(t))
 
 
 def flat_attributed(ev: DataFrame) -> DataFrame:
@@ -449,7 +455,7 @@ def attribution_cycle_stored(t: TestLedger) -> DataFrame:
 @query
 def attribution_stats(t: TestLedger) -> DataFrame:
     t = t.stored()
-    return attribution.attribution_stats(attribution.apply_overlay(all_events(t), overlay(t)))
+    return attribution.attribution_stats(attributed(t))
 
 
 @query
@@ -527,6 +533,7 @@ def event_detail_view(t: TestLedger) -> DataFrame:
 
 
 def _view(ev: DataFrame, view: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    ev = materialise(ev, "events")  # both sides read it
     return view(ev, BUYING).withColumn("side", F.lit(BUYING)).unionByName(
         view(ev, SELLING).withColumn("side", F.lit(SELLING))
     )
@@ -535,8 +542,7 @@ def _view(ev: DataFrame, view: Callable[[DataFrame, str], DataFrame]) -> DataFra
 @query
 def attribution_view(t: TestLedger) -> DataFrame:
     t = t.stored()
-    ev = attribution.apply_overlay(all_events(t), overlay(t))
-    return _view(ev, views.attribution_view).withColumn("hop_chain", joined("hop_chain"))
+    return _view(attributed(t), views.attribution_view).withColumn("hop_chain", joined("hop_chain"))
 
 
 # ------------------------------------------------------------------ transaction view

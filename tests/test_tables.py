@@ -1,11 +1,14 @@
 """Upserts, overlays on top of them, retention, scans."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import scans, tables
-from ledgerflow.operators.events import build_flow_events
+from ledgerflow.operators.attribution import attribution_candidates
+from ledgerflow.operators.events import build_flow_events, cap_per_block
+from ledgerflow.operators.labels import node_operators, top_node_operators
 from ledgerflow.operators.numbering import number_rows
-from tests.chain import labels, ledger, rows
+from tests.chain import labels, ledger, nodes, rows
 
 
 def events(spark):
@@ -95,6 +98,19 @@ def test_scans(spark):
     assert rows(scans.latest_block(ev.withColumnRenamed("block_height", "height")), "txid") == [("b",)]
 
 
+def test_limits_below_one_are_errors(spark):
+    led = ledger(spark, ("a", 5, ["E"], ["x"]))
+    operators = node_operators(nodes(spark, "N"))
+    for n in (0, -1):
+        for call in (
+            lambda: top_node_operators(operators, n),
+            lambda: cap_per_block(led, n),
+            lambda: attribution_candidates(events(spark), 0, cap=n),
+        ):
+            with pytest.raises(ValueError):
+                call()
+
+
 def test_crowded_groups_are_numbered_in_parts(spark):
     df = spark.range(2000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "id * 7919 % 1009 AS a", "id AS b")
     got = number_rows(df, "k", ["a", "b"], "a div 10", "n", group_rows=100)
