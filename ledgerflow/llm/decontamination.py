@@ -3,11 +3,15 @@
 Words are runs of letters and digits, A-Z in lower case. Items and documents are cut into
 passages of ``PASSAGE`` words, every ``STRIDE`` words. The term weights are inverse document
 frequencies counted over all documents; a randomised SVD of the items' TF-IDF passages, its
-products summed over the cluster, gives the latent space. Every passage of every document is
-projected, and pairs whose cosine reaches ``COSINE`` are candidates. Words that no item has
+products summed over the cluster, gives the latent space: the leading directions, as few as leave
+every passage of an item ``KEPT`` of its squared length, so no item is lost to the truncation.
+Every passage of every document is projected, and pairs whose cosine reaches ``COSINE`` are
+candidates: the product with the item's passage, that one of unit length in the space, by the
+length of the document's passage before projection, where a repeated word counts as if it were
+several, which only lets more pairs through. Words that no item has
 count nothing in that cosine: with a weight of their own, as large as the number of documents
 makes it, a short or reworded item would be lost among them the sooner the more documents
-there are. A passage with fewer than ``LEAST_SHARED`` different words of items is not projected,
+there are. A passage with fewer than ``LEAST_SHARED`` words of items is not compared,
 unless an item is so repetitive that few different words can make up a match of it.
 
 A candidate is settled on words: the longest common subsequence of the item and the document
@@ -16,8 +20,8 @@ item; from ``PARAPHRASE`` on, it is enough if the item's answer, its last senten
 its last ``ANSWER_WORDS`` words, is there as well. Items of fewer than ``LEAST_WORDS`` words are
 too short for that: they match where all their words, the answer's too, follow each other.
 
-Items share a latent space with at most ``ITEMS_IN_SPACE`` others or so, since a space of fixed
-rank tells only so many passages apart, and a pass over the documents takes about
+Items share a latent space with at most ``ITEMS_IN_SPACE`` others or so, which bounds the
+dimensions, and a pass over the documents takes about
 ``ITEMS_AT_ONCE`` items: what is broadcast is bounded by constants and by the words of so many
 items. Null and empty texts, and texts without a word, match nothing. Repeated documents are reported each; an item id that
 repeats is reported once per text that matches.
@@ -41,10 +45,10 @@ from ledgerflow.llm.toxicity import GAPS
 
 PASSAGE = 24
 STRIDE = 12
-RANK = 384
+KEPT = 0.5
 OVERSAMPLE = 16
 POWER_STEPS = 3
-COSINE = 0.25
+COSINE = 0.4
 SHARE = 0.8
 PARAPHRASE = 0.6
 STRETCH = 1.6
@@ -54,6 +58,7 @@ LEAST_SHARED = 3
 ITEMS_AT_ONCE = 1_000
 ITEMS_IN_SPACE = 128
 COLUMNS_AT_ONCE = 1_024
+BLOCKS_AT_ONCE = 1_024
 
 MATCH = "doc_id long, item_id long, share double, begin_word int, end_word int"
 
@@ -143,10 +148,8 @@ def short_matches(items: list[Item], hashes: np.ndarray, first: np.ndarray) -> I
 
 
 def windows(count: int) -> np.ndarray:
-    """Begins of the passages of a text of ``count`` words; the last one ends with the text."""
-    if count <= PASSAGE:
-        return np.zeros(min(count, 1), np.int64)
-    return np.append(np.arange(0, count - PASSAGE, STRIDE), count - PASSAGE)
+    """Begins of the passages of a text of ``count`` words; the last one may be shorter by less than a stride."""
+    return np.arange(0, max(count - STRIDE, 1), STRIDE) if count else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -155,54 +158,45 @@ class Space:
     vocabulary: np.ndarray  # sorted word hashes of the items
     weights: np.ndarray  # their inverse document frequencies
     basis: np.ndarray  # (vocabulary, rank)
-    passages: np.ndarray  # (passages of items, rank), of unit length before projection
+    passages: np.ndarray  # (passages of items, rank), of unit length in the space
     owner: np.ndarray  # item of each passage
-    least: int  # different words of items that a passage must have
+    least: int  # places with words of items that a passage must have
 
     def __post_init__(self):
-        # Projection and product with the items' passages as one table, where that is the smaller one.
-        self.folded = len(self.passages) <= 2 * self.basis.shape[1]
-        terms = self.weights[:, None] * self.basis
-        self.terms = (terms @ self.passages.T if self.folded else terms).astype(np.float32)
+        self.terms = (self.weights[:, None] * self.basis).astype(np.float32)
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(row, place of the passage in its row, item)."""
         if not len(hashes) or not len(self.items):
             return
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1).astype(np.int32)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == hashes
-        begins = [windows(n) for n in np.diff(first)]
-        row = np.repeat(np.arange(len(begins)), [len(b) for b in begins])
-        begin = np.concatenate(begins) + first[row] if begins else np.zeros(0, np.int64)
-        end = np.minimum(begin + PASSAGE, first[row + 1])
-        # Cheap first: enough places with words of items, whatever the words.
+        at = at[known].astype(np.int32)
         upto = np.concatenate([[0], np.cumsum(known)])
-        likely = np.flatnonzero(upto[end] - upto[begin] >= self.least)
-        for a in range(0, len(likely), 256):
-            part = likely[a : a + 256]
-            place = begin[part][:, None] + np.arange(PASSAGE)
-            inside = place < end[part][:, None]
-            place = np.minimum(place, len(hashes) - 1)
-            word, ours = at[place], known[place] & inside
-            # Equal words side by side, so that runs are a passage's words and their counts.
-            sides = np.sort(np.where(ours, word, -1), axis=1)
-            new = np.ones(sides.shape, bool)
-            new[:, 1:] = sides[:, 1:] != sides[:, :-1]
-            starts = np.flatnonzero(new)
-            times, kind, of = np.diff(np.append(starts, sides.size)), sides.ravel()[starts], starts // PASSAGE
-            real = kind >= 0
-            times, kind, of = times[real], kind[real], of[real]
-            rich = np.bincount(of, minlength=len(part)) >= self.least
-            if not rich.any():
+        mass = np.concatenate([[0.0], np.cumsum(self.weights[at] ** 2)])
+        # A passage is two blocks of a stride, so each word is projected once; a text of one block is a passage.
+        many = -(-np.diff(first) // STRIDE)
+        row = np.repeat(np.arange(len(many)), many)
+        block = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        begin = first[row] + block * STRIDE
+        low, high = upto[begin], upto[np.minimum(begin + STRIDE, first[row + 1])]
+        follows = np.append(row[1:] == row[:-1], False)
+        end = np.where(follows, np.append(high[1:], 0), high)
+        likely = (follows | (block == 0)) & (end - low >= self.least)
+        norm = np.sqrt(mass[end] - mass[low])
+        for a in range(0, len(row), BLOCKS_AT_ONCE):
+            b = min(a + BLOCKS_AT_ONCE, len(row))
+            c = min(b + 1, len(row))  # the last passage's other block
+            summed = np.zeros((c - a + 1, self.terms.shape[1]), np.float32)
+            some = np.flatnonzero(high[a:c] > low[a:c])
+            if not len(some):
                 continue
-            norm = np.sqrt(np.bincount(of, (times * self.weights[kind]) ** 2, minlength=len(part)))[rich]
-            part, word, ours = part[rich], word[rich], ours[rich]
-            many = ours.sum(1)
-            summed = np.add.reduceat(self.terms[word[ours]], np.cumsum(many) - many)
-            cosine = (summed if self.folded else summed @ self.passages.T) / norm[:, None]
-            for w, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                k = part[w]
-                yield int(row[k]), int(begin[k] - first[row[k]]), int(self.owner[p])
+            summed[some] = np.add.reduceat(self.terms[at[low[a] : high[c - 1]]], (low[a:c] - low[a])[some])
+            part = np.flatnonzero(likely[a:b])
+            query = summed[part] + np.where(follows[a + part][:, None], summed[part + 1], np.float32(0))
+            for w, p in zip(*np.nonzero(query @ self.passages.T >= COSINE * norm[a + part][:, None]), strict=True):
+                k = a + part[w]
+                yield int(row[k]), int(block[k] * STRIDE), int(self.owner[p])
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -270,6 +264,11 @@ def latent_basis(passages: DataFrame, columns: int, rank: int) -> np.ndarray:
     return (q @ vectors[:, np.argsort(-values)[:rank]])
 
 
+def kept_rank(projected: np.ndarray) -> int:
+    """The fewest leading dimensions that leave every passage ``KEPT`` of its squared length."""
+    return int(np.argmax((projected**2).cumsum(1).min(0) >= KEPT)) + 1
+
+
 def space_of(spark: SparkSession, items: list[Item], words_known: np.ndarray, counts: np.ndarray, n: int) -> Space:
     """The latent space of a block of items, with weights from the document frequencies of the known words."""
     vocabulary = np.unique(np.concatenate([i.grams for i in items]))
@@ -285,8 +284,11 @@ def space_of(spark: SparkSession, items: list[Item], words_known: np.ndarray, co
             owner.append(k)
     schema = "at array<long>, value array<double>"
     made = spark.createDataFrame([(a.tolist(), v.tolist()) for a, v in rows], schema).repartition(max(1, len(rows) // 2_000 + 1))
-    basis = latent_basis(made, len(vocabulary), min(RANK, len(rows), len(vocabulary)))
+    basis = latent_basis(made, len(vocabulary), min(len(rows), len(vocabulary)))
     projected = np.stack([v @ basis[a] for a, v in rows])
+    rank = kept_rank(projected)
+    basis, projected = basis[:, :rank], projected[:, :rank]
+    projected /= np.linalg.norm(projected, axis=1)[:, None]
     fewest = min(different_words(i) for i in items)
     least = LEAST_SHARED if fewest > LEAST_SHARED else 1
     return Space(items, vocabulary, weights, basis.astype(np.float32), projected.astype(np.float32), np.array(owner), least)

@@ -163,7 +163,7 @@ def test_pages_without_a_key_are_kept(spark):
 # --- Decontamination ---
 
 
-def test_candidates_equal_plain_cosines(spark):
+def test_candidates_equal_plain_latent_cosines(spark):
     dice = random.Random(4)
     prose = lambda n: " ".join(f"w{min(dice.randint(0, 60), dice.randint(0, 60))}" for _ in range(n))
     items = [decontamination.item_of(i, prose(dice.randint(8, 60))) for i in range(12)]
@@ -184,10 +184,11 @@ def test_candidates_equal_plain_cosines(spark):
             for h in own[begin : begin + decontamination.PASSAGE]:
                 if h in vocabulary:
                     v[np.searchsorted(vocabulary, h)] += 1
-            if np.count_nonzero(v) < space.least:
+            if v.sum() < space.least:
                 continue
+            length = np.sqrt((v * space.weights**2).sum())  # a repeated word counts as several
             v *= space.weights
-            for owner, cosine in zip(space.owner, space.passages @ (v @ space.basis) / np.linalg.norm(v)):
+            for owner, cosine in zip(space.owner, space.passages @ (v @ space.basis) / length):
                 if cosine >= decontamination.COSINE:
                     expect.add((row, int(begin), int(owner)))
                 if abs(cosine - decontamination.COSINE) < 1e-4:
@@ -195,6 +196,29 @@ def test_candidates_equal_plain_cosines(spark):
     assert expect and got - near == expect - near
 
 
+def test_the_space_is_the_smallest_that_keeps_half_of_every_passage(spark):
+    dice = random.Random(6)
+    items = [decontamination.item_of(i, " ".join(f"w{dice.randint(0, 400)}" for _ in range(dice.randint(20, 60)))) for i in range(40)]
+    vocabulary = np.unique(np.concatenate([i.grams for i in items]))
+    counts = np.array([dice.randint(1, 900) for _ in vocabulary])
+    space = decontamination.space_of(spark, items, vocabulary, counts, 1_000)
+    weights, rows = np.log(1_001 / (counts + 0.5)).clip(0.05), []
+    for item in items:
+        for b in decontamination.windows(len(item.grams)):
+            v = np.zeros(len(vocabulary))
+            np.add.at(v, np.searchsorted(vocabulary, item.grams[b : b + decontamination.PASSAGE]), 1)
+            rows.append(v * weights / np.linalg.norm(v * weights))
+    rows = np.array(rows)
+    left, values, _ = np.linalg.svd(rows, full_matrices=False)
+    kept = ((left * values) ** 2).cumsum(1).min(0)
+    rank = space.basis.shape[1]
+    assert rank < 0.75 * len(rows) and kept[rank - 1] >= decontamination.KEPT > kept[rank - 2]
+    # The same directions as the exact decomposition, but for sign and turn.
+    exact = (left * values)[:, :rank]
+    exact /= np.linalg.norm(exact, axis=1)[:, None]
+    assert np.allclose(space.passages @ space.passages.T, exact @ exact.T, atol=1e-3)
+
+
 def test_planted_items_are_found_and_others_left_alone(spark):
     dice = random.Random(9)
     common = [f"the{i}" for i in range(12)]
