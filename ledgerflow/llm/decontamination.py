@@ -58,7 +58,7 @@ LEAST_SHARED = 3
 ITEMS_AT_ONCE = 1_000
 ITEMS_IN_SPACE = 128
 COLUMNS_AT_ONCE = 1_024
-BLOCKS_AT_ONCE = 1_024
+BLOCKS_AT_ONCE = 2_048
 
 MATCH = "doc_id long, item_id long, share double, begin_word int, end_word int"
 
@@ -184,14 +184,19 @@ class Space:
         end = np.where(follows, np.append(high[1:], 0), high)
         likely = (follows | (block == 0)) & (end - low >= self.least)
         norm = np.sqrt(mass[end] - mass[low])
+        room = np.empty((BLOCKS_AT_ONCE + 1, self.terms.shape[1]), np.float32)
         for a in range(0, len(row), BLOCKS_AT_ONCE):
             b = min(a + BLOCKS_AT_ONCE, len(row))
             c = min(b + 1, len(row))  # the last passage's other block
+            held = high[a:c] - low[a:c]
+            # Longest first, so the blocks that have a k-th word are the leading ones.
+            order = np.argsort(-held, kind="stable")
+            word, reach = low[a:c][order], np.searchsorted(-held[order], -np.arange(held.max()))
+            sums = np.zeros((c - a, self.terms.shape[1]), np.float32)
+            for k, upper in enumerate(reach):
+                sums[:upper] += self.terms.take(at[word[:upper] + k], axis=0, out=room[:upper], mode="clip")
             summed = np.zeros((c - a + 1, self.terms.shape[1]), np.float32)
-            some = np.flatnonzero(high[a:c] > low[a:c])
-            if not len(some):
-                continue
-            summed[some] = np.add.reduceat(self.terms[at[low[a] : high[c - 1]]], (low[a:c] - low[a])[some])
+            summed[order] = sums
             part = np.flatnonzero(likely[a:b])
             query = summed[part] + np.where(follows[a + part][:, None], summed[part + 1], np.float32(0))
             for w, p in zip(*np.nonzero(query @ self.passages.T >= COSINE * norm[a + part][:, None]), strict=True):
