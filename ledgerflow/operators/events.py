@@ -185,21 +185,48 @@ def tx_totals(led: Ledger) -> DataFrame:
     )
 
 
-def relevance_rate(led: Ledger, labels: DataFrame) -> DataFrame:
-    """Per block: transactions, those that yield an event, and their share."""
-    transfers = transfers_only(led)
-    with_event = (
-        explode_outputs(transfers)
-        .join(senders(transfers, labels).select("txid"), "txid", "left_semi")
-        .groupBy("height", "txid")
-        .agg(F.lit(1).alias("relevant"))
-    )
-    counted = (
+def relevance_counts(led: Ledger, with_event: DataFrame) -> DataFrame:
+    """Per block: transactions seen, and those of ``with_event`` (height, txid)."""
+    once = with_event.groupBy("height", "txid").agg(F.lit(1).alias("relevant"))
+    return (
         led.txs.select("height", F.lit(1).alias("seen"), F.lit(0).alias("relevant"))
-        .unionByName(with_event.select("height", F.lit(0).alias("seen"), "relevant"))
+        .unionByName(once.select("height", F.lit(0).alias("seen"), "relevant"))
         .groupBy("height")
-        .agg(F.sum("relevant").alias("relevant"), F.sum("seen").alias("total"))
+        .agg(F.sum("relevant").alias("relevant"), F.sum("seen").alias("seen"))
     )
-    return counted.withColumn(
-        "rate", F.when(F.col("total") > 0, F.col("relevant") / F.col("total")).otherwise(F.lit(0.0))
+
+
+def own_count() -> Column:
+    """A block's own count of transactions; null where it gives none or zero."""
+    return F.nullif(F.col("tx_count"), F.lit(0)).cast("bigint")
+
+
+def share(counts: DataFrame) -> DataFrame:
+    """Add ``rate``, relevant by total; 0 where there is no transaction."""
+    rate = F.when(F.col("total") > 0, F.col("relevant") / F.col("total")).otherwise(F.lit(0.0))
+    return counts.withColumn("rate", rate)
+
+
+def rated(counts: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Counts per block as relevant, total and rate.
+
+    The total is the block's own count, else the transactions seen. Blocks of which no
+    transaction was seen have a row as well.
+    """
+    if blocks is None:
+        return share(counts.select("height", "relevant", F.col("seen").alias("total")))
+    own = blocks.select("height", F.lit(0).alias("relevant"), F.lit(0).alias("seen"), own_count().alias("own"))
+    both = counts.unionByName(own, allowMissingColumns=True).groupBy("height").agg(
+        F.sum("relevant").alias("relevant"), F.coalesce(F.max("own"), F.sum("seen")).alias("total")
     )
+    return share(both)
+
+
+def relevance_rate(led: Ledger, labels: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Per block: transactions, those that yield an event, and their share.
+
+    A block counts as ``blocks`` says, where given, else by the transactions of the ledger.
+    """
+    transfers = transfers_only(led)
+    with_event = explode_outputs(transfers).join(senders(transfers, labels).select("txid"), "txid", "left_semi")
+    return rated(relevance_counts(led, with_event.select("height", "txid")), blocks)

@@ -31,12 +31,13 @@ from ledgerflow.operators import (
     txview,
     views,
 )
+from ledgerflow.operators.registry import BatchLabels, Registry
 from ledgerflow.schemas import EVENT_KEY, Ledger, details_from_json, details_to_json
 from ledgerflow.session import materialise, shared_dir
 from ledgerflow.sources import chain
 from ledgerflow.sources.labels import read_labels, read_node_registry
 from ledgerflow.sources.testdata import LINE_ORDER, TestLedger
-from ledgerflow.streaming import ingest, totals
+from ledgerflow.streaming import ingest, relevance, totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, Query] = {}
@@ -796,3 +797,51 @@ def stream_totals_maintained(t: TestLedger) -> DataFrame:
     return totals.maintained_totals(t.spark, f"{base}/out").select(
         "flow_type", "height_bucket", scalars.coins(F.col("satoshi")).alias("total"), "events"
     )
+
+
+@query
+def stream_registry_refresh(t: TestLedger) -> DataFrame:
+    """One stream over two versions of the registry: even transactions arrive while operators have one
+    node each and some are not known yet, odd ones when some have left; each keeps what it met."""
+    base = landing(t)
+    registry = Registry(t.spark, f"{base}/registry")
+    number = F.substring("payment_address", 2, 20).cast("bigint")
+    versions = (t.nodes.filter(number % 4 != 1).distinct(), t.nodes.filter(number % 7 != 0))
+    for at, nodes in enumerate(versions):
+        registry.refresh(labels.node_operators(nodes), 10 * at + 1)
+        registry.refresh(labels.node_operators(t.nodes.filter("false")), 10 * at + 2)  # brings none
+        part = t.ledger.filter(F.col("tx_index") % 2 == at)
+        chain.landed_transactions(part, F.col("tx_index") % 3 == 0).write.mode("append").json(f"{base}/in")
+        ingest.stream_ingest(
+            t.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint",
+            labels=BatchLabels(registry, lambda: t.listed), trigger={"availableNow": True},
+        ).awaitTermination()
+    return flat_events(ingest.stored_events(t.spark, f"{base}/out"))
+
+
+@query
+def relevance_from_ingest(t: TestLedger) -> DataFrame:
+    """Follow blocks that name more transactions than they carry, every fourth none at all: relevance
+    per block, and over the batches together."""
+    base = landing(t)
+    txs = chain.landed_transactions(t.ledger, F.col("tx_index") % 3 == 0)
+    payload = F.struct("txid", "vin", "vout", "inputs", "outputs")
+    carried = txs.groupBy(F.col("blockHeight").alias("height")).agg(
+        F.min("blockTime").alias("time"),
+        F.array_sort(F.collect_list(F.struct("txIndex", "txid", "kind", payload.alias("tx")))).alias("c"),
+    )
+    named = F.when(F.col("height") % 4 != 0, F.size("c") + F.col("height") % 3)
+    carried.select(
+        "height", "time", named.cast("int").alias("txCount"), F.transform("c", lambda x: x["tx"]).alias("txs"),
+        F.transform("c", lambda x: F.struct(x["txid"].alias("txid"), x["kind"].alias("kind"))).alias("txDetails"),
+    ).repartition(6, "height").write.json(f"{base}/in")
+    ingest.stream_blocks(
+        t.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint",
+        labels=lambda: t.labels, max_files=4, trigger={"availableNow": True},
+    ).awaitTermination()
+    per_block = relevance.block_relevance(t.spark, f"{base}/out", t.spark.read.parquet(f"{base}/out/blocks"))
+    together = relevance.batch_relevance(t.spark, f"{base}/out").agg(
+        F.lit("batches").alias("part"), F.lit(None).cast("bigint").alias("height"),
+        F.sum("relevant").alias("relevant"), F.sum("total").alias("total"),
+    )
+    return per_block.withColumn("part", F.lit("block")).unionByName(events.share(together))

@@ -724,3 +724,27 @@ SELECT txid, block_height, {coins('sat')} AS total_value FROM txv WHERE block_he
     "details_round_trip": ledger("SELECT txid, vout, from_name, from_nodes, to_name, to_nodes FROM ev"),
     "stream_totals_maintained": ORACLES["stream_flow_totals"],
 }
+
+# Registries of two versions: before, one node each and some not yet there; after, some gone.
+MACHINERY = "FROM customer WHERE c_mktsegment = 'MACHINERY'"
+BEFORE = LEDGER.replace("unnest(range(1 + c_custkey % 3)) AS copy", "0 AS copy").replace(
+    MACHINERY, f"{MACHINERY} AND c_custkey % 4 <> 1"
+)
+AFTER = LEDGER.replace(MACHINERY, f"{MACHINERY} AND c_custkey % 7 <> 0")
+ORACLES |= {
+    "stream_registry_refresh": f"""
+SELECT * FROM (WITH {BEFORE} SELECT {EVENT_COLUMNS} FROM ev WHERE event_seq // 1048576 % 2 = 0)
+UNION ALL
+SELECT * FROM (WITH {AFTER} SELECT {EVENT_COLUMNS} FROM ev WHERE event_seq // 1048576 % 2 = 1)""",
+    "relevance_from_ingest": ledger(
+        """
+SELECT 'block' AS part, height, relevant, total, relevant / total AS rate FROM rated
+UNION ALL
+SELECT 'batches', NULL, CAST(sum(relevant) AS BIGINT), CAST(sum(total) AS BIGINT), sum(relevant) / sum(total) FROM rated""",
+        """
+rated AS (
+  SELECT height, coalesce(r.relevant, 0) AS relevant, n + CASE WHEN height % 4 = 0 THEN 0 ELSE height % 3 END AS total
+  FROM (SELECT height, count(*) AS n FROM tx GROUP BY height)
+  LEFT JOIN (SELECT block_height AS height, count(DISTINCT txid) AS relevant FROM ev GROUP BY 1) r USING (height))""",
+    ),
+}
