@@ -119,3 +119,27 @@ def test_relevance_of_stored_blocks_and_batches(spark, tmp_path):
     assert run() == [(1, 1, 10), (2, 0, 1), (3, 0, 4), (40_000, 1, 5)]
     assert rows(relevance.batch_relevance(spark, f"{tmp_path}/out"), "relevant", "total") == [(1, 5), (2, 15)]
     assert not list((tmp_path / "out" / "_stage" / "built").iterdir())
+
+
+def test_the_lines_of_a_batch_are_read_once(spark, tmp_path, monkeypatch):
+    lab = labels(spark, exchanges=["E"])
+    sale = {"vin": [{"addresses": ["E"], "value": "100"}], "vout": [{"scriptPubKey": {"addresses": ["x"]}, "value": "100", "n": 0}]}
+    plans = []
+    flat = ingest.normalize_ledger
+
+    def watched(landed):
+        plans.append(landed._jdf.queryExecution().executedPlan().toString())
+        return flat(landed)
+
+    monkeypatch.setattr(ingest, "normalize_ledger", watched)
+    block = {"height": 1, "time": 30, "hash": "a", "txs": [{"txid": "t", **sale}], "txDetails": [{"txid": "t", "kind": "transfer"}]}
+    tx = {"txid": "u", **sale, "blockHeight": 2, "blockTime": 60, "txIndex": 0, "kind": "transfer"}
+    for name, follow, line in (("blocks", ingest.stream_blocks, block), ("txs", ingest.stream_ingest, tx)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.json").write_text(json.dumps(line))
+        follow(
+            spark, f"{tmp_path}/{name}", f"{tmp_path}/out", f"{tmp_path}/cp-{name}", lambda: lab, trigger={"availableNow": True}
+        ).awaitTermination()
+    assert rows(ingest.stored_events(spark, f"{tmp_path}/out"), "txid", "block_height") == [("t", 1), ("u", 2)]
+    assert len(plans) == 2 and all("Scan parquet" in p and "ExistingRDD" not in p for p in plans), plans
+    assert not list((tmp_path / "out" / "_stage" / "lines").iterdir())
