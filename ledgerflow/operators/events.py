@@ -132,17 +132,13 @@ def explode_outputs(led: Ledger) -> DataFrame:
 def build_flow_events(led: Ledger, labels: DataFrame) -> DataFrame:
     """All flow events of a ledger.
 
-    The outputs are shuffled once, on txid, to meet their sender. Slice the ledger
-    first (``periods.ledger_slice``) to build the events of a period only.
+    The outputs meet their sender first, on txid, where a chain or the numbering has put them,
+    so only those of relevant transactions are shuffled, once, to look their receiver up. Slice
+    the ledger first (``periods.ledger_slice``) to build the events of a period only.
     """
     transfers = transfers_only(led)
-    received = classify_addresses(
-        explode_outputs(transfers).withColumnRenamed("address", "to_address"),
-        "to_address",
-        labels,
-        "to_",
-    )
-    return received.join(senders(transfers, labels), "txid").select(
+    sent = explode_outputs(transfers).withColumnRenamed("address", "to_address").join(senders(transfers, labels), "txid")
+    return classify_addresses(sent, "to_address", labels, "to_").select(
         "txid",
         "vout",
         F.col("height").alias("block_height"),

@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A group up to this size is numbered in one task.
 GROUP_ROWS = 1_000_000
+# Keys are first counted together in this many buckets.
+KEY_BUCKETS = 1 << 16
+
+
+def crowded_keys(df: DataFrame, key: str, group_rows: int) -> DataFrame:
+    """The keys with more than ``group_rows`` rows, at most one per ``group_rows`` rows of ``df``.
+
+    Only a bucket that is crowded itself can hold such a key, so the keys of all other buckets
+    are never shuffled.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).alias("_bucket")
+    full = df.groupBy(bucket).count().filter(F.col("count") > group_rows).select("_bucket")
+    inside = df.select(key, bucket).join(F.broadcast(full), "_bucket", "left_semi")
+    return inside.groupBy(key).count().filter(F.col("count") > group_rows).select(key)
 
 
 def number_rows(
@@ -17,25 +31,29 @@ def number_rows(
     A group with more than ``group_rows`` rows is numbered in parts. ``part`` is an
     expression that never falls along the order, so the parts of a group follow each
     other and a row's place is its place in the part plus the rows of the parts
-    before, which come from one small row per part.
+    before, which come from one small row per part. All other groups are dealt by
+    ``key`` alone, so where none is crowded a join on ``key`` needs no further shuffle.
     """
-    crowded = df.groupBy(key).count().filter(F.col("count") > group_rows).select(key, F.lit(True).alias("_crowded"))
-    tagged = df.join(crowded, key, "left").withColumn("_part", F.expr(f"if(_crowded, {part}, NULL)"))
+    crowded = F.broadcast(crowded_keys(df, key, group_rows))
+    usual = df.join(crowded, key, "left_anti")
+    large = df.join(crowded, key, "left_semi").withColumn("_part", F.expr(part))
     before = (
-        tagged.filter("_crowded")
-        .groupBy(key, "_part")
+        large.groupBy(key, "_part")
         .count()
         .selectExpr(
-            key,
-            "_part",
+            f"{key} AS _key",
+            "_part AS _of",
             f"""coalesce(sum(count) OVER (PARTITION BY {key} ORDER BY _part
                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before""",
         )
     )
-    place = f"row_number() OVER (PARTITION BY {key}, _part ORDER BY {', '.join(order)}) - 1"
-    return (
-        tagged.withColumn("_place", F.expr(place))
-        .join(before, [key, "_part"], "left")
-        .withColumn(name, F.expr("CAST(_place + coalesce(_before, 0) AS INT)"))
-        .select(*df.columns, name)
+
+    def place(within: str) -> Column:
+        return F.expr(f"row_number() OVER (PARTITION BY {within} ORDER BY {', '.join(order)}) - 1")
+
+    in_parts = large.withColumn("_place", place(f"{key}, _part")).join(
+        before, (F.col(key) == F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of"))
+    )
+    return usual.select(*df.columns, place(key).cast("int").alias(name)).unionByName(
+        in_parts.select(*df.columns, (F.col("_place") + F.col("_before")).cast("int").alias(name))
     )

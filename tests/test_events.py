@@ -1,5 +1,7 @@
 """Labels, relevance, primary inputs, flow types."""
 
+import re
+
 from ledgerflow.operators.events import (
     build_flow_events,
     cap_per_block,
@@ -120,3 +122,17 @@ def test_totals_and_relevance_rate(spark):
     assert rows(rate, "height", "relevant", "total", "rate") == [(1, 1, 2, 0.5), (2, 0, 1, 0.0)]
 
 
+
+
+def test_outputs_meet_their_sender_before_their_receiver(spark):
+    led = ledger(spark, ("t", 1, ["E"], ["x", "E"]), ("u", 2, ["x"], ["y"]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ev = build_flow_events(led, labels(spark, exchanges=["E"]))
+        assert rows(ev, "txid", "to_address", "to_type") == [("t", "E", "exchange"), ("t", "x", "unknown")]
+        shuffles = re.findall(r"Exchange hashpartitioning\((\w+)#", ev._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The last shuffle of the outputs looks receivers up; none brings them back to their transaction.
+    assert shuffles[0] == "to_address"

@@ -120,3 +120,24 @@ def test_crowded_groups_are_numbered_in_parts(spark):
     assert len(groups["hot"]) > 600
     for members in groups.values():
         assert [n for _, _, n in sorted(members)] == list(range(len(members)))
+
+
+def test_numbered_rows_meet_their_key_without_another_shuffle(spark):
+    df = spark.range(400).selectExpr("concat('k', id % 50) AS k", "id AS a")
+    heads = spark.range(50).selectExpr("concat('k', id) AS k", "id AS h")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = number_rows(df, "k", ["a"], "a div 10", "n").join(heads, "k")
+        assert sorted(r.n for r in got.collect()) == sorted(i // 50 for i in range(400))
+        final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert final.count("Exchange hashpartitioning(k#") == 2  # the rows once, the heads once
+
+
+def test_numbers_of_null_keys_and_equal_rows(spark):
+    df = spark.createDataFrame([(None, 1), (None, 1), ("a", 2), ("a", 2), ("a", 1)], "k string, a int")
+    for most in (1, 10):
+        got = number_rows(df, "k", ["a"], "a", "n", group_rows=most)
+        assert sorted(rows(got, "k", "a", "n"), key=str) == sorted([(None, 1, 0), (None, 1, 1), ("a", 1, 0), ("a", 2, 1), ("a", 2, 2)], key=str)
