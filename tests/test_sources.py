@@ -177,3 +177,17 @@ def test_streams_in_any_order_equal_the_batch(spark, tmp_path):
     kept = spark.read.parquet(str(tmp_path / "totals"))
     assert rows(kept, "flow_type", "height_bucket", "events") == [("buying", 0, 2), ("buying", 1, 1)]
     assert rows(totals.totals_between(kept, 0, 0), "total", "events") == [(3.0, 2)]
+
+
+def test_no_task_holds_the_state_of_all_totals(spark, tmp_path):
+    led = ledger(spark, ("t", 1, ["E"], ["x"]), ("u", 40_000, ["x"], ["E"]))
+    build_flow_events(led, labels(spark, exchanges=["E"])).repartition(1).write.parquet(str(tmp_path / "events"))
+    stream = totals.stream_flow_totals(
+        spark, str(tmp_path / "events"), str(tmp_path / "totals"), str(tmp_path / "cp"), trigger={"availableNow": True}
+    )
+    stream.awaitTermination()
+    tracker, tasks = spark.sparkContext.statusTracker(), []
+    for job in tracker.getJobIdsForGroup(str(stream.runId)):
+        tasks += [info.numTasks for k in tracker.getJobInfo(job).stageIds if (info := tracker.getStageInfo(k))]
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) in tasks  # one task a partition of the state
+    assert len(list((tmp_path / "totals").glob("*.parquet"))) == 1
