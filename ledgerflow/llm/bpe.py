@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_BYTES = 48_000_000  # of words and stretches already encoded, per task
+CACHE_BYTES = 96_000_000  # of words and stretches already encoded, per task
 ENTRY_BYTES = 250
 SEPARATORS = re.compile("[\x1c-\x1f]").search
 WHITE = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerflow.llm.bpe import WordBPE, decoded, digests, encoded
+from ledgerflow.llm.bpe import CACHE_BYTES, WordBPE, decoded, digests, encoded
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -61,3 +61,15 @@ def test_decoded_column_and_stage(spark, library):
     ids = spark.createDataFrame([(1, None, "x"), (2, [], "y")], "doc_id long, ids array<int>, text string")
     assert {r.doc_id: (r.decoded, r.text) for r in decoded(ids, PATH).collect()} == {1: (None, "x"), 2: ("", "y")}
     assert decoded(ids.limit(0), PATH).count() == 0
+
+
+def test_the_words_of_a_task_are_merged_once():
+    made = WordBPE(PATH)
+    merged, asked = made.merged, []
+    made.merged = lambda word: asked.append(word) or merged(word)
+    words = [f"{k:05x}z" for k in range(120_000)]
+    letters = ["".join(chr(97 + int(c, 16)) for c in w[:-1]) for w in words]  # no digits, one piece each
+    for _ in range(2):
+        for at in range(0, len(letters), 1000):
+            made.parts(" ".join(letters[at : at + 1000]))
+    assert len(asked) == len(set(letters)) and made.held <= CACHE_BYTES
