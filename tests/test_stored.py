@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
-from ledgerflow.operators import events, history, tables
+from ledgerflow.operators import events as operators_events
+from ledgerflow.operators import history, tables
 from ledgerflow.operators.adjacency import TABLES, Adjacency
 from ledgerflow.operators.attempts import AttributedEvents, folded
 from ledgerflow.operators.attribution import Evidence, attribute_unknowns, multi_hop
@@ -13,7 +13,6 @@ from ledgerflow.operators.events import build_flow_events
 from ledgerflow.operators.labels import node_operators
 from ledgerflow.streaming import totals
 from tests.chain import labels, ledger, nodes, rows
-from tests.conftest import SMALL
 
 HOUR = 3_600
 
@@ -173,9 +172,9 @@ def test_totals_follow_replaced_events_once(spark, tmp_path):
     assert rows(totals.maintained_totals(spark, str(tmp_path)), "height_bucket", "events") == [(0, 2), (1, 1)]
 
 
-def test_retention_looks_for_senders_once(spark, monkeypatch):
-    found, asked = events.senders, []
-    monkeypatch.setattr(events, "senders", lambda *a: asked.append(a) or found(*a))
-    report = queries()["retention_applied"](spark, SMALL)
-    assert {r.part for r in report.collect()} == {"blocks", "transactions", "flow_events"}
-    assert len(asked) == 1
+def test_senders_that_are_given_are_not_looked_for_again(spark, monkeypatch):
+    led, lab = chain(spark), labels(spark, exchanges=["E"], operators=["N"])
+    found = operators_events.senders(operators_events.transfers_only(led), lab)
+    monkeypatch.setattr(operators_events, "senders", lambda *a: pytest.fail("looked for again"))
+    operators_events.build_flow_events(led, lab, found)
+    operators_events.relevant_only(led, lab, found)
