@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE_BYTES = 96_000_000  # of words and stretches already encoded, per task
-ENTRY_BYTES = 250
+ENTRY_BYTES = 150
 SEPARATORS = re.compile("[\x1c-\x1f]").search
 WHITE = regex.compile(r"[\s--[\x1c-\x1f]]+", regex.V1)
 
@@ -62,24 +62,34 @@ class WordBPE:
         self.symbols = byte_symbols()
         self.single = [self.ids.get(s) for s in self.symbols]
         self.last = [self.ids.get(s + self.end) for s in self.symbols]
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.held = 0
+        # Ids as little-endian 32-bit integers. Words that encode alike as a stretch of their
+        # own are kept as stretches only; ``older`` holds what the half before this one did.
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.young = self.held = 0
 
     def forget(self) -> None:
         """Empty the caches; a task does so at its end, so a worker holds the vocabulary only."""
-        self.words.clear()
         self.chunks.clear()
-        self.held = 0
+        self.words.clear()
+        self.older = {}, {}
+        self.young = self.held = 0
 
-    def keep(self, cache: dict[str, tuple[bytes, str]], text: str, made: tuple[bytes, str]) -> None:
-        size = ENTRY_BYTES + 3 * len(text) + len(made[0])
+    def keep(self, cache: dict[str, bytes], text: str, made: bytes) -> None:
+        """Once half of the room is filled the other half is given up, but for what was asked
+        for again meanwhile."""
+        size = ENTRY_BYTES + 3 * len(text) + len(made)
         if size > CACHE_BYTES // 64:  # a long stretch hardly comes again
             return
-        if self.held + size > CACHE_BYTES:
-            self.forget()
-        self.held += size
         cache[text] = made
+        self.young += size
+        self.held += size
+        if self.young > CACHE_BYTES // 2 - CACHE_BYTES // 64:
+            self.older = self.chunks.copy(), self.words.copy()
+            self.chunks.clear()  # in place: ``parts`` has its lookup bound
+            self.words.clear()
+            self.young, self.held = 0, self.young
 
     def merged(self, word: str) -> list[int]:
         """The ids of one word."""
@@ -113,49 +123,56 @@ class WordBPE:
                 heappush(queue, r << shift | h)
         return [s for s in sym if s >= 0]
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, their decoded text) of one word."""
-        ids = self.merged(word)
-        out = array("I", ids).tobytes(), self.decode(ids)
-        self.keep(self.words, word, out)
+    def word(self, word: str) -> bytes:
+        """The ids of one word as little-endian 32-bit integers."""
+        # Letters that normalising leaves alone are one word as a stretch, too.
+        k = 0 if word.isalpha() and (word.isascii() or self.normalised(word) == word) else 1
+        cache = (self.chunks, self.words)[k]
+        if (out := cache.get(word)) is None:
+            out = self.older[k].get(word) or array("I", self.merged(word)).tobytes()
+            self.keep(cache, word, out)
         return out
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
+    def chunk(self, chunk: str) -> bytes:
         """Like ``word`` for a stretch without white space, special tokens included."""
-        get, word, out = self.words.get, self.word, []
-        for piece in self.specials(chunk) if "<|" in chunk else (chunk,):
-            if piece in self.special:
-                out.append((array("I", [self.special[piece]]).tobytes(), piece))
+        if (made := self.older[0].get(chunk)) is None:
+            if "<|" in chunk:
+                made = b"".join([
+                    array("I", [self.special[piece]]).tobytes() if piece in self.special else self.plain(piece)
+                    for piece in self.specials(chunk)
+                ])
             else:
-                out += [get(w) or word(w) for w in self.pieces(self.normalised(piece))]
-        if len(out) == 1:
-            made = out[0]
-        else:
-            made = b"".join([p[0] for p in out]), " ".join([p[1] for p in out])
-        self.keep(self.chunks, chunk, made)
+                made = self.plain(chunk)
+        if chunk not in self.chunks:
+            self.keep(self.chunks, chunk, made)
         return made
 
+    def plain(self, piece: str) -> bytes:
+        """Like ``chunk`` where no special token occurs."""
+        text = self.normalised(piece)
+        return self.word(text) if text.isalpha() else b"".join(map(self.word, self.pieces(text)))
+
     def normalised(self, text: str) -> str:
         """NFC, then lower case character by character (no rule for a final sigma)."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """(ids, decoded text) of a text's stretches in order; no piece spans white space."""
+    def parts(self, text: str) -> list[bytes]:
+        """The ids of a text's stretches in order; no piece spans white space."""
         if SEPARATORS(text):  # white space to str.split, ordinary characters to the vocabulary
             chunks = WHITE.split(text)
         else:
             chunks = text.split()
         get, chunk = self.chunks.get, self.chunk
-        return [p for c in chunks if (p := get(c) or chunk(c))[0]]
+        return [get(c) or chunk(c) for c in chunks]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join(p[0] for p in self.parts(text)), "<u4").tolist()
+        return np.frombuffer(b"".join(self.parts(text)), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings one after another, parted by a space as the file names no decoder."""
-        return " ".join(self.names[i] for i in ids)
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -183,7 +200,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 for at in range(0, whole.num_rows, 512):
                     batch = whole.slice(at, 512)
                     texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "").to_pylist()
-                    rows = [np.frombuffer(b"".join([p[0] for p in bpe.parts(t)]), "<i4") for t in texts]
+                    rows = [np.frombuffer(b"".join(bpe.parts(t)), "<i4") for t in texts]
                     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
                     made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
                     yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, ids])
@@ -218,11 +235,10 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             for batch in batches:
                 counts, ids, shown = [], [], []
                 for value in batch.column(1):
-                    parts = bpe.parts(value.as_py() or "")
-                    data = b"".join([p[0] for p in parts])
+                    data = b"".join(bpe.parts(value.as_py() or ""))
                     counts.append(len(data) // 4)
                     ids.append(sha(data).hexdigest())
-                    shown.append(sha(" ".join([p[1] for p in parts]).encode()).hexdigest())
+                    shown.append(sha(bpe.decode(np.frombuffer(data, "<u4").tolist()).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())],
                     names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],

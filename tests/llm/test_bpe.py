@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from ledgerflow.llm import bpe
 from ledgerflow.llm.bpe import CACHE_BYTES, WordBPE, decoded, digests, encoded
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -73,3 +74,15 @@ def test_the_words_of_a_task_are_merged_once():
         for at in range(0, len(letters), 1000):
             made.parts(" ".join(letters[at : at + 1000]))
     assert len(asked) == len(set(letters)) and made.held <= CACHE_BYTES
+
+
+def test_words_that_come_again_outlast_rare_ones(monkeypatch, library):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 200_000)
+    made, dice = WordBPE(PATH), random.Random(8)
+    merged, asked = made.merged, []
+    made.merged = lambda word: asked.append(word) or merged(word)
+    rare = ["".join(dice.choices("abcdefgh", k=9)) for _ in range(5_000)]
+    for at in range(0, len(rare), 50):
+        text = " ".join([*rare[at : at + 50], "Commonest", "commonest", "éclair", "commonest!", "<|ENDOFTEXT|>", "<|endoftext|>", "i̇"])
+        assert made.encode(text) == library.encode(text, add_special_tokens=False).ids and made.held <= 200_000
+    assert [asked.count(w) for w in ("commonest", "éclair", "!")] == [1, 1, 1]
