@@ -10,10 +10,11 @@ verified on whole sets.
 
 What is asked for are links up to reachability, so a pair inside one component need not be
 looked at: every list first meets one of its members (a hub), what was linked is contracted,
-and after a few such rounds the pairs that still join different components are verified
-one by one. A list of thousands of copies costs its length, not its square, and no link
-between components is lost. The order of the n-grams is by hash, except that at most
-``HOT_NGRAMS`` most frequent ones come last; the order decides the work, never the result.
+and after a few such rounds, each with other hubs, the pairs that still join different
+components are verified one by one, most of them made in one list only. A list of thousands
+of copies costs about its length, not its square, and no link between components is lost. The
+order of the n-grams is by hash, except that at most ``HOT_NGRAMS`` most frequent ones come
+last; the order decides the work, never the result.
 
 Texts without words, null or empty, have an empty set and link with nothing. Repeated rows
 are members of one class. Sets are held as 64-bit hashes.
@@ -36,6 +37,7 @@ from ledgerflow.llm.text import MIXED_LOWER, runs, shingle_hashes, span_hashes,
 HOT_NGRAMS = 50_000
 HOT_LEAST = 24
 HUB_ROUNDS = 3
+FIRST = 16  # n-grams at the start of a prefix that tell where two groups meet first
 SKETCH = [f"s{k}" for k in range(8)]  # columns of 64 parity bits each
 
 
@@ -98,6 +100,21 @@ class Measure:
         return F.ceil((F.col(a) + F.col(b)) * self.percent / (100 + self.percent) - 1e-9)
 
 
+def once(gram):
+    """Whether this list is the one in which two rows of open lists count as a pair: the list of
+    their group, or of the earliest n-gram that the starts of both prefixes hold. Pairs whose
+    starts share nothing count in every list. Where a pair is at the threshold, its earliest
+    shared n-gram passes ``Measure.early``, so no link is lost."""
+    common = F.array_intersect("x_first", "y_first")
+    apart = (F.size(common) == 0) | (F.get(common, F.lit(0)) == gram)
+    return F.when(F.col("x_group") == F.col("y_group"), gram == group_list("x_group")).otherwise(apart)
+
+
+def group_list(group: str):
+    """The number, among those of n-grams, of the list of a group's own members."""
+    return F.xxhash64(group, F.lit("group"))
+
+
 def signatures(docs: DataFrame, measure: Measure, n: int, key: str, text: str) -> DataFrame:
     """(doc_id, n, node, low, parities): set size, class, the smallest hashes, half as many again
     as the prefix, and the parities of the whole set."""
@@ -162,7 +179,7 @@ class Join:
         return np.array(sorted(r.gram for r in hot), np.int64)
 
     def index(self) -> tuple[DataFrame, DataFrame]:
-        """((gram, pos, group) over the prefixes, (node, group)); equal prefixes of one size are one group."""
+        """((gram, pos, group) over the prefixes, (node, group, first)); equal prefixes of one size are one group."""
         measure = self.measure
         shared = self.spark.sparkContext.broadcast(self.frequent())
 
@@ -184,7 +201,8 @@ class Join:
 
         schema = "node long, prefix array<long>, group long"
         from_low = self.rows.filter("n > 0").select("node", "n", "low").mapInArrow(run, schema)
-        member = stored(from_low.select("node", "group").distinct(), "members")
+        first = F.slice("prefix", 1, FIRST).alias("first")
+        member = stored(from_low.select("node", "group", first).distinct(), "members")
         # Sets whose smallest hashes are nearly all frequent n-grams are decided on the whole set.
         undecided = member.filter("group is null").select("node").join(self.classes.select("node", F.col("n").alias("extra")), "node")
         if undecided.isEmpty():
@@ -192,7 +210,7 @@ class Join:
         else:
             whole = stored(self.sets(undecided).select("node", F.col("extra").alias("n"), F.col("grams")).mapInArrow(run, schema), "whole")
             made = from_low.filter("group is not null").unionByName(whole)
-            member = member.filter("group is not null").unionByName(whole.select("node", "group").distinct())
+            member = member.filter("group is not null").unionByName(whole.select("node", "group", first).distinct())
         return made.select("group", F.posexplode("prefix").alias("pos", "gram")), member
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -251,7 +269,7 @@ class Join:
         crowd = member.join(groups.filter("members > 1").select("group", "head"), "group").filter("node <> head")
         tested = stored(meet.unionByName(crowd.select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct(), "tested")
         places = index.groupBy("gram", "group").agg(F.min("pos").alias("pos"))
-        places = places.unionByName(groups.filter("members > 1").select(F.xxhash64("group", F.lit("group")).alias("gram"), "group", F.lit(0).alias("pos")))
+        places = places.unionByName(groups.filter("members > 1").select(group_list("group").alias("gram"), "group", F.lit(0).alias("pos")))
         places = stored(places, "places")
         # Only classes in some list can link; their smallest hashes are all that is needed before sets.
         able = member.join(places.select("group").distinct(), "group").select("node").join(self.classes.select("node", "doc_id"), "node")
@@ -260,14 +278,14 @@ class Join:
         found = stored(components(self.verified(tested)), "components")
 
         def open_lists() -> DataFrame:
-            """(gram, pos, node, n, parities, component) of the lists that still hold different
-            components, groups expanded to members; a group of several members is a list too."""
+            """(gram, pos, node, group, first, n, parities, component) of the lists that still hold
+            different components, groups expanded to members; a group of several members is a list too."""
             placed = member.join(found, "node", "left").join(traits, "node")
-            placed = placed.select("node", "group", "n", *SKETCH, F.coalesce("component", "node").alias("component"))
+            placed = placed.select("node", "group", "first", "n", *SKETCH, F.coalesce("component", "node").alias("component"))
             # Components per group first: most groups are of one component.
             spread = placed.groupBy("group").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
             mixed = places.join(spread, "group").groupBy("gram").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).filter("c1 < c2").select("gram")
-            return places.join(mixed, "gram").join(placed, "group").select("gram", "pos", "node", "n", *SKETCH, "component")
+            return places.join(mixed, "gram").join(placed, "group").select("gram", "pos", "node", "group", "first", "n", *SKETCH, "component")
 
         for turn in range(HUB_ROUNDS + 1):
             now = stored(open_lists(), "open")
@@ -276,12 +294,13 @@ class Join:
             fits = m.sizes_fit("x_n", "y_n") & m.early("x_", "y_") & m.near("x_", "y_")
             one = prefixed(now, "gram", "x_")
             if turn < HUB_ROUNDS:
-                order = F.xxhash64("component", F.lit(turn))
-                hubs = now.groupBy("gram").agg(F.min_by(F.struct(*(c for c in now.columns if c != "gram")), F.struct(order, F.xxhash64("node", F.lit(turn)))).alias("hub"))
+                # Every list has a hub of its own, so the lists of one crowd try many of its members.
+                order = F.xxhash64("gram", "node", F.lit(turn))
+                hubs = now.groupBy("gram").agg(F.min_by(F.struct(*(c for c in now.columns if c != "gram")), order).alias("hub"))
                 pairs = one.join(prefixed(hubs.select("gram", "hub.*"), "gram", "y_"), "gram").filter((F.col("x_component") != F.col("y_component")) & fits)
             else:
                 other = prefixed(now, "gram", "y_")
-                pairs = one.join(other, (one.gram == other.gram) & (F.col("x_component") < F.col("y_component")) & fits)
+                pairs = one.join(other, (one.gram == other.gram) & (F.col("x_component") < F.col("y_component")) & fits & once(one.gram))
             pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
             known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = stored(pairs.join(known, ["a", "b"], "left_anti"), "pairs")

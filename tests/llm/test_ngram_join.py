@@ -94,3 +94,53 @@ def test_components_extended_by_more_edges(spark):
     edges = [e for e in first + more]
     whole = reach({x for e in edges for x in e}, [e for e in edges if e[0] != e[1]])
     assert all(got[n] == c for n, c in whole.items() if n in got) and {n for n, c in whole.items() if c != n} <= set(got)
+
+
+def crowd(dice, members, words=120):
+    """Near copies of one text, of which most pairs are below the threshold."""
+    base = [f"w{dice.randint(0, 10**6)}" for _ in range(words)]
+    docs = []
+    for i in range(members):
+        copy = list(base)
+        for _ in range(2 if i % 3 else 1):
+            copy[dice.randrange(words)] = f"z{dice.randint(0, 10**6)}"
+        docs.append((i, " ".join(copy)))
+    return docs
+
+
+def test_a_crowd_leaves_few_pairs_for_the_last_round(spark, monkeypatch):
+    docs, calls = crowd(random.Random(9), 240), []
+    verified = ngram_join.Join.verified
+
+    def counted(self, pairs):
+        calls.append(pairs.count())
+        return verified(self, pairs)
+
+    monkeypatch.setattr(ngram_join.Join, "verified", counted)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.linked(frame).collect()) == brute(docs)
+    assert calls[-1] < 1.5 * len(docs)
+
+
+@pytest.mark.parametrize("first", [1, 16])
+def test_pairs_made_once_lose_no_link(spark, monkeypatch, first):
+    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "FIRST", first)
+    docs = crowd(random.Random(10), 60)
+    docs += [(1_000 + i, f"{docs[0][1]} tail{i // 2} more") for i in range(6)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.linked(frame).collect()) == brute(docs)
+
+
+def test_a_pair_counts_in_one_list(spark):
+    starts = {1: (10, [5, 7, 9]), 2: (10, [5, 7, 9]), 3: (11, [6, 7, 9]), 4: (12, [1, 2, 3])}
+    lists = {**{g: [k for k, (_, start) in starts.items() if g in start] for g in range(10)}, 20: [3, 4], 21: [3, 4]}
+    rows = [(g, node, *starts[node]) for g, nodes in lists.items() for node in nodes]
+    rows = spark.createDataFrame(rows, "gram long, node long, `group` long, first array<long>")
+    own = rows.filter("group = 10").select(ngram_join.group_list("group").alias("gram"), "node", "group", "first").distinct()
+    rows = rows.unionByName(own)
+    side = lambda s: rows.select("gram", *(rows[c].alias(s + c) for c in ("node", "group", "first")))
+    pairs = side("x_").join(side("y_"), "gram").filter("x_node < y_node")
+    made = pairs.filter(ngram_join.once(pairs.gram)).collect()
+    assert sorted((r.x_node, r.y_node) for r in made) == [(1, 2), (1, 3), (2, 3), (3, 4), (3, 4)]
+    assert {r.gram for r in made if r.y_node == 3} == {7}
