@@ -260,6 +260,7 @@ def latent_basis(passages: DataFrame, columns: int, rank: int) -> np.ndarray:
 
         schema = "block long, data binary"
         rows = passages.select("at", "value").mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect()
+        shared.destroy()  # else every step's copies stay on the driver until both its heaps are cleaned
         product = np.concatenate([np.frombuffer(r.data).reshape(-1, width) for r in sorted(rows, key=lambda r: r.block)])
         if step == POWER_STEPS:
             small = q.T @ product

@@ -167,9 +167,8 @@ class Join:
         self.classes = stored(self.rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("n", *SKETCH))), "classes")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(node, extra, grams) for the classes of ``wanted`` (node, extra)."""
-        of = wanted.join(self.classes.select("node", "doc_id"), "node")
-        return texts_to_sets(self.docs.join(of, "doc_id"), self.n)
+        """(node, extra, grams) for the classes of ``wanted`` (node, doc_id, extra), by the class's own id."""
+        return texts_to_sets(self.docs.join(wanted, "doc_id"), self.n)
 
     def frequent(self) -> np.ndarray:
         """The most frequent n-grams of the prefixes by hash, at most ``HOT_NGRAMS``."""
@@ -204,7 +203,7 @@ class Join:
         first = F.slice("prefix", 1, FIRST).alias("first")
         member = stored(from_low.select("node", "group", first).distinct(), "members")
         # Sets whose smallest hashes are nearly all frequent n-grams are decided on the whole set.
-        undecided = member.filter("group is null").select("node").join(self.classes.select("node", F.col("n").alias("extra")), "node")
+        undecided = member.filter("group is null").select("node").join(self.classes.select("node", "doc_id", F.col("n").alias("extra")), "node")
         if undecided.isEmpty():
             made = from_low
         else:
@@ -222,8 +221,8 @@ class Join:
         m = self.measure
         side = self.low
         known = (
-            pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("low").alias("l1")), "a")
-            .join(side.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("low").alias("l2")), "b")
+            pairs.join(side.select(F.col("node").alias("a"), F.col("doc_id").alias("d1"), F.col("n").alias("n1"), F.col("low").alias("l1")), "a")
+            .join(side.select(F.col("node").alias("b"), F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("low").alias("l2")), "b")
             .filter(m.sizes_fit("n1", "n2"))
         )
         end = [F.when(F.size(f"l{i}") < F.col(f"n{i}"), F.element_at(f"l{i}", -1)).otherwise(F.lit(2**63 - 1)) for i in (1, 2)]
@@ -232,12 +231,12 @@ class Join:
         likely = known.withColumn("bound", bound).filter(
             (missing[0] <= F.col("n1") - m.least_shared("n1", "n2")) & (missing[1] <= F.col("n2") - m.least_shared("n1", "n2"))
         )
-        likely = stored(likely.select("a", "b", "n1", "n2"), "likely")
+        likely = stored(likely.select("a", "b", "d1", "d2", "n1", "n2"), "likely")
         release(self.spark)
         # Each second member's set travels to the first's: one set per pair, and one per hub.
-        sent = self.sets(likely.select(F.col("b").alias("node"), F.struct("a", "n1", "n2").alias("extra")))
+        sent = self.sets(likely.select(F.col("b").alias("node"), F.col("d2").alias("doc_id"), F.struct("a", "n1", "n2").alias("extra")))
         sent = sent.select(F.col("extra.a").alias("a"), F.col("node").alias("b"), F.col("extra.n1").alias("n1"), F.col("extra.n2").alias("n2"), F.col("grams").alias("g2"))
-        hubs = self.sets(likely.select(F.col("a").alias("node")).distinct().withColumn("extra", F.lit(0)))
+        hubs = self.sets(likely.select(F.col("a").alias("node"), F.col("d1").alias("doc_id")).distinct().withColumn("extra", F.lit(0)))
         shared = F.size(F.array_intersect("g1", "g2"))
         links = sent.join(hubs.select(F.col("node").alias("a"), F.col("grams").alias("g1")), "a").filter(m.holds(shared, "n1", "n2"))
         links = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
@@ -273,7 +272,7 @@ class Join:
         places = stored(places, "places")
         # Only classes in some list can link; their smallest hashes are all that is needed before sets.
         able = member.join(places.select("group").distinct(), "group").select("node").join(self.classes.select("node", "doc_id"), "node")
-        self.low = stored(self.rows.join(able, ["node", "doc_id"]).select("node", "n", "low").dropDuplicates(["node"]), "low")
+        self.low = stored(self.rows.join(able, ["node", "doc_id"]).select("node", "doc_id", "n", "low").dropDuplicates(["node"]), "low")
         release(self.spark)
         found = stored(components(self.verified(tested)), "components")
 
@@ -287,10 +286,12 @@ class Join:
             mixed = places.join(spread, "group").groupBy("gram").agg(F.min("c1").alias("c1"), F.max("c2").alias("c2")).filter("c1 < c2").select("gram")
             return places.join(mixed, "gram").join(placed, "group").select("gram", "pos", "node", "group", "first", "n", *SKETCH, "component")
 
+        now = None
         for turn in range(HUB_ROUNDS + 1):
-            now = stored(open_lists(), "open")
-            if now.isEmpty():
-                break
+            if now is None:
+                now = stored(open_lists(), "open")
+                if now.isEmpty():
+                    break
             fits = m.sizes_fit("x_n", "y_n") & m.early("x_", "y_") & m.near("x_", "y_")
             one = prefixed(now, "gram", "x_")
             if turn < HUB_ROUNDS:
@@ -309,7 +310,7 @@ class Join:
             more = self.verified(pairs)
             tested = tested.unionByName(pairs)
             if not more.isEmpty():
-                found = stored(extended(found, more), "components")
+                found, now = stored(extended(found, more), "components"), None
         return found
 
 

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from ledgerflow.llm import components as stars
 from ledgerflow.llm import ngram_join
 from ledgerflow.llm.components import components, extended
 
@@ -96,6 +97,27 @@ def test_components_extended_by_more_edges(spark):
     assert all(got[n] == c for n, c in whole.items() if n in got) and {n for n, c in whole.items() if c != n} <= set(got)
 
 
+def test_no_round_follows_once_all_edges_are_stars(spark, monkeypatch):
+    rounds, large = [], stars._large_star
+    monkeypatch.setattr(stars, "_large_star", lambda edges: rounds.append(1) or large(edges))
+    frame = lambda e: spark.createDataFrame(e, "u long, v long")
+    done = [(1, 5), (7, 1), (2, 3), (3, 2), (4, 4)]
+    assert {r.node: r.component for r in components(frame(done)).collect()} == {1: 1, 5: 1, 7: 1, 2: 2, 3: 2} and not rounds
+    for open_ in ([(5, 9), (7, 9)], [(5, 7), (7, 9)]):  # two centres, a centre that has one of its own
+        assert {r.component for r in components(frame(open_)).collect()} == {5} and len(rounds) == 1
+        rounds.clear()
+
+
+def test_open_lists_are_made_anew_only_after_new_links(spark, monkeypatch):
+    labels, stored = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda frame, label: labels.append(label) or stored(frame, label))
+    docs = crowd(random.Random(11), 40, words=100)
+    docs += [(100, "a b c d e f g h"), (101, "a b c d e f g x"), (102, "a b c d e f y x")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram_join.linked(frame).collect()) == brute(docs)
+    assert 1 <= labels.count("open") <= labels.count("components")
+
+
 def crowd(dice, members, words=120):
     """Near copies of one text, of which most pairs are below the threshold."""
     base = [f"w{dice.randint(0, 10**6)}" for _ in range(words)]
