@@ -12,7 +12,7 @@ from ledgerflow.operators.attribution import (
     attribution_report,
     unknown_stats,
 )
-from ledgerflow.session import materialise
+from ledgerflow.session import distilled
 
 
 def attribution_cycle(
@@ -31,5 +31,5 @@ def attribution_cycle(
     queue = unknown_stats(ev, now).select("total_unknowns").first()
     if queue["total_unknowns"] < min_candidates:
         return None
-    overlay = materialise(attribute_unknowns(ev, evidence, now, max_depth, retry_hours, cap), "overlay")
+    overlay = distilled(lambda: attribute_unknowns(ev, evidence, now, max_depth, retry_hours, cap), "overlay")
     return apply_overlay(ev, overlay), attribution_report(overlay)
