@@ -36,7 +36,7 @@ from ledgerflow.operators.history import (
     wallet_history,
 )
 from ledgerflow.schemas import Ledger
-from ledgerflow.session import materialise
+from ledgerflow.session import drop_path, materialise, shuffles_dropped, written
 
 # Table and the column it is bucketed and sorted by.
 TABLES = {"history": "key", "receipts": "key", "earners": "wallet", "mentions": "txid", SENT: "key", RECEIVED: "key"}
@@ -74,6 +74,15 @@ class Adjacency(Evidence):
         A transaction belongs to one batch. Everything derived here is local to a transaction
         or, as the index and the receipts, adds up over batches.
         """
+        token = written.set(inside := [])
+        try:
+            self._extend(led, batch)
+        finally:
+            written.reset(token)
+            for path in inside:
+                drop_path(self.spark, path)
+
+    def _extend(self, led: Ledger, batch: str) -> None:
         history = materialise(wallet_history(led), "history")
         keyed = f"concat_ws('|', {bucket_sql('height', self.window)}, direction, wallet) AS key"
         receipts = coinbase_receipts(history)
@@ -82,19 +91,21 @@ class Adjacency(Evidence):
             "receipts": receipts.selectExpr(f"concat_ws('|', {bucket_sql('height', self.window)}, wallet) AS key", "wallet", "height", "receipts"),
             "earners": receipts.select("wallet").distinct(),
             "mentions": first_mentions(led),
-            SENT: hop_index(hop_edges(history, led, SENT)),
-            RECEIVED: hop_index(hop_edges(history, led, RECEIVED)),
+            SENT: hop_index(hop_edges(history, led, SENT), self.buckets),
+            RECEIVED: hop_index(hop_edges(history, led, RECEIVED), self.buckets),
         }
         for table, key in TABLES.items():
             full = f"{self.name}_{table}"
             made = rows[table].withColumn("batch", F.lit(batch))
-            # One file per bucket and batch.
-            made = made.repartition(self.buckets, key)
+            # One file per bucket and batch; one per level of an index, which is dealt already.
+            if table not in (SENT, RECEIVED):
+                made = made.repartition(self.buckets, key)
             if not self.spark.catalog.tableExists(full):
                 made.limit(0).write.format("parquet").partitionBy("batch").bucketBy(self.buckets, key).sortBy(key).saveAsTable(full)
             columns = [c for c in self.spark.table(full).columns if c != "batch"]
             # The batch's own partition, whatever the session's overwrite mode is.
-            self.spark.sql(f"INSERT OVERWRITE TABLE {full} PARTITION (batch = :batch) SELECT * FROM {{rows}}", args={"batch": batch}, rows=made.select(*columns))
+            with shuffles_dropped(self.spark):
+                self.spark.sql(f"INSERT OVERWRITE TABLE {full} PARTITION (batch = :batch) SELECT * FROM {{rows}}", args={"batch": batch}, rows=made.select(*columns))
 
     # What attribution asks for.
 
