@@ -18,12 +18,13 @@ from ledgerflow.operators.attribution import (
     OVERLAY_FIELDS,
     Evidence,
     apply_overlay,
-    attribute_unknowns,
+    attribute_candidates,
     attribution_report,
-    unknown_stats,
+    stored_candidates,
 )
 from ledgerflow.operators.tables import drop_path, read_table
 from ledgerflow.schemas import EVENT_KEY
+from ledgerflow.session import distilled, shuffles_dropped
 
 # Of an attempt's own, not of the event.
 OUTCOME = ("side", "method", "status", "level", "cycle")
@@ -74,13 +75,14 @@ class AttributedEvents:
 
     def record(self, overlay: DataFrame, run: int) -> DataFrame:
         """Store a run's outcome. A repeated run replaces its own partition, nothing else."""
-        (
-            overlay.withColumn("run", F.lit(run).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run")
-            .parquet(self.attempts_path)
-        )
+        with shuffles_dropped(self.spark):
+            (
+                overlay.withColumn("run", F.lit(run).cast("bigint"))
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("run")
+                .parquet(self.attempts_path)
+            )
         return self.spark.read.schema(overlay.schema).parquet(f"{self.attempts_path}/run={run}")
 
     def cycle(
@@ -99,9 +101,12 @@ class AttributedEvents:
         ev = self.spark.read.parquet(self.events_path).drop("height_bucket")
         tried = self.attempts()
         due = open_events(ev, None if tried is None else tried.filter(F.col("run") < now))
-        if unknown_stats(due, now, retry_hours).select("total_unknowns").first()[0] < min_candidates:
+        # Stored first: their number is the size of the queue, and the events are read once.
+        candidates = stored_candidates(due, now, retry_hours)
+        if candidates.count() < min_candidates:
             return None
-        return attribution_report(self.record(attribute_unknowns(due, evidence, now, max_depth, retry_hours), now))
+        overlay = distilled(lambda: attribute_candidates(candidates, evidence, now, max_depth), "overlay")
+        return attribution_report(self.record(overlay, now))
 
     def compact(self, upto: int) -> None:
         """Fold all runs up to ``upto`` into one partition. Settled columns keep their values, so
